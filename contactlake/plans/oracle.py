@@ -118,3 +118,41 @@ def _():
     return (site_contacts_sql()
             + "SELECT page_id, CAST(g.i - 1 AS BIGINT) AS pos, phones[g.i] AS phone "
               "FROM sc, LATERAL (SELECT unnest(generate_series(1, len(phones))) AS i) g")
+
+
+# --- dedup ----------------------------------------------------------------------
+def _features(src="businesses") -> str:
+    return S.dedup_feature_stages(src, "df")
+
+
+@oracle("business_signatures")
+def _():
+    return (duckdb_fixture_ctes("businesses") + ",\n" + _features() + "\n"
+            "SELECT ord, nname, naddr, pd, coalesce(host, '') AS host, sig FROM dff")
+
+
+@oracle("duplicate_pairs")
+def _():
+    return (duckdb_fixture_ctes("businesses") + ",\n" + _features() + "\n"
+            "SELECT * FROM (SELECT a.ord AS ord_a, b.ord AS ord_b, " + S.pair_score_sql("a", "b") + " AS score "
+            "FROM dff a JOIN dff b ON a.ord < b.ord AND a.phone <> '' AND b.phone <> '' "
+            "AND (contains(a.pd, b.pd) OR contains(b.pd, a.pd))) WHERE score > 0.85::DOUBLE")
+
+
+KEPT_FIELDS = ["ord", "phone", "pd", "email", "website", "host", "nname", "naddr", "sig"]
+EMPTY_KEPT = ("list_filter([{" + ", ".join(
+    f"'{f}': NULL::{'BIGINT' if f == 'ord' else 'VARCHAR'}" for f in KEPT_FIELDS) + "}], lambda x: false)")
+
+
+@oracle("dedup_businesses")
+def _():
+    st = "{" + ", ".join(f"'{f}': f.{f}" for f in KEPT_FIELDS) + "}"
+    return ((duckdb_fixture_ctes("businesses") + ",\n" + _features() + ",\n").replace("WITH ", "WITH RECURSIVE ", 1)
+            + "fr AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM dff),\n"
+            + "walk(rn, kept) AS (SELECT 0::BIGINT, " + EMPTY_KEPT + " UNION ALL "
+            "SELECT f.rn, CASE WHEN list_contains(list_transform(w.kept, lambda k: k.sig), f.sig) "
+            "OR len(list_filter(w.kept, lambda k: " + S.pair_score_sql("k", "f") + " > 0.85::DOUBLE)) > 0 "
+            "THEN w.kept ELSE list_append(w.kept, " + st + ") END "
+            "FROM walk w JOIN fr f ON f.rn = w.rn + 1)\n"
+            "SELECT ord, name, phone, email, website, address, category FROM businesses WHERE ord IN "
+            "(SELECT unnest(list_transform(kept, lambda k: k.ord)) FROM walk WHERE rn = (SELECT count(*) FROM fr))")

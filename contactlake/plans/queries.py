@@ -61,3 +61,30 @@ def page_phone_list(spark, sf_dir):
     c = site_contacts(spark, sf_dir)
     return c.select("page_id", F.posexplode("phones").alias("pos", "phone")) \
             .select("page_id", F.col("pos").cast("bigint").alias("pos"), "phone")
+
+
+# --- dedup (D1, D8, D9) -------------------------------------------------------
+from contactlake.operators.dedup import (FEATURE_COLS, dedup_ordered, duplicate_edges,  # noqa: E402
+                                         with_dedup_features)
+
+BUSINESS_COLS = ["ord", "name", "phone", "email", "website", "address", "category"]
+
+
+@query("business_signatures")
+def business_signatures(spark, sf_dir):
+    """Normalised name, address, phone digits, host and signature."""
+    b = fixtures.businesses(spark, sf_dir).transform(with_dedup_features())
+    return b.select("ord", "nname", "naddr", "pd", F.coalesce("host", F.lit("")).alias("host"), "sig")
+
+
+@query("duplicate_pairs")
+def duplicate_pairs(spark, sf_dir):
+    """D8 > 0.85 over the blocked candidate pairs (each pair once, a < b)."""
+    feat = fixtures.businesses(spark, sf_dir).transform(with_dedup_features()).select(*FEATURE_COLS)
+    return duplicate_edges(feat).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), "score")
+
+
+@query("dedup_businesses")
+def dedup_businesses(spark, sf_dir):
+    """Ordered greedy dedup of the raw business rows."""
+    return dedup_ordered(fixtures.businesses(spark, sf_dir)).select(*BUSINESS_COLS)

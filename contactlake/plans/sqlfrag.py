@@ -125,3 +125,88 @@ def href_list(h: str) -> str:
            f"'\\1\\2') END")
     raw = f"list_filter(list_transform({tags}, lambda t: {one}), lambda v: v IS NOT NULL)"
     return f"list_transform({raw}, lambda v: {decode_all('v')})"
+
+
+# --- dedup features (D1-D8) --------------------------------------------------
+from contactlake.functions.similarity import (NAME_SUFFIXES, STREET_WORDS,  # noqa: E402
+                                              WEIGHTS)
+from contactlake.functions.urls import FORBIDDEN_HOST, IP_RE, URL_RE  # noqa: E402
+
+PUNCT_RE2 = "[^A-Za-z0-9_" + WS + "]"
+
+
+def _finish_norm(x: str) -> str:
+    return js_trim(collapse_ws(x))
+
+
+def norm_name(x: str) -> str:
+    s = f"regexp_replace(lower(coalesce({x}, '')), {q(PUNCT_RE2)}, '', 'g')"
+    s = f"regexp_replace({s}, {q(chr(92) + 'b(' + '|'.join(NAME_SUFFIXES) + ')' + chr(92) + 'b')}, '', 'g')"
+    return _finish_norm(s)
+
+
+def norm_addr(x: str) -> str:
+    s = f"regexp_replace(lower(coalesce({x}, '')), {q(chr(92) + 'b(' + '|'.join(STREET_WORDS) + ')' + chr(92) + 'b')}, '', 'g')"
+    s = f"regexp_replace({s}, {q(PUNCT_RE2)}, '', 'g')"
+    return _finish_norm(s)
+
+
+def url_host_stages(src: str, col: str, out: str, prefix: str) -> str:
+    """CTE stages adding ``out`` = U3 host of column ``col`` (null if the URL
+    does not parse) to every row of ``src``; last stage is ``{prefix}3``."""
+    full = f"CASE WHEN starts_with({col}, 'http') THEN {col} ELSE 'https://' || {col} END"
+    s = (f"regexp_replace(regexp_replace({full}, '[\\t\\n\\r]', '', 'g'), "
+         f"{q('^[' + chr(92) + 'x00-' + chr(92) + 'x20]+|[' + chr(92) + 'x00-' + chr(92) + 'x20]+' + chr(92) + 'z')}, '', 'g')")
+    return (
+        f"{prefix}1 AS (SELECT *, {s} AS __s FROM {src}),\n"
+        f"{prefix}2 AS (SELECT *, lower(regexp_extract(__s, {q(URL_RE)}, 1)) AS __sch, "
+        f"regexp_replace(regexp_extract(__s, {q(URL_RE)}, 2), '(?s)^.*@', '') AS __hp FROM {prefix}1),\n"
+        f"{prefix}3 AS (SELECT * EXCLUDE (__s, __sch, __hp, __h, __p), CASE "
+        f"WHEN coalesce({col}, '') = '' THEN NULL "
+        f"WHEN __sch NOT IN ('http', 'https') OR __h = '' OR regexp_matches(__h, {q(FORBIDDEN_HOST)}) THEN NULL "
+        f"WHEN contains(__hp, ':') AND __p <> '' AND NOT (regexp_matches(__p, '^[0-9]{{1,5}}\\z') "
+        f"AND CAST(__p AS INTEGER) <= 65535) THEN NULL "
+        f"WHEN regexp_matches(__h, '(^|\\.)[0-9]+\\z') THEN CASE WHEN regexp_matches(__h, {q(IP_RE)}) AND "
+        f"greatest(CAST(regexp_extract(__h, {q(IP_RE)}, 1) AS BIGINT), CAST(regexp_extract(__h, {q(IP_RE)}, 2) AS BIGINT), "
+        f"CAST(regexp_extract(__h, {q(IP_RE)}, 3) AS BIGINT), CAST(regexp_extract(__h, {q(IP_RE)}, 4) AS BIGINT)) <= 255 "
+        f"THEN CAST(CAST(regexp_extract(__h, {q(IP_RE)}, 1) AS BIGINT) AS VARCHAR) || '.' || "
+        f"CAST(CAST(regexp_extract(__h, {q(IP_RE)}, 2) AS BIGINT) AS VARCHAR) || '.' || "
+        f"CAST(CAST(regexp_extract(__h, {q(IP_RE)}, 3) AS BIGINT) AS VARCHAR) || '.' || "
+        f"CAST(CAST(regexp_extract(__h, {q(IP_RE)}, 4) AS BIGINT) AS VARCHAR) END "
+        f"ELSE __h END AS {out} FROM (SELECT *, lower(regexp_extract(__hp, '^([^:]*)', 1)) AS __h, "
+        f"regexp_extract(__hp, '(?s):(.*)\\z', 1) AS __p FROM {prefix}2))")
+
+
+def dedup_feature_stages(src: str, prefix: str = "df") -> str:
+    """CTE stages ending in ``{prefix}f`` with ord, name, phone, email,
+    website, address, category, nname, naddr, pd, host, sig."""
+    return (url_host_stages(src, "website", "host", prefix) + ",\n"
+            f"{prefix}f AS (SELECT *, lower(nname || '|' || pd || '|' || coalesce(host, '')) AS sig FROM "
+            f"(SELECT *, {norm_name('name')} AS nname, {norm_addr('address')} AS naddr, "
+            f"{digits(chr(99) + 'oalesce(phone, ' + chr(39) * 2 + ')')} AS pd FROM {prefix}3))")
+
+
+def str_sim(a: str, b: str) -> str:
+    return (f"(CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE WHEN {a} = {b} THEN 1.0::DOUBLE "
+            f"ELSE (greatest(length({a}), length({b})) - levenshtein({a}, {b}))::DOUBLE "
+            f"/ greatest(length({a}), length({b}))::DOUBLE END)")
+
+
+def pair_score_sql(a: str, b: str) -> str:
+    """D8 between row aliases/structs ``a`` and ``b`` (fields as in
+    ``dedup_feature_stages``)."""
+    phone = (f"(CASE WHEN coalesce({a}.phone, '') = '' OR coalesce({b}.phone, '') = '' THEN 0.0::DOUBLE "
+             f"WHEN {a}.pd = {b}.pd THEN 1.0::DOUBLE "
+             f"WHEN contains({a}.pd, {b}.pd) OR contains({b}.pd, {a}.pd) THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END)")
+    web = (f"(CASE WHEN coalesce({a}.website, '') = '' OR coalesce({b}.website, '') = '' THEN 0.0::DOUBLE "
+           f"WHEN {a}.host IS NULL OR {b}.host IS NULL OR {a}.host = '' OR {b}.host = '' THEN 0.0::DOUBLE "
+           f"WHEN {a}.host = {b}.host OR regexp_replace({a}.host, '^www\\.', '') = "
+           f"regexp_replace({b}.host, '^www\\.', '') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")
+    email = (f"(CASE WHEN coalesce({a}.email, '') = '' OR coalesce({b}.email, '') = '' THEN 0.0::DOUBLE "
+             f"WHEN {a}.email = {b}.email THEN 1.0::DOUBLE "
+             f"WHEN split_part({a}.email, '@', 2) <> '' AND strpos({a}.email, '@') > 0 AND strpos({b}.email, '@') > 0 "
+             f"AND split_part({a}.email, '@', 2) = split_part({b}.email, '@', 2) THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END)")
+    w = {k: f"{v!r}::DOUBLE" for k, v in WEIGHTS.items()}
+    return (f"({str_sim(a + '.nname', b + '.nname')} * {w['name']} + {phone} * {w['phone']} "
+            f"+ {web} * {w['website']} + {str_sim(a + '.naddr', b + '.naddr')} * {w['address']} "
+            f"+ {email} * {w['email']})")
