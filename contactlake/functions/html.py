@@ -23,7 +23,7 @@ from typing import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import col_
+from contactlake.functions.text import col_, let
 
 # Raw HTML cap the extractors apply before parsing.
 HTML_CAP = 50_000
@@ -90,14 +90,17 @@ def _decode_hex(c: Column) -> Column:
                                         F.decode(F.unhex(F.lpad(n, 8, "0")), "UTF-32")))
 
 
+def decode_entities(c) -> Column:
+    """Decode named, decimal and hex references; ``&amp;`` last."""
+    def numeric(n):
+        return F.when(n.contains("&#"), let(_decode_numeric(n), _decode_hex)).otherwise(n)
+    return F.replace(let(decode_named(c), numeric), F.lit("&amp;"), F.lit("&"))
+
+
 def with_decoded(src: str, out: str) -> Callable[[DataFrame], DataFrame]:
     """Decode character references of column ``src`` into ``out``."""
     def t(df: DataFrame) -> DataFrame:
-        tmp = f"__{out}_named"
-        df = df.withColumn(tmp, decode_named(src))
-        c = F.col(tmp)
-        df = df.withColumn(tmp, F.when(c.contains("&#"), _decode_hex(_decode_numeric(c))).otherwise(c))
-        return df.withColumn(out, F.replace(F.col(tmp), F.lit("&amp;"), F.lit("&"))).drop(tmp)
+        return df.withColumn(out, decode_entities(src))
     return t
 
 
@@ -110,17 +113,19 @@ def strip_elements(c, tags: Iterable[str] = RAW_TEXT_TAGS) -> Column:
     return F.regexp_replace(col_(c), removal_regex(tags), "")
 
 
+def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = HTML_CAP) -> Column:
+    """``$("body").text()`` after ``$(drop).remove()`` on the capped page."""
+    def from_body(h):
+        return let(F.regexp_extract(h, BODY_RE, 1),
+                   lambda b: F.when(b != "", b).otherwise(F.regexp_replace(h, HEAD_RE, "")))
+    body = let(strip_elements(cap_html(html, cap), drop), from_body)
+    return decode_entities(F.regexp_replace(F.regexp_replace(body, TAG_RE, ""), DANGLING_TAG_RE, ""))
+
+
 def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
                    cap: int | None = HTML_CAP) -> Callable[[DataFrame], DataFrame]:
-    """``$("body").text()`` after ``$(drop).remove()`` on the capped page."""
     def t(df: DataFrame) -> DataFrame:
-        h, b = f"__{out}_h", f"__{out}_b"
-        df = df.withColumn(h, strip_elements(cap_html(html, cap), drop))
-        df = df.withColumn(b, F.regexp_extract(F.col(h), BODY_RE, 1))
-        df = df.withColumn(b, F.when(F.col(b) != "", F.col(b))
-                           .otherwise(F.regexp_replace(F.col(h), HEAD_RE, "")))
-        df = df.withColumn(b, F.regexp_replace(F.regexp_replace(F.col(b), TAG_RE, ""), DANGLING_TAG_RE, ""))
-        return df.transform(with_decoded(b, out)).drop(h, b)
+        return df.withColumn(out, body_text(html, drop, cap))
     return t
 
 

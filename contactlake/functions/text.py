@@ -72,3 +72,14 @@ def null_to_empty(c) -> Column:
 def js_round(c) -> Column:
     """``Math.round``: halves round up (towards +inf)."""
     return F.floor(col_(c) + F.lit(0.5))
+
+
+def let(value, fn) -> Column:
+    """Bind ``value`` once per row and return ``fn(bound)``.
+
+    ``transform`` over a one-element array makes the value a lambda variable:
+    it is evaluated once, however often ``fn`` reads it, and optimizer rules
+    that substitute column aliases (projection collapsing, filter pushdown)
+    cannot copy it into several places.
+    """
+    return F.get(F.transform(F.array(col_(value)), fn), 0)

@@ -1,4 +1,4 @@
-"""URL functions (U1-U6) as staged, JVM-side DataFrame transforms.
+"""URL functions (U1-U6) as JVM-side column expressions and transforms.
 
 ``with_url_parts`` splits an absolute http(s) URL the way a WHATWG parser
 does for the cases that matter here: tab/newline removal, any run of ``/`` or
@@ -9,8 +9,9 @@ IDNA/punycode for non-ASCII hosts, no IPv6 literals, no dot-segment removal,
 no percent-encoding of non-ASCII characters; numeric hosts other than the
 4-part dotted form are rejected.
 
-Each stage is its own column, so every regex runs once per row and the
-generated code stays small.
+Every parsing stage is bound once per row with ``let`` (a lambda variable),
+so each regex runs once and optimizer rules that substitute aliases (filter
+pushdown, projection collapsing) cannot copy the parser into several places.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactlake.functions.text import col_, js_trim
+from contactlake.functions.text import col_, js_trim, let
 
 # --- fixed values: characters the URL standard percent-encodes -------------
 PATH_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"),
@@ -45,32 +46,33 @@ def _escape(c: Column, pairs) -> Column:
     return c
 
 
-def with_url_parts(src, out: str) -> Callable[[DataFrame], DataFrame]:
-    """Add struct ``out``: scheme, host, port (null if default/absent), path,
-    query, fragment, valid (false where a URL parser throws), href, origin."""
-    p = f"__{out}_"
+def url_parts(src) -> Column:
+    """Struct of the parsed URL: scheme, host, port (null if default/absent),
+    path, query, fragment, valid (false where a URL parser throws), href,
+    origin.  Each parsing stage is bound once per row (``let``)."""
+    s0 = F.regexp_replace(F.regexp_replace(col_(src), r"[\t\n\r]", ""),
+                          r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
 
-    def t(df: DataFrame) -> DataFrame:
-        s = F.regexp_replace(F.regexp_replace(col_(src), r"[\t\n\r]", ""),
-                             r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
-        df = df.withColumn(p + "s", s)
-        s = F.col(p + "s")
-        df = df.withColumn(p + "m", F.struct(
-            F.lower(F.regexp_extract(s, URL_RE, 1)).alias("scheme"),
-            F.regexp_extract(s, URL_RE, 2).alias("auth"),
-            F.regexp_extract(s, URL_RE, 3).alias("rest")))
-        m = F.col(p + "m")
+    def split_url(s):
+        return let(F.struct(F.lower(F.regexp_extract(s, URL_RE, 1)).alias("scheme"),
+                            F.regexp_extract(s, URL_RE, 2).alias("auth"),
+                            F.regexp_extract(s, URL_RE, 3).alias("rest")), split_auth)
+
+    def split_auth(m):
         auth = m["auth"]
-        df = df.withColumn(p + "a", F.struct(
-            F.when(auth.contains("@"), F.regexp_extract(auth, r"(?s)^(.*)@", 1)).alias("userinfo"),
-            F.regexp_replace(auth, r"(?s)^.*@", "").alias("hostport")))
-        hp = F.col(p + "a")["hostport"]
-        df = df.withColumn(p + "h", F.struct(
-            F.lower(F.regexp_extract(hp, r"^([^:]*)", 1)).alias("host"),
-            hp.contains(":").alias("has_port"),
-            F.regexp_extract(hp, r"(?s):(.*)\z", 1).alias("port")))
-        h = F.col(p + "h")
-        host_raw, port_raw, has_port = h["host"], h["port"], h["has_port"]
+        return let(F.struct(m["scheme"].alias("scheme"), m["rest"].alias("rest"),
+                            F.when(auth.contains("@"), F.regexp_extract(auth, r"(?s)^(.*)@", 1)).alias("userinfo"),
+                            F.regexp_replace(auth, r"(?s)^.*@", "").alias("hp")), split_host)
+
+    def split_host(a):
+        hp = a["hp"]
+        return let(F.struct(a["scheme"].alias("scheme"), a["rest"].alias("rest"), a["userinfo"].alias("userinfo"),
+                            F.lower(F.regexp_extract(hp, r"^([^:]*)", 1)).alias("host_raw"),
+                            hp.contains(":").alias("has_port"),
+                            F.regexp_extract(hp, r"(?s):(.*)\z", 1).alias("port_raw")), check)
+
+    def check(h):
+        host_raw, port_raw, has_port, scheme = h["host_raw"], h["port_raw"], h["has_port"], h["scheme"]
         octets = [F.regexp_extract(host_raw, IP_RE, i).cast("bigint") for i in range(1, 5)]
         ip_ok = host_raw.rlike(IP_RE) & F.greatest(*octets).between(0, 255)
         numeric_last = host_raw.rlike(r"(^|\.)[0-9]+\z")
@@ -79,33 +81,39 @@ def with_url_parts(src, out: str) -> Callable[[DataFrame], DataFrame]:
         port_ok = (~has_port) | (port_raw == "") | (
             port_raw.rlike(r"^[0-9]{1,5}\z") & (port_raw.cast("int") <= 65535))
         port_num = F.when(has_port & (port_raw != ""), port_raw.cast("int").cast("string"))
-        scheme = m["scheme"]
         default_port = F.when(scheme == "https", "443").when(scheme == "http", "80")
-        rest = m["rest"]
+        rest = h["rest"]
         path = F.replace(F.regexp_extract(rest, r"(?s)^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
-        df = df.withColumn(p + "v", F.struct(
-            host.alias("host"),
+        return let(F.struct(
+            scheme.alias("scheme"), h["userinfo"].alias("userinfo"), host.alias("host"),
             F.when(port_num != default_port, port_num).alias("port"),
             F.coalesce(scheme.isin("http", "https") & (host_raw != "")
                        & ~host_raw.rlike(FORBIDDEN_HOST) & port_ok, F.lit(False)).alias("ok"),
             F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
             F.regexp_extract(rest, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
-            F.regexp_extract(rest, r"(?s)(#.*)\z", 1).alias("fragment")))
-        v = F.col(p + "v")
+            F.regexp_extract(rest, r"(?s)(#.*)\z", 1).alias("fragment")), assemble)
+
+    def assemble(v):
         valid = v["ok"] & v["host"].isNotNull()
         portpart = F.when(v["port"].isNotNull(), F.concat(F.lit(":"), v["port"])).otherwise(F.lit(""))
-        userinfo = F.col(p + "a")["userinfo"]
-        origin = F.concat(scheme, F.lit("://"), v["host"], portpart)
-        href = F.concat(scheme, F.lit("://"),
+        userinfo = v["userinfo"]
+        origin = F.concat(v["scheme"], F.lit("://"), v["host"], portpart)
+        href = F.concat(v["scheme"], F.lit("://"),
                         F.when(userinfo.isNotNull(), F.concat(userinfo, F.lit("@"))).otherwise(F.lit("")),
                         v["host"], portpart, _escape(v["path"], PATH_ESCAPES),
                         _escape(v["query"], QUERY_ESCAPES), _escape(v["fragment"], FRAGMENT_ESCAPES))
-        df = df.withColumn(out, F.struct(
-            scheme.alias("scheme"), v["host"].alias("host"), v["port"].alias("port"),
+        return F.struct(
+            v["scheme"].alias("scheme"), v["host"].alias("host"), v["port"].alias("port"),
             v["path"].alias("path"), v["query"].alias("query"), v["fragment"].alias("fragment"),
-            valid.alias("valid"), F.when(valid, href).alias("href"),
-            F.when(valid, origin).alias("origin")))
-        return df.drop(p + "s", p + "m", p + "a", p + "h", p + "v")
+            valid.alias("valid"), F.when(valid, href).alias("href"), F.when(valid, origin).alias("origin"))
+
+    return let(s0, split_url)
+
+
+def with_url_parts(src, out: str) -> Callable[[DataFrame], DataFrame]:
+    """Add struct column ``out`` = ``url_parts(src)``."""
+    def t(df: DataFrame) -> DataFrame:
+        return df.withColumn(out, url_parts(src))
     return t
 
 

@@ -15,6 +15,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Regex-heavy HTML columns are wide; keep scan splits modest so one task
     # holds a bounded number of pages.
@@ -23,7 +24,8 @@ BASE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "contactlake", extra: dict | None = None) -> SparkSession:
+              app_name: str = "contactlake", extra: dict | None = None,
+              driver_memory: str | None = "8g") -> SparkSession:
     """Build (or reuse) a session with the engine's base settings.
 
     On a cluster ``master`` is left to spark-submit; locally pass ``local[N]``.
@@ -34,6 +36,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local") and driver_memory:
+        # Local mode runs everything in the driver JVM.
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

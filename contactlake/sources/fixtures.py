@@ -70,6 +70,28 @@ FROM {site_pages} WHERE page_id < 1000000
 """
 
 
+# URL intake lines derived from the page URLs: upper case, bare hosts with
+# spaces, localhost, loopback, private IPv4 with port, dotless names, blank
+# lines and trailing dots next to the plain URLs.
+URL_INPUTS_SQL = """
+SELECT page_id AS ord, CASE page_id % 10
+ WHEN 1 THEN upper(url)
+ WHEN 2 THEN '  ' || replace(replace(url, 'https://', ''), 'http://', 'www.') || ' '
+ WHEN 3 THEN 'localhost:' || CAST(8000 + page_id AS STRING)
+ WHEN 4 THEN '127.0.0.1/p' || CAST(page_id AS STRING)
+ WHEN 5 THEN '10.0.' || CAST(page_id % 256 AS STRING) || '.1:8080'
+ WHEN 6 THEN 'intranet' || CAST(page_id AS STRING)
+ WHEN 7 THEN '   '
+ WHEN 8 THEN split_part(url, '/', 3) || '.'
+ ELSE url END AS raw
+FROM {pages}
+"""
+
+
+def url_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(URL_INPUTS_SQL, pages=read_table(spark, sf_dir, "pages"))
+
+
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BUSINESSES_SQL, customer=read_table(spark, sf_dir, "customer"))
 
@@ -99,10 +121,11 @@ def duckdb_fixture_ctes(*names: str) -> str:
         "site_pages": SITE_PAGES_SQL,
         "crawl_log": CRAWL_LOG_SQL,
         "page_businesses": PAGE_BUSINESSES_SQL,
+        "url_inputs": URL_INPUTS_SQL,
     }
     need = list(names)
     if "page_businesses" in need and "site_pages" not in need:
         need.insert(0, "site_pages")
-    order = ["businesses", "site_pages", "crawl_log", "page_businesses"]
+    order = ["businesses", "site_pages", "crawl_log", "page_businesses", "url_inputs"]
     parts = [f"{n} AS ({duckdb_sql(defs[n]).strip()})" for n in order if n in need]
     return "WITH " + ",\n".join(parts) + "\n"
