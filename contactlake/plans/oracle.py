@@ -156,3 +156,331 @@ def _():
             "FROM walk w JOIN fr f ON f.rn = w.rn + 1)\n"
             "SELECT ord, name, phone, email, website, address, category FROM businesses WHERE ord IN "
             "(SELECT unnest(list_transform(kept, lambda k: k.ord)) FROM walk WHERE rn = (SELECT count(*) FROM fr))")
+
+
+# --- validators, URL functions, reports -----------------------------------------
+from contactlake.operators.extract import (BUSINESS_INDICATORS, BUSINESS_MIN_SCORE,  # noqa: E402
+                                           NON_BUSINESS_HOSTS)
+from contactlake.operators.freshness import DEFAULT_TTL_MS, TTL_MS  # noqa: E402
+from contactlake.functions.validate import DISPOSABLE_DOMAINS  # noqa: E402
+
+BCOLS = "ord, name, phone, email, website, address, category"
+
+
+def _validated() -> str:
+    return duckdb_fixture_ctes("businesses") + ",\n" + S.validated_stages() + "\n"
+
+
+@oracle("validated_businesses")
+def _():
+    return _validated() + "SELECT * FROM validated"
+
+
+@oracle("phone_formats")
+def _():
+    return (duckdb_fixture_ctes("businesses")
+            + f"SELECT ord, phone, coalesce({S.valid_phone('phone')}, '') AS formatted, "
+              f"CAST(length({S.digits('phone')}) AS BIGINT) AS n_digits, "
+              f"coalesce({S.weak_phone('phone')}, false) AS weak_ok FROM businesses")
+
+
+def _biz_sql() -> str:
+    from contactlake.sources.fixtures import BUSINESSES_SQL, duckdb_sql
+    return duckdb_sql(BUSINESSES_SQL).strip()
+
+
+@oracle("email_checks")
+def _():
+    body = (site_contacts_sql().replace("WITH ", "WITH businesses AS (" + _biz_sql() + "),\n", 1)
+            + ", e AS (SELECT 'business' AS src, ord AS id, email FROM businesses UNION ALL "
+              "SELECT 'page', page_id, unnest(emails) FROM sc)\n"
+            + f"SELECT src, id, email, coalesce({S.valid_email('email')}, false) AS valid, "
+              f"coalesce({S.weak_email('email')}, false) AS weak_ok, "
+              f"coalesce(strpos(email, '@') > 0 AND lower(split_part(email, '@', 2)) IN "
+              f"({', '.join(q(d) for d in DISPOSABLE_DOMAINS)}), false) "
+              f"AS disposable FROM e")
+    return body
+
+
+@oracle("page_url_normalised")
+def _():
+    return (duckdb_fixture_ctes("businesses") + ",\n"
+            + "u AS (SELECT 'page' AS src, page_id AS id, url AS raw FROM pages UNION ALL "
+              "SELECT 'business', ord, website FROM businesses),\n"
+            + S.normalized_website_stages("u", "raw", "n", "nw") + ",\n"
+            + S.url_host_stages("nw7", "raw", "h", "hs") + "\n"
+            + "SELECT src, id, raw, coalesce(n, '') AS normalized, coalesce(h, '') AS host FROM hs3")
+
+
+@oracle("url_intake_errors")
+def _():
+    return (duckdb_fixture_ctes("url_inputs") + ",\n"
+            + f"u AS (SELECT ord, raw, 'https://' || {S.strip_prefix('lower(' + S.js_trim('raw') + ')')} AS cleaned "
+              f"FROM url_inputs WHERE {S.js_trim('raw')} <> ''),\n"
+            + S.url_parts_stages("u", "cleaned", "up") + "\n"
+            + "SELECT ord, raw, cleaned, CASE WHEN NOT up_valid THEN 'Invalid URL: Invalid URL' "
+              "WHEN NOT contains(up_host, '.') THEN 'Invalid URL: Invalid domain format' "
+              "WHEN contains(up_host, 'localhost') OR contains(up_host, '127.0.0.1') "
+              "OR regexp_matches(up_host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+\\z') "
+              "THEN 'Invalid URL: Local URLs not supported' ELSE '' END AS error FROM up6")
+
+
+@oracle("redirect_links")
+def _():
+    return ("WITH l AS (SELECT page_id, '/url?q=' || url_encode(url) || '&sa=U&ved=x' AS link FROM pages)\n"
+            "SELECT page_id, link, CASE WHEN contains(link, '/url?') AND regexp_extract(link, 'url\\?q=([^&]+)', 1) <> '' "
+            "THEN coalesce(url_decode(replace(regexp_extract(link, 'url\\?q=([^&]+)', 1), '+', '%2B')), link) "
+            "ELSE link END AS target FROM l")
+
+
+@oracle("search_requests")
+def _():
+    enc = "url_encode(business_type || ' in ' || location)"
+    for a, b in [("%21", "!"), ("%2A", "*"), ("%27", "'"), ("%28", "("), ("%29", ")")]:
+        enc = f"replace({enc}, {q(a)}, {q(b)})"
+    return ("WITH qq AS (SELECT DISTINCT c_mktsegment AS business_type, n_name AS location FROM customer "
+            "JOIN nation ON c_nationkey = n_nationkey), pg AS (SELECT unnest([1, 2, 3]) AS page)\n"
+            f"SELECT business_type, location, CAST(page AS BIGINT) AS page, "
+            f"'https://www.google.com/search?tbm=lcl&q=' || {enc} || '&hl=en&gl=us&start=' || "
+            f"CAST((page - 1) * 10 AS VARCHAR) AS request_url FROM qq, pg")
+
+
+@oracle("coverage_stats")
+def _():
+    nb = lambda c: f"{S.js_trim('coalesce(' + c + ', ' + chr(39) * 2 + ')')} <> ''"
+    return (_validated() + f"SELECT count(*) AS total, count_if({nb('phone')}) AS with_phone, "
+            f"count_if({nb('email')}) AS with_email, count_if({nb('website')}) AS with_website FROM validated")
+
+
+def _nb(c: str) -> str:
+    return f"({S.js_trim('coalesce(' + c + ', ' + chr(39) * 2 + ')')} <> '')"
+
+
+@oracle("export_counts")
+def _():
+    nw = f"(NOT {_nb('website')})"
+    return (_validated() + f"SELECT count(*) AS total, count_if({nw}) AS without_website, "
+            f"count_if({_nb('phone')}) AS all_phone, count_if({_nb('email')}) AS all_email, "
+            f"count_if({_nb('website')}) AS all_website, count_if({nw} AND {_nb('phone')}) AS nw_phone, "
+            f"count_if({nw} AND {_nb('email')}) AS nw_email, count_if({nw} AND {_nb('website')}) AS nw_website "
+            f"FROM validated")
+
+
+@oracle("export_no_website")
+def _():
+    return (_validated() + 'SELECT name AS "Business Name", category AS "Category", phone AS "Phone", '
+            'email AS "Email", website AS "Website", address AS "Address" FROM validated '
+            f"WHERE NOT {_nb('website')}")
+
+
+@oracle("display_rows")
+def _():
+    cut = lambda c, n: f"CASE WHEN length({c}) > {n} THEN substr({c}, 1, {n}) || '...' ELSE {c} END"
+    return (_validated() + "SELECT ord, name, "
+            f"CASE WHEN category <> '' THEN {cut('category', 60)} ELSE '' END AS category_text, "
+            "CASE WHEN phone <> '' THEN phone ELSE 'No phone' END AS phone_text, "
+            "CASE WHEN email <> '' THEN email ELSE 'No email' END AS email_text, "
+            "CASE WHEN website <> '' THEN website ELSE 'No website' END AS website_text, "
+            f"CASE WHEN address <> '' THEN {cut('address', 25)} ELSE 'No address' END AS address_text FROM validated")
+
+
+@oracle("page_slice")
+def _():
+    return _validated() + "SELECT * FROM validated ORDER BY ord LIMIT 10 OFFSET 20"
+
+
+@oracle("page_meta")
+def _():
+    return (_validated() + ", v AS (SELECT *, CAST(floor(ord / 10) + 1 AS BIGINT) AS page FROM validated),\n"
+            "per AS (SELECT category, page, count(*) AS rows FROM v GROUP BY category, page),\n"
+            "tot AS (SELECT category, count(*) AS total_results FROM v GROUP BY category)\n"
+            "SELECT per.category, CAST(page AS BIGINT) AS current_page, CAST(rows AS BIGINT) AS rows, "
+            "page < CAST(ceil(total_results / 10.0::DOUBLE) AS BIGINT) AS has_next_page, page > 1 AS has_previous_page, "
+            "CAST(ceil(total_results / 10.0::DOUBLE) AS BIGINT) AS total_pages, CAST(total_results AS BIGINT) AS total_results "
+            "FROM per JOIN tot ON per.category = tot.category")
+
+
+@oracle("accumulated_pages")
+def _():
+    return (duckdb_fixture_ctes("businesses")
+            + ", b AS (SELECT *, category AS query, CAST(floor(ord / 50) AS BIGINT) + 1 AS page FROM businesses),\n"
+              "f AS (SELECT query, name, min(page) AS first_page FROM b GROUP BY query, name)\n"
+              f"SELECT b.query, b.page, {', '.join('b.' + c for c in BCOLS.split(', '))} FROM b "
+              "JOIN f ON b.query = f.query AND b.name = f.name WHERE b.page = f.first_page")
+
+
+# --- crawl log ------------------------------------------------------------------
+from contactlake.operators.crawl import REASON_PHRASES  # noqa: E402
+
+
+def _status_message(s: str) -> str:
+    phrase = "CASE " + s + " " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in REASON_PHRASES.items()) + " ELSE '' END"
+    return (f"CASE WHEN {s} >= 200 AND {s} < 300 THEN NULL "
+            f"WHEN {s} IN (403, 429) THEN 'Access denied (' || CAST({s} AS VARCHAR) || '): Website may be blocking automated requests' "
+            f"WHEN {s} = 404 THEN 'Page not found (404): Website may not exist' "
+            f"WHEN {s} >= 500 THEN 'Server error (' || CAST({s} AS VARCHAR) || '): Website may be temporarily unavailable' "
+            f"ELSE 'HTTP ' || CAST({s} AS VARCHAR) || ': ' || {phrase} END")
+
+
+def _attempts_sql() -> str:
+    return (duckdb_fixture_ctes("crawl_log")
+            + ", a AS (SELECT url, status, row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS attempt "
+              "FROM crawl_log), a3 AS (SELECT * FROM a WHERE attempt <= 3),\n"
+              "d AS (SELECT url, count(*) AS attempts, min(CASE WHEN (status >= 200 AND status < 300) OR status IN (403, 404, 429) "
+              "THEN attempt END) AS dec_at, max(attempt) AS last_at FROM a3 GROUP BY url),\n"
+              "o AS (SELECT d.url, CAST(d.attempts AS BIGINT) AS attempts, CAST(coalesce(dec_at, last_at) AS BIGINT) AS final_attempt, "
+              "CAST(a3.status AS BIGINT) AS status FROM d JOIN a3 ON a3.url = d.url AND a3.attempt = coalesce(dec_at, last_at)),\n"
+              f"outcome AS (SELECT *, status >= 200 AND status < 300 AS ok, coalesce({_status_message('status')}, '') AS message FROM o)\n")
+
+
+@oracle("attempt_outcome")
+def _():
+    return _attempts_sql() + "SELECT * FROM outcome"
+
+
+def _category_sql(m: str, status: str | None) -> tuple[str, str]:
+    server = f"contains({m}, 'Server error') OR contains({m}, '5')" if status is None else \
+        f"contains({m}, 'Server error') OR coalesce({status} >= 500, contains({m}, '5'))"
+    from contactlake.operators import crawl as CR
+    rules = [
+        (f"contains({m}, 'timeout') OR contains({m}, 'Request timeout')", "timeout", q(CR.MSG_TIMEOUT)),
+        (f"contains({m}, 'Access denied') OR contains({m}, '403') OR contains({m}, '429')", "network", q(CR.MSG_BLOCKED)),
+        (f"contains({m}, '404') OR contains({m}, 'not found')", "network", q(CR.MSG_NOT_FOUND)),
+        (f"contains({m}, 'Not a business website')", "content", q(CR.MSG_NOT_BUSINESS)),
+        (f"contains({m}, 'Invalid URL')", "validation", m),
+        (server, "network", q(CR.MSG_SERVER)),
+        (f"contains({m}, 'quota') OR contains({m}, 'exceeded')", "network", q(CR.MSG_QUOTA)),
+    ]
+    cat = "CASE " + " ".join(f"WHEN {c} THEN {q(k)}" for c, k, _ in rules) + " ELSE 'unknown' END"
+    msg = "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, _, v in rules) + f" ELSE {m} END"
+    return cat, msg
+
+
+def _errors_sql(strict: bool) -> str:
+    cat, msg = _category_sql("text", None if strict else "status")
+    return (_attempts_sql() + ", t AS (SELECT url, status, url || ': ' || message AS text FROM outcome WHERE NOT ok),\n"
+            f"ec AS (SELECT url, status, text, {cat} AS category, {msg} AS error_message FROM t)\n")
+
+
+@oracle("error_categories")
+def _():
+    return _errors_sql(False) + "SELECT *, url || ': ' || error_message AS line FROM ec"
+
+
+@oracle("error_categories_strict")
+def _():
+    return _errors_sql(True) + "SELECT *, url || ': ' || error_message AS line FROM ec"
+
+
+@oracle("error_category_counts")
+def _():
+    return _errors_sql(False) + "SELECT category, CAST(count(*) AS BIGINT) AS n FROM ec GROUP BY category"
+
+
+@oracle("redirect_targets")
+def _():
+    from contactlake.operators.crawl import MAX_REDIRECTS, REDIRECT_STATUSES
+    red = ", ".join(str(s) for s in REDIRECT_STATUSES)
+    head = (duckdb_fixture_ctes("crawl_log")
+            + ", last AS (SELECT url AS k_url, arg_max(status, (fetched_at, event_id)) AS k_status, "
+              "arg_max(location, (fetched_at, event_id)) AS k_loc FROM crawl_log GROUP BY url),\n"
+              "s0 AS (SELECT k_url AS url, k_url AS cur, 0 AS hops FROM last)")
+    parts, outs = [head], []
+    for i in range(MAX_REDIRECTS + 1):
+        parts.append(
+            f"j{i} AS (SELECT s{i}.*, k_status, k_loc, CASE WHEN k_status IS NULL THEN 'fetch failed' "
+            f"WHEN k_status >= 200 AND k_status < 300 THEN 'ok' "
+            f"WHEN k_status IN ({red}) AND coalesce(k_loc, '') = '' THEN 'Redirect (' || CAST(k_status AS VARCHAR) || ') without Location header' "
+            f"WHEN k_status NOT IN ({red}) THEN 'Failed to fetch (' || CAST(k_status AS VARCHAR) || ')' END AS outc, "
+            f"CASE WHEN starts_with(k_loc, 'http') THEN k_loc "
+            f"WHEN starts_with(k_loc, '//') THEN split_part(cur, ':', 1) || ':' || k_loc "
+            f"WHEN starts_with(k_loc, '/') THEN regexp_extract(cur, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || k_loc "
+            f"ELSE regexp_replace(regexp_extract(cur, '^([^?#]*)', 1), '[^/]*\\z', '') || k_loc END AS nxt "
+            f"FROM s{i} LEFT JOIN last ON cur = k_url)")
+        outs.append(f"SELECT url, cur AS final_url, CAST(hops AS BIGINT) AS hops, CAST(k_status AS BIGINT) AS status, "
+                    f"outc AS outcome FROM j{i} WHERE outc IS NOT NULL")
+        if i < MAX_REDIRECTS:
+            parts.append(f"s{i + 1} AS (SELECT url, nxt AS cur, hops + 1 AS hops FROM j{i} WHERE outc IS NULL)")
+        else:
+            outs.append(f"SELECT url, nxt AS final_url, CAST(hops + 1 AS BIGINT) AS hops, CAST(k_status AS BIGINT) AS status, "
+                        f"'Too many redirects when fetching ' || url AS outcome FROM j{i} WHERE outc IS NULL")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(outs)
+
+
+def _entries_sql() -> str:
+    ttl = "CASE kind " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in TTL_MS.items()) + f" ELSE {DEFAULT_TTL_MS} END"
+    key = f"kind || ':' || regexp_replace(lower(url), {q('[' + S.WS + ']+')}, '_', 'g')"
+    return (duckdb_fixture_ctes("crawl_log")
+            + f", ce AS (SELECT {key} AS key, kind, url, fetched_at, event_id, CAST({ttl} AS BIGINT) AS ttl_ms "
+              "FROM crawl_log WHERE status >= 200 AND status < 300),\n"
+              "lk AS (SELECT key, arg_max(fetched_at, (fetched_at, event_id)) AS fetched_at, "
+              "arg_max(event_id, (fetched_at, event_id)) AS event_id, arg_max(kind, (fetched_at, event_id)) AS kind, "
+              "arg_max(ttl_ms, (fetched_at, event_id)) AS ttl_ms FROM ce GROUP BY key),\n"
+              "nw AS (SELECT max(fetched_at) AS now FROM crawl_log),\n"
+              "fr AS (SELECT lk.*, CAST(floor((epoch_us(now) - epoch_us(fetched_at)) / 1000) AS BIGINT) AS age_ms, "
+              "(epoch_us(now) - epoch_us(fetched_at)) <= ttl_ms * 1000 AS fresh FROM lk, nw)\n")
+
+
+@oracle("latest_by_key")
+def _():
+    return _entries_sql() + "SELECT key, fetched_at, event_id, kind, ttl_ms FROM lk"
+
+
+@oracle("fresh_lookup")
+def _():
+    return _entries_sql() + "SELECT key, kind, fetched_at, ttl_ms, age_ms, fresh FROM fr"
+
+
+@oracle("expired_entries")
+def _():
+    return _entries_sql() + "SELECT key, kind, fetched_at, age_ms FROM fr WHERE NOT fresh"
+
+
+@oracle("cache_stats")
+def _():
+    return _entries_sql() + "SELECT count_if(fresh) AS size, count_if(NOT fresh) AS expired FROM fr"
+
+
+# --- mentions in documents --------------------------------------------------------
+def _email_mentions_sql() -> str:
+    return ("WITH m AS (SELECT doc_id, list_transform(list_filter(CASE WHEN strpos(text, '@') > 0 THEN "
+            f"regexp_extract_all(text, {q(S.EMAIL_TEXT_RE2)}, 0) ELSE []::VARCHAR[] END, lambda x: {S.weak_email('x')}), "
+            "lambda x: lower(x)) AS found FROM documents),\n"
+            f"d AS (SELECT doc_id, {S.ordered_distinct('found')} AS l FROM m),\n"
+            "em AS (SELECT doc_id, CAST(g.i - 1 AS BIGINT) AS pos, l[g.i] AS email FROM d, "
+            "LATERAL (SELECT unnest(generate_series(1, len(l))) AS i) g)\n")
+
+
+@oracle("email_mentions")
+def _():
+    return _email_mentions_sql() + "SELECT * FROM em"
+
+
+@oracle("email_domain_counts")
+def _():
+    return (_email_mentions_sql() + "SELECT CASE WHEN strpos(email, '@') > 0 THEN split_part(email, '@', 2) END AS domain, "
+            "count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM em GROUP BY 1")
+
+
+def _phone_mentions_sql(strict: bool) -> str:
+    parts = [f"list_filter(list_transform(regexp_extract_all(text, {q(p)}, 0), lambda x: {S.js_trim('x')}), "
+             f"lambda x: {S.weak_phone('x')})" for p in S.phone_res_re2(strict)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = f"list_concat({found}, {p})"
+    fake = " AND ".join(f"NOT contains(x, {q(f)})" for f in FAKE_PHONE_SUBSTRINGS)
+    return (f"WITH m AS (SELECT doc_id, {found} AS found FROM documents),\n"
+            f"d AS (SELECT doc_id, list_filter({S.ordered_distinct('found')}, lambda x: length({S.digits('x')}) "
+            f"BETWEEN 10 AND 15 AND {fake}) AS l FROM m)\n"
+            "SELECT doc_id, CAST(g.i - 1 AS BIGINT) AS pos, l[g.i] AS phone FROM d, "
+            "LATERAL (SELECT unnest(generate_series(1, len(l))) AS i) g")
+
+
+@oracle("phone_mentions")
+def _():
+    return _phone_mentions_sql(False)
+
+
+@oracle("phone_mentions_strict")
+def _():
+    return _phone_mentions_sql(True)

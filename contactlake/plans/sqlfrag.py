@@ -210,3 +210,91 @@ def pair_score_sql(a: str, b: str) -> str:
     return (f"({str_sim(a + '.nname', b + '.nname')} * {w['name']} + {phone} * {w['phone']} "
             f"+ {web} * {w['website']} + {str_sim(a + '.naddr', b + '.naddr')} * {w['address']} "
             f"+ {email} * {w['email']})")
+
+
+# --- URL parsing in SQL (U1/U2/U3/U5) ---------------------------------------
+from contactlake.functions.urls import (FRAGMENT_ESCAPES, PATH_ESCAPES,  # noqa: E402
+                                        QUERY_ESCAPES)
+
+BS = chr(92)
+
+
+def _esc(x: str, pairs) -> str:
+    for a, b in pairs:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+def url_parts_stages(src: str, expr: str, p: str) -> str:
+    """CTE stages (last one ``{p}5``) adding ``{p}_valid``, ``{p}_host``,
+    ``{p}_href``, ``{p}_origin``, ``{p}_scheme``, ``{p}_path`` for the URL
+    string ``expr`` on every row of ``src``."""
+    strip = q("^[" + BS + "x00-" + BS + "x20]+|[" + BS + "x00-" + BS + "x20]+" + BS + "z")
+    s = f"regexp_replace(regexp_replace({expr}, '[\\t\\n\\r]', '', 'g'), {strip}, '', 'g')"
+    ipx = [f"TRY_CAST(regexp_extract({p}_hr, {q(IP_RE)}, {i}) AS BIGINT)" for i in range(1, 5)]
+    return (
+        f"{p}1 AS (SELECT *, {s} AS {p}_s FROM {src}),\n"
+        f"{p}2 AS (SELECT *, lower(regexp_extract({p}_s, {q(URL_RE)}, 1)) AS {p}_scheme, "
+        f"regexp_extract({p}_s, {q(URL_RE)}, 2) AS {p}_auth, regexp_extract({p}_s, {q(URL_RE)}, 3) AS {p}_rest "
+        f"FROM {p}1),\n"
+        f"{p}3 AS (SELECT *, CASE WHEN contains({p}_auth, '@') THEN regexp_extract({p}_auth, '(?s)^(.*)@', 1) END AS {p}_ui, "
+        f"regexp_replace({p}_auth, '(?s)^.*@', '') AS {p}_hp FROM {p}2),\n"
+        f"{p}4 AS (SELECT *, lower(regexp_extract({p}_hp, '^([^:]*)', 1)) AS {p}_hr, contains({p}_hp, ':') AS {p}_hasp, "
+        f"regexp_extract({p}_hp, '(?s):(.*)\\z', 1) AS {p}_pr, "
+        f"replace(regexp_extract({p}_rest, '(?s)^([^?#]*)', 1), {q(BS)}, '/') AS {p}_path0, "
+        f"regexp_extract({p}_rest, '(?s)^[^?#]*(\\?[^#]*)', 1) AS {p}_query, "
+        f"regexp_extract({p}_rest, '(?s)(#.*)\\z', 1) AS {p}_frag FROM {p}3),\n"
+        f"{p}5a AS (SELECT *, CASE WHEN regexp_matches({p}_hr, '(^|\\.)[0-9]+\\z') THEN "
+        f"CASE WHEN regexp_matches({p}_hr, {q(IP_RE)}) AND greatest({', '.join(ipx)}) <= 255 THEN "
+        f"{' || '.join(f'CAST({x} AS VARCHAR)' for x in ipx).replace(' || ', chr(32) + '|| ' + q('.') + ' || ')} END "
+        f"ELSE {p}_hr END AS {p}_host0, "
+        f"(NOT {p}_hasp OR {p}_pr = '' OR (regexp_matches({p}_pr, '^[0-9]{{1,5}}\\z') AND TRY_CAST({p}_pr AS INTEGER) <= 65535)) AS {p}_portok, "
+        f"CASE WHEN {p}_hasp AND {p}_pr <> '' THEN CAST(TRY_CAST({p}_pr AS INTEGER) AS VARCHAR) END AS {p}_pn, "
+        f"CASE WHEN {p}_path0 = '' THEN '/' ELSE {p}_path0 END AS {p}_path FROM {p}4),\n"
+        f"{p}5 AS (SELECT *, ({p}_scheme IN ('http', 'https') AND {p}_hr <> '' AND NOT regexp_matches({p}_hr, {q(FORBIDDEN_HOST)}) "
+        f"AND coalesce({p}_portok, false) AND {p}_host0 IS NOT NULL) AS {p}_valid, "
+        f"CASE WHEN {p}_pn IS NOT NULL AND {p}_pn <> CASE {p}_scheme WHEN 'https' THEN '443' WHEN 'http' THEN '80' END "
+        f"THEN ':' || {p}_pn ELSE '' END AS {p}_portpart FROM {p}5a),\n"
+        f"{p}6 AS (SELECT *, CASE WHEN {p}_valid THEN {p}_host0 END AS {p}_host, "
+        f"CASE WHEN {p}_valid THEN {p}_scheme || '://' || coalesce({p}_ui || '@', '') || {p}_host0 || {p}_portpart || "
+        f"{_esc(p + '_path', PATH_ESCAPES)} || {_esc(p + '_query', QUERY_ESCAPES)} || {_esc(p + '_frag', FRAGMENT_ESCAPES)} END AS {p}_href, "
+        f"CASE WHEN {p}_valid THEN {p}_scheme || '://' || {p}_host0 || {p}_portpart END AS {p}_origin FROM {p}5)")
+
+
+def url_parts_cols(p: str) -> str:
+    """Helper columns of ``url_parts_stages`` to exclude afterwards."""
+    return ", ".join(f"{p}_{c}" for c in ["s", "scheme", "auth", "rest", "ui", "hp", "hr", "hasp", "pr", "path0",
+                                          "query", "frag", "host0", "portok", "pn", "path", "valid", "portpart",
+                                          "host", "href", "origin"])
+
+
+def strip_prefix(x: str) -> str:
+    return f"regexp_replace({x}, '^(https?://)?(www\\.)?', '')"
+
+
+def normalized_website_stages(src: str, col: str, out: str, p: str) -> str:
+    """Stages ending in ``{p}7`` with column ``out`` (href or NULL)."""
+    clean = strip_prefix(f"lower({js_trim(col)})")
+    dom = f"split_part({p}_c, '/', 1)"
+    bad = (f"(NOT contains({dom}, '.') OR ends_with({dom}, '.') OR contains({dom}, 'localhost') "
+           f"OR contains({dom}, '127.0.0.1') OR regexp_matches({dom}, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+\\z'))")
+    return (f"{p}0a AS (SELECT *, {clean} AS {p}_c FROM {src}),\n"
+            f"{p}0 AS (SELECT *, CASE WHEN coalesce({col}, '') = '' OR {bad} THEN NULL ELSE {p}_c END AS {p}_cl FROM {p}0a),\n"
+            + url_parts_stages(f"{p}0", f"'https://' || {p}_cl", p) + ",\n"
+            f"{p}7 AS (SELECT * EXCLUDE ({p}_c, {p}_cl, {url_parts_cols(p)}), {p}_href AS {out} FROM {p}6)")
+
+
+def clean_text(x: str, lo: int, hi: int) -> str:
+    t = js_trim(x)
+    return (f"CASE WHEN coalesce({x}, '') = '' THEN NULL WHEN length({t}) < {lo} THEN NULL "
+            f"WHEN length({t}) > {hi} THEN substr({t}, 1, {hi}) ELSE {collapse_ws(t)} END")
+
+
+def validated_stages(src: str = "businesses", p: str = "vw") -> str:
+    """V6 over ``src`` (ord + six columns): stages ending in ``validated``."""
+    return (normalized_website_stages(src, "website", "nsite", p) + ",\n"
+            f"validated AS (SELECT ord, coalesce({clean_text('name', 2, 200)}, name, '') AS name, "
+            f"coalesce({valid_phone('phone')}, '') AS phone, "
+            f"CASE WHEN {valid_email('email')} THEN email ELSE '' END AS email, "
+            f"coalesce(nsite, '') AS website, coalesce({clean_text('address', 5, 500)}, '') AS address, "
+            f"coalesce({js_trim('category')}, '') AS category FROM {p}7)")
