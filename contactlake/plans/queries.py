@@ -183,7 +183,13 @@ from contactlake.operators.extract import (TRADITIONAL_CONFIDENCE, with_business
 
 
 def site_page_contacts(spark, sf_dir):
-    return contacts_with_fallback(page_contacts(fixtures.site_pages(spark, sf_dir)))
+    """Per-page contacts with fallback.  The page pass is materialised once
+    (reliable checkpoint) because the fallback self-join and both enrichment
+    joins read it: one regex pass over the HTML instead of four."""
+    from contactlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    pc = page_contacts(fixtures.site_pages(spark, sf_dir)).checkpoint(eager=True)
+    return contacts_with_fallback(pc)
 
 
 @query("contact_page_fallback")
