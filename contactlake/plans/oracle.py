@@ -484,3 +484,71 @@ def _():
 @oracle("phone_mentions_strict")
 def _():
     return _phone_mentions_sql(True)
+
+
+# --- contact-page fallback, enrichment, business score ---------------------------
+def _fallback_sql(extra_fixtures=()) -> str:
+    base = site_contacts_sql()
+    for f in extra_fixtures:
+        base = base.replace("WITH ", f"WITH {f},\n", 1)
+    rm = q(S.removal_regex(H.RAW_TEXT_TAGS))
+    kw = "lambda x: contains(x, 'contact') OR contains(x, 'Contact')"
+    return (base + f", k1 AS (SELECT url, emails, phones, {best_email_expr()} AS best_email, {best_phone_expr()} AS best_phone, "
+            f"list_filter({S.href_list('regexp_replace(html, ' + rm + ', ' + chr(39) * 2 + ', ' + q('g') + ')')}, {kw})[1] AS khref "
+            "FROM sc),\n"
+            + S.url_parts_stages("k1", "url", "ko") + ",\n"
+            "k2 AS (SELECT url, best_email, best_phone, CASE WHEN khref IS NULL THEN NULL "
+            "WHEN starts_with(khref, 'http') THEN khref WHEN starts_with(khref, '/') THEN ko_origin || khref "
+            "ELSE ko_origin || '/' || khref END AS contact_url FROM ko6),\n"
+            "fb AS (SELECT m.url, m.contact_url, m.best_email, m.best_phone, c.best_email AS c_email, c.best_phone AS c_phone, "
+            "coalesce(m.best_email, c.best_email) AS email, coalesce(m.best_phone, c.best_phone) AS phone "
+            "FROM k2 m LEFT JOIN k2 c ON m.contact_url = c.url AND (m.best_email IS NULL OR m.best_phone IS NULL) "
+            "AND m.contact_url IS NOT NULL)\n")
+
+
+@oracle("contact_page_fallback")
+def _():
+    return (_fallback_sql() + "SELECT url, coalesce(contact_url, '') AS contact_url, coalesce(email, '') AS email, "
+            "coalesce(phone, '') AS phone, CASE WHEN best_email IS NOT NULL THEN 'main' WHEN c_email IS NOT NULL "
+            "THEN 'contact' ELSE '' END AS email_source, CASE WHEN best_phone IS NOT NULL THEN 'main' "
+            "WHEN c_phone IS NOT NULL THEN 'contact' ELSE '' END AS phone_source FROM fb")
+
+
+def _enriched_sql(field: str) -> str:
+    from contactlake.sources.fixtures import PAGE_BUSINESSES_SQL, duckdb_sql
+    pb = "page_businesses AS (" + duckdb_sql(PAGE_BUSINESSES_SQL).strip() + ")"
+    sql = _fallback_sql()
+    sql = sql.replace("sc AS (SELECT", pb + ",\nsc AS (SELECT", 1)
+    pred = (f"coalesce(b.website, '') <> '' AND coalesce(b.{field}, '') = '' AND starts_with(b.website, 'http')")
+    cols = [f"coalesce(f.{field}, b.{field}) AS {field}" if c == field else f"b.{c}" for c in BCOLS.split(", ")]
+    return sql + f"SELECT {', '.join(cols)} FROM page_businesses b LEFT JOIN fb f ON b.website = f.url AND {pred}"
+
+
+@oracle("enriched_emails")
+def _():
+    return _enriched_sql("email")
+
+
+@oracle("enriched_phones")
+def _():
+    return _enriched_sql("phone")
+
+
+@oracle("business_score")
+def _():
+    rm = q(S.removal_regex(()))
+    body = (f"CASE WHEN regexp_extract(h, {q(H.BODY_RE)}, 1) <> '' THEN regexp_extract(h, {q(H.BODY_RE)}, 1) "
+            f"ELSE regexp_replace(h, {q(H.HEAD_RE)}, '', 'g') END")
+    title = f"array_to_string(regexp_extract_all(h, {q(H.TITLE_RE)}, 1), '')"
+    hits = []
+    for terms, weight in BUSINESS_INDICATORS:
+        cond = " OR ".join(f"contains(t, {q(x)}) OR contains(ti, {q(x)})" for x in terms)
+        hits.append((cond, weight, f"Found business indicator: {terms[0]}"))
+    pts = " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for c, w, _ in hits)
+    reasons = "concat_ws(', ', " + ", ".join(f"CASE WHEN {c} THEN {q(r)} END" for c, _, r in hits) + ")"
+    return (duckdb_fixture_ctes("site_pages")
+            + f", s1 AS (SELECT page_id, url, regexp_replace(html, {rm}, '', 'g') AS h FROM site_pages),\n"
+              f"s2 AS (SELECT page_id, url, lower({S.decode_all(S.strip_tags(body))}) AS t, lower({S.decode_all(title)}) AS ti FROM s1),\n"
+              f"s3 AS (SELECT page_id, url, {pts} AS points, {reasons} AS reasons FROM s2)\n"
+              f"SELECT page_id, url, CAST(points AS BIGINT) AS points, points >= {BUSINESS_MIN_SCORE} AS is_valid, "
+              "points / 100.0::DOUBLE AS confidence, reasons FROM s3")
