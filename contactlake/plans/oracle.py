@@ -552,3 +552,19 @@ def _():
               f"s3 AS (SELECT page_id, url, {pts} AS points, {reasons} AS reasons FROM s2)\n"
               f"SELECT page_id, url, CAST(points AS BIGINT) AS points, points >= {BUSINESS_MIN_SCORE} AS is_valid, "
               "points / 100.0::DOUBLE AS confidence, reasons FROM s3")
+
+
+@oracle("business_verdict")
+def _():
+    score = ORACLE["business_score"]
+    # Reuse the score statement as a CTE next to the contact lists.
+    sc_part = site_contacts_sql()
+    deny = " OR ".join(f"contains(vh, {q(h)})" for h in NON_BUSINESS_HOSTS)
+    return (sc_part + ", bs AS (" + score + "),\n"
+            + S.url_host_stages("sc", "url", "vh", "vs") + ",\n"
+            "j AS (SELECT vs3.page_id, vs3.url, len(emails) > 0 OR len(phones) > 0 AS has, vh, bs.is_valid AS s_valid, "
+            "bs.confidence AS s_conf, bs.reasons AS s_reasons FROM vs3 JOIN bs ON vs3.page_id = bs.page_id)\n"
+            "SELECT page_id, url, CASE WHEN has THEN true WHEN " + f"coalesce({deny}, false)" + " THEN false ELSE s_valid END AS is_valid, "
+            "CASE WHEN has THEN (0.6::DOUBLE + 0.6::DOUBLE) / 2 WHEN " + f"coalesce({deny}, false)" + " THEN 0.0::DOUBLE ELSE s_conf END AS confidence, "
+            "CASE WHEN has THEN 'AI found contact information, AI confidence: 60%' WHEN " + f"coalesce({deny}, false)"
+            + " THEN 'Known non-business platform' ELSE s_reasons END AS reasons FROM j")
