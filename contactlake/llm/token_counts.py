@@ -126,10 +126,9 @@ class PretokenTree:
 def edited_counts(docs: DataFrame, edits_col: str = "edits", text_col: str = "text", path: str | None = None,
                   keep_text: bool = False) -> DataFrame:
     """``docs`` without the edits and the text (unless ``keep_text``: then with
-    the text after the edits), plus n_tokens_before, n_tokens, n_pretokens,
-    n_edits and n_reencoded (pre-tokens encoded anew because of edits)."""
+    the text after the edits), plus n_tokens_before, n_tokens, n_edits and n_reencoded (pre-tokens encoded anew because of edits)."""
     path = path or B.tokenizer_path()
-    added = ["n_tokens_before", "n_tokens", "n_pretokens", "n_edits", "n_reencoded"]
+    added = ["n_tokens_before", "n_tokens", "n_edits", "n_reencoded"]
     kept = [f for f in docs.schema.fields if f.name not in {edits_col, text_col, *added}]
     fields = [*kept, *([T.StructField(text_col, T.StringType())] if keep_text else []),
               *(T.StructField(c, T.LongType()) for c in added)]
@@ -150,13 +149,13 @@ def edited_counts(docs: DataFrame, edits_col: str = "edits", text_col: str = "te
             for batch in common.by_bytes(whole, text_col):
                 get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
                 texts, edits = get(text_col).to_pylist(), get(edits_col).to_pylist()
-                cut = [bpe.split(t or "") for t in texts]
-                bpe.learn({w for ws in cut for w in ws})
+                chunks = bpe.encode_chunks([t or "" for t in texts])
                 out, after = {c: [] for c in added}, []
-                for text, pieces, todo in zip(texts, cut, edits, strict=True):
-                    before = sum([len(bpe.known[p]) if p in bpe.known else counter([p])[0] for p in pieces])
-                    now, encoded, n = before, 0, 0
+                for text, parts, todo in zip(texts, chunks, edits, strict=True):
+                    before = now = sum(map(len, parts))
+                    encoded = n = 0
                     if todo:
+                        pieces = bpe.split(text or "")
                         tree = PretokenTree(pieces, counter, bpe.split)
                         for e in todo:
                             if e is not None and e["start"] is not None and e["stop"] is not None:
@@ -166,7 +165,7 @@ def edited_counts(docs: DataFrame, edits_col: str = "edits", text_col: str = "te
                         text = tree.text() if keep_text else None
                     if keep_text:
                         after.append(text or "")
-                    for c, v in zip(added, (before, now, len(pieces), n, encoded), strict=True):
+                    for c, v in zip(added, (before, now, n, encoded), strict=True):
                         out[c].append(v)
                 cols = [get(f.name) for f in kept] + ([pa.array(after, pa.string())] if keep_text else [])
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(out[c], pa.int64()) for c in added],
