@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from contactlake.llm import bpe, common, token_counts
+from contactlake.llm import bpe, common, decontaminate, pii, quality, secret_scan, token_counts
 from contactlake.sources.tables import read_table
 
 
+def op1_secrets(spark, sf_dir):
+    return secret_scan.span_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark, sf_dir):
+    docs = common.documents_of(read_table(spark, sf_dir, "documents"))
+    return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op4_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality.judge(docs, drop=("text",))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                      "log_ppl")
+
+
+def op9_pii(spark, sf_dir):
+    return pii.span_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_roundtrip(spark, sf_dir):
     return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"))
 
@@ -15,5 +35,5 @@ def op10_edit_counts(spark, sf_dir):
     return token_counts.edited_counts(token_counts.mask_edits(docs))
 
 
-QUERIES = {f.__name__: f for f in (op8_bpe_roundtrip, op10_edit_counts)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_decontaminate, op4_quality, op8_bpe_roundtrip, op9_pii, op10_edit_counts)}
 SQL: dict[str, str] = {}
