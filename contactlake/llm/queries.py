@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactlake.llm import bpe, common, decontaminate, pii, quality, secret_scan, token_counts
+from contactlake.llm import bpe, common, decontaminate, lm_score, pii, quality, secret_scan, token_counts
 from contactlake.sources.tables import read_table
 
 
@@ -10,6 +10,10 @@ def op1_secrets(spark, sf_dir):
     return secret_scan.span_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm_score.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     docs = common.documents_of(read_table(spark, sf_dir, "documents"))
     return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
@@ -35,5 +39,5 @@ def op10_edit_counts(spark, sf_dir):
     return token_counts.edited_counts(token_counts.mask_edits(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_decontaminate, op4_quality, op8_bpe_roundtrip, op9_pii, op10_edit_counts)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lm_score, op3_decontaminate, op4_quality, op8_bpe_roundtrip, op9_pii, op10_edit_counts)}
 SQL: dict[str, str] = {}
