@@ -81,9 +81,9 @@ def slices(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, bounds(parts)), [len(sorted_hashes)]]).astype(np.int64)
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame) -> DataFrame:
+def with_replies(chunks: DataFrame, replies: DataFrame, name: str = "replies") -> DataFrame:
     """Each chunk's row with its replies as an array sorted by reducer; as many
     entries as there are reducers."""
     cols = [c for c in replies.columns if c != "chunk"]
-    grouped = replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("replies"))
+    grouped = replies.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     return chunks.join(grouped, "chunk", "left")
