@@ -236,6 +236,31 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", path:
     return docs.mapInArrow(run, schema)
 
 
+def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` without the text, plus n_tokens, ids and round_trip (whether
+    decoding the ids gives the text; null texts count as empty)."""
+    path = path or tokenizer_path()
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+             T.StructField("round_trip", T.BooleanType())]
+    kept = [f for f in docs.schema.fields if f.name not in {text_col, *(a.name for a in added)}]
+    schema = T.StructType([*kept, *added])
+
+    def run(batches):
+        import pyarrow as pa
+        bpe = Bpe(path)
+        for whole in batches:
+            for batch in common.by_bytes(whole, text_col):
+                get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+                texts = [t or "" for t in get(text_col).to_pylist()]
+                ids = bpe.encode_batch(texts)
+                same = [bpe.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(get(f.name) for f in kept), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                     pa.array(same, pa.bool_())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

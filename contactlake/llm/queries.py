@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contactlake.llm import bpe, common, decontaminate, lm_score, near_dedup, pii, quality, secret_scan, suffix_dedup, token_counts
+from contactlake.llm import bpe, common, decontaminate, line_dedup, lm_score, near_dedup, pii, quality, secret_scan, suffix_dedup, token_counts
 from contactlake.sources.tables import read_table
 
 
@@ -30,6 +30,10 @@ def op9_pii(spark, sf_dir):
     return pii.span_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return line_dedup.removal_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
 
@@ -47,5 +51,5 @@ def op10_edit_counts(spark, sf_dir):
     return token_counts.edited_counts(token_counts.mask_edits(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_lm_score, op3_decontaminate, op4_quality, op6_near_dedup, op7_suffix_dedup, op8_bpe_roundtrip, op9_pii, op10_edit_counts)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_lm_score, op3_decontaminate, op4_quality, op5_line_dedup, op6_near_dedup, op7_suffix_dedup, op8_bpe_roundtrip, op9_pii, op10_edit_counts)}
 SQL: dict[str, str] = {}
