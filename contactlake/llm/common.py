@@ -15,11 +15,11 @@ BATCH_BYTES = 4 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; where
     none is set (local tests) a scratch folder becomes the session's own."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None)
-              or spark.sparkContext.getCheckpointDir())
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-llm-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-llm-", dir="/tmp"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
