@@ -9,13 +9,13 @@ probability below 1e-4 (and such a pair is still found unless all chunks have
 two errors).
 
 Documents with equal shingle sets become one class first.  Within a key's
-bucket nothing is paired with everything: each member is a candidate for the
-bucket's smallest one.  Candidates are confirmed on full sets, the closest of
-each document first; links give components, and only candidates across
-components are confirmed further.  Last, members of one bucket that still lie
-in different components are compared directly (signature distance in the join
-condition), so no pair within the distance is left unseen and pairs inside a
-component are never expanded.
+bucket nothing is paired with everything: each member is compared with the
+bucket's smallest one, and those within the distance make clusters.  The
+members of a cluster are confirmed on full sets, block against block inside
+tasks, and only a spanning forest of the links comes out, so a large group of
+near copies yields rows in proportion to its size.  Members of one bucket in
+different clusters are compared directly (signature distance in the join
+condition), so no pair within the distance is left unseen.
 
 Edge cases: null and wordless texts have an empty set, link with nothing and
 are kept; texts with fewer words than a shingle are one shingle; repeated rows
@@ -38,6 +38,8 @@ CHUNKS, WIDTH = 13, 5
 VALUES, DISTANCE = CHUNKS * WIDTH, 2 * CHUNKS - 1
 #: Bits of a minimum that are kept, and of a shingle when full sets are compared.
 SIGNATURE_BITS, SET_BITS = 16, 40
+#: Members of a block of a cluster, and shingles that are counted at once.
+BLOCK, COLUMNS = 256, 4096
 
 
 def shingle_sets(p: Packed, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +157,79 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return j.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _spanning(own: np.ndarray, sets: list[np.ndarray], across: bool, similarity: int) -> list[tuple[int, int]]:
+    """Links (a spanning forest of them) among the sets; with ``across`` only
+    those between rows whose ``own`` block differs."""
+    n = np.array([len(x) for x in sets], np.int64)
+    values, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = count > 1                              # others are in no intersection
+    column = np.cumsum(shared) - 1
+    take = shared[inv]
+    row, col = row[take], column[inv[take]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    for first in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(col, [first, first + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[lo:hi], col[lo:hi] - first] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    good = 100 * both >= similarity * (n[:, None] + n[None, :] - both)
+    if across:
+        good &= own[:, None] != own[None, :]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(good, 1))), strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def cluster_links(clusters: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links inside the clusters (id, component), as (a, b): all members of a
+    cluster are compared on their full sets, block against block, and each
+    pair of blocks returns a spanning forest of its links only."""
+    size = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    t = clusters.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    t = t.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    t = t.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "shingles")
+
+    def run(batches):
+        import pyarrow as pa
+        group, own, ids, held = None, [], [], []
+
+        def close():
+            links = _spanning(np.array(own), held, group[1] != group[2], similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())],
+                                              names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, block, id_, shingles in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                if (c, i, j) != group:
+                    if group is not None:
+                        yield close()
+                    group, own, ids, held = (c, i, j), [], [], []
+                own.append(block)
+                ids.append(id_)
+                held.append(unpack_sorted(shingles))
+        if group is not None:
+            yield close()
+
+    return (t.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+            .mapInArrow(run, "a long, b long"))
+
+
 def _far(x: str, y: str) -> str:
     """SQL for the number of places in which two signatures (arrays) differ."""
     return f"aggregate(zip_with({x}, {y}, (u, v) -> if(u = v, 0, 1)), 0, (s, v) -> s + v)"
@@ -171,55 +246,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     keys = chunk_keys(classes)
     heads = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = common.materialize(keys.join(heads, "key"), "buckets")
-    size = classes.select("rep", "n")
-    near = f"100 * least(na, nb) >= {similarity} * greatest(na, nb)"
-    found = (members.where("rep != pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-             .join(size.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
-             .join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b").where(near).select("a", "b", "shared"))
-    found = common.materialize(found, "candidates")
-    sets = common.materialize(_sets(docs, members.select(F.col("rep").alias("id")).distinct(), shingle), "shingle-sets")
-
-    # first the closest candidate of each document
-    first = found.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    first = common.materialize(first, "closest")
-    links = common.materialize(confirm(first, sets, similarity), "links")
-    comp = common.materialize(components(links), "components")
-
-    def labelled(t, col, name):
-        """``t`` with the component of ``col``; a document without links is its own."""
-        return (t.join(comp.withColumnRenamed("id", col), col, "left")
-                .withColumn(name, F.coalesce("component", col)).drop("component"))
-
-    sig = classes.select("rep", F.expr("transform(sequence(1, {0}), i -> substring(sig, 2 * i - 1, 2))".format(VALUES)).alias("sig"))
-
-    def across(pairs):
-        """Those between components whose signatures are within the distance."""
-        p = labelled(labelled(pairs, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-        p = p.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(
-            sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-        return p.where(f"{_far('x', 'y')} <= {DISTANCE}").select("a", "b")
-
-    def extended(pairs, links, comp):
-        """Links and components with the confirmed ones of ``pairs``."""
-        pairs = common.materialize(pairs, "across")
-        new = common.materialize(confirm(pairs, sets, similarity), "links")
-        if new.isEmpty():
-            return links, comp
-        links = links.unionByName(new)
-        return links, common.materialize(components(links), "components")
-
-    tried = first
-    rest = across(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    links, comp = extended(rest, links, comp)
-    # members of a bucket that are in different components and neither is its smallest
-    big = labelled(members.where("size > 2 and rep != pivot").select("key", "rep"), "rep", "c")
+    sig = classes.select("rep", "n", F.expr(f"transform(sequence(1, {VALUES}), i -> substring(sig, 2 * i - 1, 2))").alias("sig"))
+    x = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
+    y = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+    close = f"100 * least(na, nb) >= {similarity} * greatest(na, nb) and {_far('x', 'y')} <= {DISTANCE}"
+
+    # members of a bucket near its smallest one: they make clusters
+    found = members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    found = common.materialize(found.join(x, "a").join(y, "b").where(close).select("a", "b"), "candidates")
+    clusters = common.materialize(components(found), "clusters")
+    sets = common.materialize(_sets(docs, clusters.select("id"), shingle), "shingle-sets")
+    links = common.materialize(cluster_links(clusters, sets, similarity), "links")
+
+    # members of a bucket in different clusters, neither being its smallest
+    big = (members.where("size > 2 and rep != pivot").select("key", "rep").join(clusters.withColumnRenamed("id", "rep"), "rep", "left")
+           .withColumn("c", F.coalesce("component", "rep")).drop("component"))
     mixed = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    big = common.materialize(big.join(mixed, "key").join(sig, "rep").join(size, "rep"), "mixed-buckets")
+    big = common.materialize(big.join(mixed, "key").join(sig, "rep"), "mixed-buckets")
     x = big.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("x"))
     y = big.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("y"))
-    pairs = (x.join(y, (x["key"] == y["key"]) & F.expr(f"a > b and ca != cb and {near} and {_far('x', 'y')} <= {DISTANCE}"))
-             .select("a", "b").distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"))
-    links, comp = extended(pairs, links, comp)
+    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"a > b and ca != cb and {close}")).select("a", "b").distinct()
+    pairs = common.materialize(pairs, "across")
+    if not pairs.isEmpty():
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        more = common.materialize(_sets(docs, ids, shingle), "shingle-sets")
+        links = links.unionByName(common.materialize(confirm(pairs, more, similarity), "links"))
+    comp = common.materialize(components(links), "components")
 
     out = sketch.join(classes.select("set_key", "rep"), "set_key", "left")
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
