@@ -18,6 +18,7 @@ Known limit: malformed markup is not repaired the way a real parser would.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from contactlake.functions.text import col_, let
 
-# Raw HTML cap the extractors apply before parsing.
-HTML_CAP = 50_000
+# --- fixed values: what numeric references 128-159 stand for (the five numbers
+# without a character there keep the control character of that number) -------
+WINDOWS_1252 = {n: bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(128, 160)}
 
 # --- fixed values: named character references decoded by the text
 # functions (the common ones; "&amp;" is handled last, separately) ----------
@@ -59,7 +61,7 @@ def removal_regex(tags: Iterable[str]) -> str:
     """One alternation: comments plus every listed element with its content.
 
     A missing end tag runs to the end of input (``\\z``), which also covers
-    elements cut open by the 50,000 character cap.
+    elements cut open by a cap.
     """
     parts = [r"<!--.*?(?:-->|\z)"]
     for t in tags:
@@ -74,27 +76,55 @@ def decode_named(c) -> Column:
     return c
 
 
+def _character(n: Column) -> Column:
+    """The character of a numeric reference (null: no such number): U+FFFD for
+    zero, surrogates and numbers past the last code point, the windows-1252
+    characters for 128-159, as in the HTML standard."""
+    table = F.create_map(*[F.lit(x) for k, v in WINDOWS_1252.items() for x in (k, v)])
+    return (F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(n.between(128, 159), F.coalesce(F.element_at(table, n.cast("int")), F.lit("\ufffd")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+
 def _decode_numeric(c: Column) -> Column:
-    """Fold over this row's numeric references (input must be an attribute)."""
-    dec = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]{1,7});"), 1)), c,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")),
-                                 F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")))
-    return dec
+    """Fold over this row's decimal references (input must be an attribute)."""
+    return F.aggregate(
+        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#([0-9]+);"), 1)), c,
+        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), _character(n.try_cast("bigint"))))
 
 
 def _decode_hex(c: Column) -> Column:
+    def number(n):
+        short = F.regexp_replace(n, "^0+", "")
+        return F.when(F.length(short) <= 6, F.conv(short, 16, 10).try_cast("bigint"))
     return F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9a-fA-F]{1,6});"), 1)), c,
+        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#[xX]([0-9a-fA-F]+);"), 1)), c,
         lambda acc, n: F.regexp_replace(acc, F.concat(F.lit("&#[xX]"), n, F.lit(";")),
-                                        F.decode(F.unhex(F.lpad(n, 8, "0")), "UTF-32")))
+                                        let(_character(number(n)), lambda ch: F.when(ch.isin("$", "\\"), F.concat(F.lit("\\"), ch)).otherwise(ch))))
+
+
+def _decode_other(c: Column) -> Column:
+    """Fold over named references outside NAMED_ENTITIES."""
+    names = {k: chr(v) for k, v in name2codepoint.items() if k != "amp"}
+    table = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
+    return F.aggregate(
+        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z]+[0-9]*);"), 1)), c,
+        lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")),
+                                 F.coalesce(F.try_element_at(table, n), F.concat(F.lit("&"), n, F.lit(";")))))
 
 
 def decode_entities(c) -> Column:
-    """Decode named, decimal and hex references; ``&amp;`` last."""
+    """Decode named, decimal and hex references; ``&amp;`` last.  Texts without
+    an ampersand pass through."""
+    def others(n):
+        return F.when(n.rlike("&(?!amp;)[A-Za-z]+[0-9]*;"), _decode_other(n)).otherwise(n)
+
     def numeric(n):
         return F.when(n.contains("&#"), let(_decode_numeric(n), _decode_hex)).otherwise(n)
-    return F.replace(let(decode_named(c), numeric), F.lit("&amp;"), F.lit("&"))
+
+    def all_(x):
+        return F.when(x.contains("&"), F.replace(let(let(decode_named(x), others), numeric), F.lit("&amp;"), F.lit("&"))).otherwise(x)
+    return let(col_(c), all_)
 
 
 def with_decoded(src: str, out: str) -> Callable[[DataFrame], DataFrame]:
@@ -104,7 +134,7 @@ def with_decoded(src: str, out: str) -> Callable[[DataFrame], DataFrame]:
     return t
 
 
-def cap_html(c, cap: int | None = HTML_CAP) -> Column:
+def cap_html(c, cap: int | None = None) -> Column:
     c = col_(c)
     return F.substring(c, 1, cap) if cap else c
 
@@ -113,8 +143,9 @@ def strip_elements(c, tags: Iterable[str] = RAW_TEXT_TAGS) -> Column:
     return F.regexp_replace(col_(c), removal_regex(tags), "")
 
 
-def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = HTML_CAP) -> Column:
-    """``$("body").text()`` after ``$(drop).remove()`` on the capped page."""
+def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = None) -> Column:
+    """``$("body").text()`` after ``$(drop).remove()``; ``cap``: only the first so
+    many characters of the page (none by default)."""
     def from_body(h):
         return let(F.regexp_extract(h, BODY_RE, 1),
                    lambda b: F.when(b != "", b).otherwise(F.regexp_replace(h, HEAD_RE, "")))
@@ -123,7 +154,7 @@ def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = HTML_
 
 
 def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
-                   cap: int | None = HTML_CAP) -> Callable[[DataFrame], DataFrame]:
+                   cap: int | None = None) -> Callable[[DataFrame], DataFrame]:
     def t(df: DataFrame) -> DataFrame:
         return df.withColumn(out, body_text(html, drop, cap))
     return t
@@ -149,7 +180,7 @@ def _href_of_tag(tag: Column) -> Column:
     return F.regexp_replace(raw, r"""^"([^"]*)"\z|^'([^']*)'\z""", "$1$2")
 
 
-def with_anchor_hrefs(html: str, out: str, cap: int | None = HTML_CAP,
+def with_anchor_hrefs(html: str, out: str, cap: int | None = None,
                       drop: Iterable[str] = RAW_TEXT_TAGS) -> Callable[[DataFrame], DataFrame]:
     """href values of all ``<a href>`` elements in document order (decoded).
 
@@ -161,6 +192,5 @@ def with_anchor_hrefs(html: str, out: str, cap: int | None = HTML_CAP,
         hrefs = F.filter(F.transform(tags, _href_of_tag), lambda x: x.isNotNull())
         tmp = f"__{out}_raw"
         df = df.withColumn(tmp, hrefs)
-        return df.withColumn(out, F.transform(F.col(tmp), lambda x: F.replace(
-            decode_named(x), F.lit("&amp;"), F.lit("&")))).drop(tmp)
+        return df.withColumn(out, F.transform(F.col(tmp), decode_entities)).drop(tmp)
     return t

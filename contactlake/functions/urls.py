@@ -37,7 +37,8 @@ SEARCH_URL_SUFFIX = "&hl=en&gl=us&start="
 RESULTS_PER_PAGE = 10
 
 URL_RE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*([^/\\?#]*)(.*)\z"
-IP_RE = r"^([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)\z"
+# An octet has at most three digits after leading zeros, so its value always fits.
+IP_RE = r"^0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\z"
 
 
 def _escape(c: Column, pairs) -> Column:
@@ -73,14 +74,14 @@ def url_parts(src) -> Column:
 
     def check(h):
         host_raw, port_raw, has_port, scheme = h["host_raw"], h["port_raw"], h["has_port"], h["scheme"]
-        octets = [F.regexp_extract(host_raw, IP_RE, i).cast("bigint") for i in range(1, 5)]
+        octets = [F.regexp_extract(host_raw, IP_RE, i).try_cast("bigint") for i in range(1, 5)]
         ip_ok = host_raw.rlike(IP_RE) & F.greatest(*octets).between(0, 255)
         numeric_last = host_raw.rlike(r"(^|\.)[0-9]+\z")
         host = F.when(numeric_last, F.when(ip_ok, F.concat_ws(".", *[o.cast("string") for o in octets]))) \
             .otherwise(host_raw)
         port_ok = (~has_port) | (port_raw == "") | (
-            port_raw.rlike(r"^[0-9]{1,5}\z") & (port_raw.cast("int") <= 65535))
-        port_num = F.when(has_port & (port_raw != ""), port_raw.cast("int").cast("string"))
+            port_raw.rlike(r"^[0-9]{1,5}\z") & (port_raw.try_cast("int") <= 65535))
+        port_num = F.when(has_port & (port_raw != ""), port_raw.try_cast("int").cast("string"))
         default_port = F.when(scheme == "https", "443").when(scheme == "http", "80")
         rest = h["rest"]
         path = F.replace(F.regexp_extract(rest, r"(?s)^([^?#]*)", 1), F.lit("\\"), F.lit("/"))

@@ -83,25 +83,24 @@ def is_valid_phone_weak(c) -> Column:
     return F.coalesce((n >= 7) & (n <= 15), F.lit(False))
 
 
-def _clean_text(c, lo: int, hi: int) -> Column:
+def _clean_text(c, lo: int, hi: int | None) -> Column:
     c = col_(c)
     t = js_trim(c)
-    n = F.length(t)
     null = F.lit(None).cast("string")
-    return (F.when(~_present(c), null)
-            .when(n < lo, null)
-            .when(n > hi, F.substring(t, 1, hi))       # cut, no whitespace collapse
-            .otherwise(collapse_ws(t)))
+    out = F.when(~_present(c), null).when(F.length(t) < lo, null)
+    if hi is not None:
+        out = out.when(F.length(t) > hi, F.substring(t, 1, hi))     # cut, no whitespace collapse
+    return out.otherwise(collapse_ws(t))
 
 
-def validate_business_name(c) -> Column:
-    """V4."""
-    return _clean_text(c, NAME_MIN, NAME_MAX)
+def validate_business_name(c, longest: int | None = None) -> Column:
+    """V4; cut at ``longest`` characters only if it is given."""
+    return _clean_text(c, NAME_MIN, longest)
 
 
-def validate_address(c) -> Column:
-    """V5."""
-    return _clean_text(c, ADDRESS_MIN, ADDRESS_MAX)
+def validate_address(c, longest: int | None = None) -> Column:
+    """V5; cut at ``longest`` characters only if it is given."""
+    return _clean_text(c, ADDRESS_MIN, longest)
 
 
 def validate_records(name="name", phone="phone", email="email", website="website",

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.text import col_
 from contactlake.functions.urls import with_url_parts
+from contactlake.session import ensure_checkpoint_dir
 
 # --- fixed values: messages and categories of the error rules --------------
 MAX_ATTEMPTS = 3
@@ -37,6 +38,8 @@ REASON_PHRASES = {
     426: "Upgrade Required", 428: "Precondition Required", 431: "Request Header Fields Too Large",
     451: "Unavailable For Legal Reasons",
 }
+TEXT_TIMEOUT = "Request timeout after 30 seconds"
+TEXT_NO_STATUS = "Failed to fetch after retries"
 MSG_TIMEOUT = "Website took too long to respond (timeout after 30 seconds)"
 MSG_BLOCKED = "Website is blocking automated requests"
 MSG_NOT_FOUND = "Website not found (404 error)"
@@ -100,49 +103,42 @@ def error_line(url, error) -> Column:
     return F.concat_ws(": ", col_(url), col_(error))
 
 
-def first_k_per_key(df: DataFrame, key: str, order: list[str], payload: list[str], k: int,
-                    rank_col: str = "rank") -> DataFrame:
-    """The first ``k`` rows per ``key`` by ``order`` (ties broken by the
-    order columns, which must be unique per key), ranked 1..k.
+def first_k_per_key(df: DataFrame, key: str, order: list[str], k: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``k`` rows per ``key`` by ``order``, ranked 1..k.
 
-    k rounds of (grouped minimum, semi-filter): every round is partially
-    aggregated before the shuffle, so a hot key never lands whole in one
-    task.
+    Spark puts a group limit before the shuffle, so at most ``k`` rows of a
+    key leave a map task, however hot the key is; one scan, one exchange.
     """
-    cols = order + payload
-    rest = df.select(key, F.struct(*cols).alias("__r"))
-    picks = []
-    for i in range(1, k + 1):
-        m = rest.groupBy(key).agg(F.min("__r").alias("__m"))
-        picks.append(m.select(key, F.lit(i).alias(rank_col), "__m"))
-        if i < k:
-            cut = m.select(key, F.col("__m").alias("__cut"))
-            rest = rest.join(cut, key).where(F.col("__r") > F.col("__cut")).drop("__cut")
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionByName(p)
-    return out.select(key, rank_col, *[F.col(f"__m.{c}").alias(c) for c in cols])
-
-
-def attempt_outcome(log: DataFrame) -> DataFrame:
-    """Per URL over its first three attempts (by fetched_at, event_id):
-    the first success wins; 403/404/429 stop at once; else the last error.
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def is_success(status) -> Column:
+    """Never null: an attempt without a status is no success."""
+    s = col_(status)
+    return F.coalesce((s >= 200) & (s < 300), F.lit(False))
+
+
+def attempt_outcome(log: DataFrame, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Per URL over its first ``attempts`` attempts (by fetched_at,
+    event_id): the first success wins; 403/404/429 and a timeout stop at once;
+    else the last error.
 
     Returns (url, attempts, final_attempt, status, ok, message).
     """
-    a = first_k_per_key(log, "url", ["fetched_at", "event_id"], ["status"], MAX_ATTEMPTS, "attempt")
-    ok = (F.col("status") >= 200) & (F.col("status") < 300)
-    decisive = ok | F.col("status").isin(*STOP_STATUSES)
-    g = a.groupBy("url").agg(
-        F.count(F.lit(1)).alias("attempts"),
-        F.min(F.when(decisive, F.struct("attempt", "status"))).alias("d"),
-        F.max(F.struct("attempt", "status")).alias("last"))
+    a = first_k_per_key(log.select("url", "fetched_at", "event_id", "status", "timed_out"), "url",
+                        ["fetched_at", "event_id"], attempts, "attempt")
+    late = F.coalesce("timed_out", F.lit(False))
+    decisive = is_success("status") | F.coalesce(F.col("status").isin(*STOP_STATUSES), F.lit(False)) | late
+    row = F.struct("attempt", "status", late.alias("late"))
+    g = a.groupBy("url").agg(F.count(F.lit(1)).alias("attempts"), F.min(F.when(decisive, row)).alias("d"), F.max(row).alias("last"))
     fin = F.coalesce(F.col("d"), F.col("last"))
     out = g.select("url", F.col("attempts").cast("bigint").alias("attempts"),
                    fin["attempt"].cast("bigint").alias("final_attempt"),
-                   fin["status"].cast("bigint").alias("status"))
-    okf = (F.col("status") >= 200) & (F.col("status") < 300)
-    return out.withColumn("ok", okf).withColumn("message", F.coalesce(status_message("status"), F.lit("")))
+                   fin["status"].cast("bigint").alias("status"), fin["late"].alias("late"))
+    message = (F.when(is_success("status"), F.lit("")).when(F.col("late"), F.lit(TEXT_TIMEOUT))
+               .otherwise(F.coalesce(status_message("status"), F.lit(TEXT_NO_STATUS))))
+    return out.withColumn("ok", is_success("status")).withColumn("message", message).drop("late")
 
 
 def latest_per_url(log: DataFrame) -> DataFrame:
@@ -151,59 +147,62 @@ def latest_per_url(log: DataFrame) -> DataFrame:
     return g.select("url", "l.fetched_at", "l.event_id", "l.status", "l.location")
 
 
-def resolve_location(current, location) -> Callable[[DataFrame], DataFrame]:
+def resolve_location(current, location, out: str = "__next") -> Callable[[DataFrame], DataFrame]:
     """Redirect target: absolute if it starts with ``http``; ``//host`` takes
-    the scheme; ``/path`` the origin; anything else the current directory."""
+    the scheme, ``/path`` the origin, ``?query`` the path, ``#part`` the page;
+    anything else the current directory."""
     def t(df: DataFrame) -> DataFrame:
         df = df.transform(with_url_parts(current, "__cur"))
-        loc, cur = col_(location), col_(current)
-        origin = F.col("__cur")["origin"]
-        scheme = F.col("__cur")["scheme"]
-        dir_ = F.regexp_replace(F.concat(origin, F.col("__cur")["path"]), r"[^/]*\z", "")
+        loc, cur = col_(location), F.col("__cur")
+        page = F.concat(cur["origin"], cur["path"])
         nxt = (F.when(loc.startswith("http"), loc)
-               .when(loc.startswith("//"), F.concat(scheme, F.lit(":"), loc))
-               .when(loc.startswith("/"), F.concat(origin, loc))
-               .otherwise(F.concat(dir_, loc)))
-        return df.withColumn("__next", nxt).drop("__cur")
+               .when(loc.startswith("//"), F.concat(cur["scheme"], F.lit(":"), loc))
+               .when(loc.startswith("/"), F.concat(cur["origin"], loc))
+               .when(loc.startswith("?"), F.concat(page, loc))
+               .when(loc.startswith("#"), F.concat(page, cur["query"], loc))
+               .otherwise(F.concat(F.regexp_replace(page, r"[^/]*\z", ""), loc)))
+        return df.withColumn(out, nxt).drop("__cur")
     return t
 
 
-def redirect_targets(log: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def redirect_targets(log: DataFrame, starts: DataFrame | None = None, redirects: int = MAX_REDIRECTS) -> DataFrame:
     """J7 on the last status of every URL: follow 301/302/303/307/308 with a
-    Location, at most 5 redirects (6 fetches), as unrolled joins.
+    Location, at most ``redirects`` times (one fetch more than that).
+
+    One frame holds all rows; each step joins it to the materialised last
+    status per URL.  Rows that are done get a key of their own that matches
+    nothing, so they do not meet in one partition.
 
     Returns (url, final_url, hops, status, outcome) where outcome is ``ok``
     or the error text.
     """
+    ensure_checkpoint_dir(log.sparkSession)
     last = latest_per_url(log).select(F.col("url").alias("k_url"), F.col("status").alias("k_status"),
-                                      F.col("location").alias("k_loc"))
+                                      F.col("location").alias("k_loc")).checkpoint(eager=True)
     if starts is None:
-        starts = last.select(F.col("k_url").alias("url"))
-    cur = starts.select("url", F.col("url").alias("at"), F.lit(0).alias("hops"))
-    done = []
-    for step in range(MAX_REDIRECTS + 1):
-        j = cur.join(last, F.col("at") == F.col("k_url"), "left")
-        st = F.col("k_status")
-        is_redirect = st.isin(*REDIRECT_STATUSES)
-        has_loc = F.coalesce(F.col("k_loc"), F.lit("")) != ""
-        outcome = (F.when(st.isNull(), F.lit("fetch failed"))
-                   .when((st >= 200) & (st < 300), F.lit("ok"))
-                   .when(is_redirect & ~has_loc,
-                         F.concat(F.lit("Redirect ("), st.cast("string"), F.lit(") without Location header")))
-                   .when(~is_redirect, F.concat(F.lit("Failed to fetch ("), st.cast("string"), F.lit(")"))))
-        j = j.withColumn("__out", outcome)
-        done.append(j.where(F.col("__out").isNotNull()).select(
-            "url", F.col("at").alias("final_url"), "hops", st.cast("bigint").alias("status"),
-            F.col("__out").alias("outcome")))
-        follow = j.where(F.col("__out").isNull()).transform(resolve_location("at", "k_loc"))
-        if step == MAX_REDIRECTS:
-            done.append(follow.select(
-                "url", F.col("__next").alias("final_url"), (F.col("hops") + 1).alias("hops"),
-                st.cast("bigint").alias("status"),
-                F.concat(F.lit("Too many redirects when fetching "), F.col("url")).alias("outcome")))
-        else:
-            cur = follow.select("url", F.col("__next").alias("at"), (F.col("hops") + 1).alias("hops"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.withColumn("hops", F.col("hops").cast("bigint"))
+        cur = last.select(F.col("k_url").alias("url"), F.col("k_url").alias("at"), F.lit(0).alias("hops"),
+                          F.col("k_status").alias("status"), F.col("k_loc").alias("loc"))
+    else:
+        cur = starts.select("url").join(last, F.col("url") == F.col("k_url"), "left").select(
+            "url", F.col("url").alias("at"), F.lit(0).alias("hops"), F.col("k_status").alias("status"), F.col("k_loc").alias("loc"))
+    st = F.col("status")
+    is_redirect = F.coalesce(st.isin(*REDIRECT_STATUSES), F.lit(False))
+    pending = is_redirect & (F.coalesce(F.col("loc"), F.lit("")) != "")
+    for _ in range(redirects):
+        cur = (cur.withColumn("__go", pending).transform(resolve_location("at", "loc"))
+               .withColumn("__key", F.when(F.col("__go"), F.col("__next")).otherwise(F.concat(F.lit("\u0000"), "url"))))
+        go = F.col("__go")
+        cur = cur.join(last, F.col("__key") == F.col("k_url"), "left").select(
+            "url", F.when(go, F.col("__next")).otherwise(F.col("at")).alias("at"),
+            (F.col("hops") + go.cast("int")).alias("hops"),
+            F.when(go, F.col("k_status")).otherwise(st).alias("status"),
+            F.when(go, F.col("k_loc")).otherwise(F.col("loc")).alias("loc"))
+    cur = cur.withColumn("__go", pending).transform(resolve_location("at", "loc"))
+    outcome = (F.when(st.isNull(), F.lit("fetch failed"))
+               .when(is_success(st), F.lit("ok"))
+               .when(F.col("__go"), F.concat(F.lit("Too many redirects when fetching "), F.col("url")))
+               .when(is_redirect, F.concat(F.lit("Redirect ("), st.cast("string"), F.lit(") without Location header")))
+               .otherwise(F.concat(F.lit("Failed to fetch ("), st.cast("string"), F.lit(")"))))
+    return cur.select("url", F.when(F.col("__go"), F.col("__next")).otherwise(F.col("at")).alias("final_url"),
+                      (F.col("hops") + F.col("__go").cast("int")).cast("bigint").alias("hops"),
+                      st.cast("bigint").alias("status"), outcome.alias("outcome"))

@@ -10,22 +10,23 @@ Distributed plan
 ----------------
 1. *Features* per row (normalised name/address, phone digits, host,
    signature): narrow, in the scan stage.
-2. *Lossless blocking.*  Without a phone term the score is at most
-   .4+.15+.15+.1 = .80, so every score edge needs phone similarity > 0, i.e.
-   one digit string contains the other.  For digit strings of 7+ the shorter
-   one's first 7-gram is among the longer one's 7-grams: an equi-join on
-   grams finds every such pair and ``contains`` verifies it.  Digit strings
-   of 1-6 join on (length, substring).  Phones with no digits at all match
-   every phone; those rows are rare (validated phones always have 7+ digits)
-   and are paired by a broadcast join whose size is checked first, in
-   bounded chunks beyond the limit.  A length filter drops pairs whose names
-   cannot reach the needed similarity before the Levenshtein terms run.
+2. *Lossless blocking by the weights.*  Without a phone term the score is at
+   most .4+.15+.15+.1 = .80, so an edge needs equal or contained phones.  If
+   the hosts (without ``www.``) differ, .4+.2+.15+.1 is just above .85: phone,
+   name, address and e-mail must all be equal.  If they are equal, equal phones
+   meet on (host, digits), and a phone contained in another one meets it on
+   (host, 7 digits), shorter ones on (host, digits); phones without any digit
+   are contained in every phone and meet the others of their host.  A length
+   bound drops names that cannot reach the needed similarity before the
+   Levenshtein terms run.  For D9, pairs with equal signatures are left out.
 3. *Signature groups are never expanded into pairs*: per round two grouped
    minima (earliest kept, earliest undecided ``ord`` per signature) answer
    every signature question; partial aggregation makes hot signatures cheap.
 4. *Resolution rounds*: an undecided row is dropped when an earlier
    neighbour is kept, kept when it has no earlier undecided neighbour (score
-   edges) and is the earliest undecided row of its signature.  The smallest
+   edges) and is the earliest undecided row of its signature.  Signatures no
+   row of which has an edge are settled at once by their minimum and do not
+   enter the loop.  The smallest
    undecided ``ord`` is settled every round, so the loop terminates; state
    and remaining edges are reliably checkpointed each round (lineage cut in
    the shared checkpoint folder, so lost executors recompute one round).
@@ -43,10 +44,6 @@ from contactlake.functions.urls import with_url_host
 from contactlake.session import ensure_checkpoint_dir
 
 GRAM = 7
-# Broadcast limit for digit-less phones (each such row is compared with every
-# phone row): at most this many rows per broadcast chunk.
-WILDCARD_CHUNK_ROWS = 20_000
-MAX_ROUNDS = 100_000
 # Minimum name similarity an edge needs (all other terms at their maximum);
 # the shorter name must be at least this fraction of the longer one.
 NAME_LEN_RATIO = (SIM.DUPLICATE_THRESHOLD - (1.0 - SIM.WEIGHTS["name"])) / SIM.WEIGHTS["name"]
@@ -72,47 +69,44 @@ def _eligible(feat: DataFrame) -> DataFrame:
     return feat.where((F.coalesce(F.col("phone"), F.lit("")) != "") & (F.col("nname") != ""))
 
 
-def candidate_pairs(feat: DataFrame) -> DataFrame:
-    """(a, b) with a < b whose phones are equal or contained: no pair that can
-    score above the threshold is missed."""
-    el = _eligible(feat).select("ord", "pd", F.length("pd").alias("n"))
-    longs = el.where(F.col("n") >= GRAM)
-    grams = longs.select(F.col("ord").alias("a"), F.col("pd").alias("apd"), F.col("n").alias("an"),
-                         F.explode(F.array_distinct(F.transform(
-                             F.sequence(F.lit(1), F.col("n") - GRAM + 1),
-                             lambda i: F.substring(F.col("pd"), i, GRAM)))).alias("g"))
-    firsts = longs.select(F.col("ord").alias("b"), F.col("pd").alias("bpd"), F.col("n").alias("bn"),
-                          F.substring("pd", 1, GRAM).alias("g"))
-    long_pairs = (grams.join(firsts, "g")
-                  .where((F.col("a") != F.col("b")) & (F.col("bn") <= F.col("an"))
-                         & F.col("apd").contains(F.col("bpd")))
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    parts = [long_pairs]
-
-    shorts = el.where((F.col("n") >= 1) & (F.col("n") < GRAM))
-    if not shorts.isEmpty():
-        subs = el.select(F.col("ord").alias("a"), F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.least(F.col("n"), F.lit(GRAM - 1))),
-            lambda ln: F.transform(F.sequence(F.lit(1), F.col("n") - ln + 1),
-                                   lambda i: F.struct(ln.alias("ln"), F.substring(F.col("pd"), i, ln).alias("s")))
-        ))).alias("k")).select("a", F.col("k.ln").alias("ln"), F.col("k.s").alias("s")).distinct()
-        sk = shorts.select(F.col("ord").alias("b"), F.col("n").alias("ln"), F.col("pd").alias("s"))
-        parts.append(subs.join(sk, ["ln", "s"]).where(F.col("a") != F.col("b"))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-    wild = el.where(F.col("n") == 0).select(F.col("ord").alias("w"))
-    n_wild = wild.count()
-    if n_wild:
-        everyone = el.select(F.col("ord").alias("o"))
-        if n_wild <= WILDCARD_CHUNK_ROWS:
-            chunks = [wild]
-        else:
-            k = (n_wild + WILDCARD_CHUNK_ROWS - 1) // WILDCARD_CHUNK_ROWS
-            wild = wild.withColumn("chunk", F.pmod(F.xxhash64("w"), F.lit(k)))
-            chunks = [wild.where(F.col("chunk") == i).drop("chunk") for i in range(k)]
-        for ch in chunks:
-            parts.append(everyone.join(F.broadcast(ch), F.col("o") != F.col("w"))
-                         .select(F.least("o", "w").alias("a"), F.greatest("o", "w").alias("b")))
+def candidate_pairs(feat: DataFrame, equal_signatures: bool = True) -> DataFrame:
+    """(a, b) with a < b: no pair that can score above the threshold is missed.
+    Without ``equal_signatures``, pairs of one signature are left out."""
+    host = F.regexp_replace("host", r"^www\.", "")
+    el = _eligible(feat).select("ord", "pd", F.length("pd").alias("n"), "nname", "naddr", "sig",
+                                F.coalesce("email", F.lit("")).alias("email"), F.coalesce(host, F.lit("")).alias("h"))
+    left = el.select(*[F.col(c).alias(f"a_{c}") for c in el.columns])
+    right = el.select(*[F.col(c).alias(f"b_{c}") for c in el.columns])
+
+    def pairs(x: DataFrame, y: DataFrame, on, cond) -> DataFrame:
+        j = x.join(y, on).where(cond & (F.col("a_ord") != F.col("b_ord")))
+        la, lb = F.length("a_nname"), F.length("b_nname")
+        j = j.where(F.least(la, lb) >= F.greatest(la, lb) * F.lit(NAME_LEN_RATIO) - F.lit(1e-9))
+        if not equal_signatures:
+            j = j.where(F.col("a_sig") != F.col("b_sig"))
+        return j.select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b"))
+
+    def equal(*cols):
+        out = F.lit(True)
+        for c in cols:
+            out = out & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+        return out
+
+    once = F.col("a_ord") < F.col("b_ord")
+    hosted, other = left.where(F.col("a_h") != ""), right.where(F.col("b_h") != "")
+    parts = [pairs(hosted, other, equal("h", "pd"), once),
+             pairs(left.where((F.col("a_naddr") != "") & (F.col("a_email") != "")), right, equal("pd", "nname", "naddr", "email"), once)]
+    inside = F.col("a_pd").contains(F.col("b_pd")) & (F.col("a_pd") != F.col("b_pd"))
+    grams = hosted.where(F.col("a_n") >= GRAM).withColumn("a_g", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.col("a_n") - GRAM + 1), lambda i: F.substring(F.col("a_pd"), i, GRAM)))))
+    firsts = other.where(F.col("b_n") >= GRAM).withColumn("b_g", F.substring("b_pd", 1, GRAM))
+    parts.append(pairs(grams, firsts, equal("h", "g"), inside))
+    subs = hosted.where(F.col("a_n") > 1).withColumn("a_g", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(F.col("a_n"), F.lit(GRAM - 1))),
+        lambda ln: F.transform(F.sequence(F.lit(1), F.col("a_n") - ln + 1), lambda i: F.substring(F.col("a_pd"), i, ln)))))))
+    shorts = other.where(F.col("b_n").between(1, GRAM - 1)).withColumn("b_g", F.col("b_pd"))
+    parts.append(pairs(subs, shorts, equal("h", "g"), inside))
+    parts.append(pairs(hosted.where(F.col("a_n") > 0), other.where(F.col("b_n") == 0), equal("h"), F.lit(True)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -139,21 +133,23 @@ def score_pairs(feat: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.withColumn("score", SIM.pair_score("s_name", "s_phone", "s_web", "s_addr", "s_email"))
 
 
-def duplicate_edges(feat: DataFrame) -> DataFrame:
+def duplicate_edges(feat: DataFrame, equal_signatures: bool = True) -> DataFrame:
     """All (a, b, score) with a < b and score > 0.85."""
-    return score_pairs(feat, candidate_pairs(feat)).where(F.col("score") > SIM.DUPLICATE_THRESHOLD) \
+    return score_pairs(feat, candidate_pairs(feat, equal_signatures)).where(F.col("score") > SIM.DUPLICATE_THRESHOLD) \
         .select("a", "b", "score")
 
 
-def resolve_ordered(spark: SparkSession, feat: DataFrame, edges: DataFrame,
-                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def resolve_ordered(spark: SparkSession, feat: DataFrame, edges: DataFrame) -> DataFrame:
     """D9 resolution: returns (ord, kept boolean) for every row."""
     ensure_checkpoint_dir(spark)
-    state = feat.select("ord", "sig", F.lit(0).alias("st")).checkpoint(eager=True)
     e = edges.select("a", "b").checkpoint(eager=True)
-    for _ in range(max_rounds):
-        if state.where(F.col("st") == 0).isEmpty():
-            break
+    ends = e.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
+    live = feat.select("ord", "sig").join(ends, "ord", "left_semi").select("sig").distinct()
+    alone = feat.select("ord", "sig").join(live, "sig", "left_anti")
+    settled = alone.join(alone.groupBy("sig").agg(F.min("ord").alias("__m")), "sig").select(
+        "ord", (F.col("ord") == F.col("__m")).alias("kept"))
+    state = feat.select("ord", "sig", F.lit(0).alias("st")).join(live, "sig", "left_semi").checkpoint(eager=True)
+    while not state.where(F.col("st") == 0).isEmpty():
         sig_info = state.groupBy("sig").agg(
             F.min(F.when(F.col("st") == 1, F.col("ord"))).alias("mk"),
             F.min(F.when(F.col("st") == 0, F.col("ord"))).alias("mu"))
@@ -175,20 +171,17 @@ def resolve_ordered(spark: SparkSession, feat: DataFrame, edges: DataFrame,
         live_b = state.where(F.col("st") == 0).select(F.col("ord").alias("b"))
         not_dropped_a = state.where(F.col("st") != 2).select(F.col("ord").alias("a"))
         e = e.join(live_b, "b", "left_semi").join(not_dropped_a, "a", "left_semi").checkpoint(eager=True)
-    else:
-        raise RuntimeError("dedup did not converge")
-    return state.select("ord", (F.col("st") == 1).alias("kept"))
+    return state.select("ord", (F.col("st") == 1).alias("kept")).unionByName(settled)
 
 
 def dedup_ordered(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     """D9 on a business DataFrame (name, phone, email, website, address,
     category + unique ``ord``); returns the kept rows, same columns."""
     spark = df.sparkSession
-    base = df.withColumnRenamed(ord_col, "ord") if ord_col != "ord" else df
-    feat = base.transform(with_dedup_features()).select(*FEATURE_COLS)
     ensure_checkpoint_dir(spark)
-    feat = feat.checkpoint(eager=True)
-    edges = duplicate_edges(feat)
+    base = (df.withColumnRenamed(ord_col, "ord") if ord_col != "ord" else df).checkpoint(eager=True)
+    feat = base.transform(with_dedup_features()).select(*FEATURE_COLS).checkpoint(eager=True)
+    edges = duplicate_edges(feat, equal_signatures=False)
     kept = resolve_ordered(spark, feat, edges).where("kept").select("ord")
     out = base.join(kept, "ord", "left_semi")
     return out.withColumnRenamed("ord", ord_col) if ord_col != "ord" else out

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from contactlake.functions.text import col_
 from contactlake.functions.urls import with_intake_check, with_normalized_website
 from contactlake.functions.validate import validate_records
-from contactlake.operators.extract import (EMAIL_BLOCKLIST, REUSED_CONFIDENCE,
-                                           TRADITIONAL_CONFIDENCE, first_valid_email,
+from contactlake.operators.extract import (EMAIL_BLOCKLIST, TRADITIONAL_CONFIDENCE, first_valid_email,
                                            first_valid_phone, not_business_message,
                                            with_business_verdict, with_contact_link,
                                            with_contacts)
@@ -38,17 +37,37 @@ def page_contacts(pages: DataFrame, strict: bool = False,
                     first_valid_phone("phones").alias("best_phone"))
 
 
+def by_site(contacts: DataFrame) -> DataFrame:
+    """One row per normalised URL (U1): the row with the smallest raw URL, so a
+    page that was crawled twice does not multiply what is joined to it.  Rows
+    whose URL has no normal form answer no lookup."""
+    cols = [c for c in contacts.columns if c != "url"]
+    t = contacts.transform(with_normalized_website("url", "__site")).where(F.col("__site").isNotNull())
+    return (t.groupBy(F.col("__site").alias("site")).agg(F.min_by(F.struct("url", *cols), F.struct("url", F.xxhash64(*cols))).alias("r"))
+            .select("site", "r.*"))
+
+
+def _lookup(left: DataFrame, need, key: str, right: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """``left`` plus columns ``cols`` (new name: column of ``right``) of the row
+    of ``right`` whose site is the normal form of ``left``'s column ``key``.
+    Rows that need no lookup stay out of the join."""
+    nothing = [F.lit(None).cast(right.schema[c].dataType).alias(n) for n, c in cols.items()]
+    need = F.coalesce(need, F.lit(False))
+    rest = left.where(~need).select("*", *nothing)
+    asked = left.where(need).transform(with_normalized_website(key, "__site"))
+    found = right.select(F.col("site").alias("__r"), *[F.col(c).alias(n) for n, c in cols.items()])
+    got = asked.join(found, F.col("__site") == F.col("__r"), "left").select(*[F.col(c) for c in left.columns], *cols)
+    return got.unionByName(rest)
+
+
 def contacts_with_fallback(contacts: DataFrame) -> DataFrame:
     """Main-page best e-mail/phone, else the contact page's.
 
-    Only pages missing a value probe the contact page (left join on the
-    contact URL); the contact side is the same per-page table.
+    Only pages missing a value look the contact page up (by normalised URL).
     """
-    probe = contacts.select(F.col("url").alias("c_url"), F.col("best_email").alias("c_email"),
-                            F.col("best_phone").alias("c_phone"))
     need = (F.col("best_email").isNull() | F.col("best_phone").isNull()) & F.col("contact_url").isNotNull()
-    main = contacts.withColumn("__need", need)
-    j = main.join(probe, (F.col("contact_url") == F.col("c_url")) & F.col("__need"), "left")
+    j = _lookup(contacts, need, "contact_url", by_site(contacts.select("url", "best_email", "best_phone")),
+                {"c_email": "best_email", "c_phone": "best_phone"})
     return j.select(
         "url", "emails", "phones", "contact_url", "best_email", "best_phone",
         F.coalesce("best_email", "c_email").alias("email"),
@@ -63,14 +82,10 @@ def enrich(businesses: DataFrame, contacts: DataFrame, field: str) -> DataFrame:
     """J1 (``field='email'``) / J2 (``field='phone'``): rows with a website and
     an empty ``field`` get the site's value (``http`` sites only); other rows
     pass unchanged."""
-    c = contacts.select(F.col("url").alias("__url"), F.col(field).alias("__found"))
-    cur = F.coalesce(col_(field), F.lit(""))
     site = F.coalesce(F.col("website"), F.lit(""))
-    pred = (site != "") & (cur == "") & site.startswith("http")
-    b = businesses.withColumn("__pred", pred)
-    j = b.join(c, (F.col("website") == F.col("__url")) & F.col("__pred"), "left")
-    return j.withColumn(field, F.when(F.col("__found").isNotNull(), F.col("__found")).otherwise(col_(field))) \
-            .drop("__url", "__found", "__pred")
+    need = (site != "") & (F.coalesce(col_(field), F.lit("")) == "") & site.startswith("http")
+    j = _lookup(businesses, need, "website", by_site(contacts.select("url", field)), {"__found": field})
+    return j.withColumn(field, F.coalesce("__found", col_(field))).drop("__found")
 
 
 def with_model_contacts(contacts: DataFrame, model: DataFrame | None) -> DataFrame:
@@ -103,10 +118,6 @@ def with_model_contacts(contacts: DataFrame, model: DataFrame | None) -> DataFra
         F.when(has_model, F.col("m_cp")).otherwise(F.col("conf_phones")).alias("conf_phones"))
 
 
-def reused_confidence() -> float:
-    return REUSED_CONFIDENCE
-
-
 def custom_scrape(url_lines: DataFrame, pages: DataFrame, business_type: str | None = None,
                   location: str | None = None, max_sites: int | None = None,
                   ai_business: DataFrame | None = None, strict_errors: bool = False):
@@ -126,14 +137,18 @@ def custom_scrape(url_lines: DataFrame, pages: DataFrame, business_type: str | N
         F.lit("validation").alias("category"))
     ok = lines.where(F.col("intake_error").isNull())
     if max_sites is not None:
-        ok = ok.orderBy("cleaned").limit(max_sites)
+        ok = ok.orderBy("raw", "ord").limit(max_sites)
     ok = ok.transform(with_normalized_website("cleaned", "site"))
     bad_format = ok.where(F.col("site").isNull()).select(
         "ord", F.col("raw").alias("url"),
         F.concat(F.lit("Invalid URL format: "), F.col("cleaned")).alias("message"))
     sites = ok.where(F.col("site").isNotNull())
-    p = pages.select(F.col("url").alias("p_url"), "html")
-    fetched = sites.join(p, F.col("site") == F.col("p_url"), "left")
+    # one page per site: the smallest page_id; its key first, its HTML after
+    ids = (pages.select("page_id", "url").transform(with_normalized_website("url", "p_site")).where(F.col("p_site").isNotNull())
+           .groupBy("p_site").agg(F.min("page_id").alias("p_id")))
+    fetched = (sites.join(ids, F.col("site") == F.col("p_site"), "left")
+               .join(pages.select("page_id", F.col("url").alias("p_url"), "html"), F.col("p_id") == F.col("page_id"), "left")
+               .drop("p_site", "p_id", "page_id"))
     missing = fetched.where(F.col("p_url").isNull()).select(
         "ord", F.col("raw").alias("url"), F.concat(F.col("site"), F.lit(": fetch failed")).alias("message"))
     # One pass over the fetched pages; the verdict table is checkpointed so

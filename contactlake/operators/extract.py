@@ -34,7 +34,6 @@ PHONE_TEXT_RES = [
 ]
 EMAIL_BLOCKLIST = ["example.com", "yourdomain", "domain.com", "test@", "sample@"]
 FAKE_PHONE_SUBSTRINGS = ["1234567890", "0000000000"]
-MAX_EMAILS, MAX_PHONES = 5, 3
 CONTACT_LINK_KEYWORDS = ["contact", "Contact"]
 
 BUSINESS_INDICATORS = [
@@ -71,9 +70,9 @@ def email_text_matches(text) -> Column:
 
 
 def emails_from(hrefs, text, blocklist: Sequence[str] = EMAIL_BLOCKLIST,
-                limit: int | None = MAX_EMAILS) -> Column:
+                limit: int | None = None) -> Column:
     """T3 list: mailto links then text matches, weakly valid, lower-cased,
-    ordered distinct, minus blocklisted substrings, first ``limit``."""
+    ordered distinct, minus blocklisted substrings; only the first ``limit`` if given (L3)."""
     mailto = F.transform(
         F.filter(col_(hrefs), lambda h: h.startswith("mailto:")),
         lambda h: js_trim(F.split_part(F.regexp_replace(h, "^mailto:", ""), F.lit("?"), F.lit(1))))
@@ -86,9 +85,9 @@ def emails_from(hrefs, text, blocklist: Sequence[str] = EMAIL_BLOCKLIST,
     return F.slice(out, 1, limit) if limit else out
 
 
-def phones_from(hrefs, text, strict: bool = False, limit: int | None = MAX_PHONES) -> Column:
+def phones_from(hrefs, text, strict: bool = False, limit: int | None = None) -> Column:
     """T4 list: tel links, then each text pattern in turn; raw strings, ordered
-    distinct; 10-15 digits and no fake run; first ``limit``."""
+    distinct; 10-15 digits and no fake run; only the first ``limit`` if given (L3)."""
     tel = F.transform(F.filter(col_(hrefs), lambda h: h.startswith("tel:")),
                       lambda h: js_trim(F.regexp_replace(h, "^tel:", "")))
     parts = [F.filter(tel, is_valid_phone_weak)]

@@ -26,12 +26,11 @@ def oracle(name: str):
     return deco
 
 
-def _text_stages(src: str, cols: str, drop=H.RAW_TEXT_TAGS, cap=H.HTML_CAP, prefix="t") -> str:
+def _text_stages(src: str, cols: str, drop=H.RAW_TEXT_TAGS, prefix="t") -> str:
     """CTE stages giving ``hrefs`` and ``txt`` (body text) for ``src``."""
-    capped = f"substr(html, 1, {cap})" if cap else "html"
     rm = q(S.removal_regex(drop))
     return (
-        f"{prefix}1 AS (SELECT {cols}, regexp_replace({capped}, {rm}, '', 'g') AS h FROM {src}),\n"
+        f"{prefix}1 AS (SELECT {cols}, regexp_replace(html, {rm}, '', 'g') AS h FROM {src}),\n"
         f"{prefix}2 AS (SELECT *, CASE WHEN regexp_extract(h, {q(H.BODY_RE)}, 1) <> '' "
         f"THEN regexp_extract(h, {q(H.BODY_RE)}, 1) ELSE regexp_replace(h, {q(H.HEAD_RE)}, '', 'g') END AS b "
         f"FROM {prefix}1),\n"
@@ -51,7 +50,7 @@ def _email_list_stages(src: str, prefix="e") -> str:
         f"{prefix}1 AS (SELECT *, CASE WHEN starts_with(url, 'http') THEN list_concat({mailto}, {text}) "
         f"ELSE []::VARCHAR[] END AS found FROM {src}),\n"
         f"{prefix}2 AS (SELECT * EXCLUDE (found), {S.ordered_distinct('found')} AS dist FROM {prefix}1),\n"
-        f"{prefix}3 AS (SELECT * EXCLUDE (dist), list_filter(dist, lambda x: NOT ({block}))[1:5] AS emails "
+        f"{prefix}3 AS (SELECT * EXCLUDE (dist), list_filter(dist, lambda x: NOT ({block})) AS emails "
         f"FROM {prefix}2)")
 
 
@@ -71,7 +70,7 @@ def _phone_list_stages(src: str, prefix="p", strict=False) -> str:
         f"ELSE []::VARCHAR[] END AS pfound FROM {src}),\n"
         f"{prefix}2 AS (SELECT * EXCLUDE (pfound), {S.ordered_distinct('pfound')} AS pdist FROM {prefix}1),\n"
         f"{prefix}3 AS (SELECT * EXCLUDE (pdist), list_filter(pdist, lambda x: length({S.digits('x')}) "
-        f"BETWEEN 10 AND 15 AND {fake})[1:3] AS phones FROM {prefix}2)")
+        f"BETWEEN 10 AND 15 AND {fake}) AS phones FROM {prefix}2)")
 
 
 def best_email_expr(lst: str = "emails") -> str:
@@ -324,13 +323,15 @@ def _status_message(s: str) -> str:
 
 def _attempts_sql() -> str:
     return (duckdb_fixture_ctes("crawl_log")
-            + ", a AS (SELECT url, status, row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS attempt "
+            + ", a AS (SELECT url, status, timed_out, row_number() OVER (PARTITION BY url ORDER BY fetched_at, event_id) AS attempt "
               "FROM crawl_log), a3 AS (SELECT * FROM a WHERE attempt <= 3),\n"
-              "d AS (SELECT url, count(*) AS attempts, min(CASE WHEN (status >= 200 AND status < 300) OR status IN (403, 404, 429) "
+              "d AS (SELECT url, count(*) AS attempts, min(CASE WHEN (status >= 200 AND status < 300) OR status IN (403, 404, 429) OR timed_out "
               "THEN attempt END) AS dec_at, max(attempt) AS last_at FROM a3 GROUP BY url),\n"
               "o AS (SELECT d.url, CAST(d.attempts AS BIGINT) AS attempts, CAST(coalesce(dec_at, last_at) AS BIGINT) AS final_attempt, "
-              "CAST(a3.status AS BIGINT) AS status FROM d JOIN a3 ON a3.url = d.url AND a3.attempt = coalesce(dec_at, last_at)),\n"
-              f"outcome AS (SELECT *, status >= 200 AND status < 300 AS ok, coalesce({_status_message('status')}, '') AS message FROM o)\n")
+              "CAST(a3.status AS BIGINT) AS status, a3.timed_out AS late FROM d JOIN a3 ON a3.url = d.url AND a3.attempt = coalesce(dec_at, last_at)),\n"
+              f"outcome AS (SELECT * EXCLUDE (late), coalesce(status >= 200 AND status < 300, false) AS ok, CASE WHEN status >= 200 AND status < 300 THEN '' "
+              f"WHEN late THEN 'Request timeout after 30 seconds' WHEN status IS NULL THEN 'Failed to fetch after retries' "
+              f"ELSE {_status_message('status')} END AS message FROM o)\n")
 
 
 @oracle("attempt_outcome")
@@ -382,8 +383,8 @@ def _():
     from contactlake.operators.crawl import MAX_REDIRECTS, REDIRECT_STATUSES
     red = ", ".join(str(s) for s in REDIRECT_STATUSES)
     head = (duckdb_fixture_ctes("crawl_log")
-            + ", last AS (SELECT url AS k_url, arg_max(status, (fetched_at, event_id)) AS k_status, "
-              "arg_max(location, (fetched_at, event_id)) AS k_loc FROM crawl_log GROUP BY url),\n"
+            + ", last AS (SELECT url AS k_url, l.s AS k_status, l.c AS k_loc FROM (SELECT url, arg_max({'s': status, 'c': location}, "
+              "(fetched_at, event_id)) AS l FROM crawl_log GROUP BY url)),\n"
               "s0 AS (SELECT k_url AS url, k_url AS cur, 0 AS hops FROM last)")
     parts, outs = [head], []
     for i in range(MAX_REDIRECTS + 1):
@@ -500,10 +501,16 @@ def _fallback_sql(extra_fixtures=()) -> str:
             "k2 AS (SELECT url, best_email, best_phone, CASE WHEN khref IS NULL THEN NULL "
             "WHEN starts_with(khref, 'http') THEN khref WHEN starts_with(khref, '/') THEN ko_origin || khref "
             "ELSE ko_origin || '/' || khref END AS contact_url FROM ko6),\n"
-            "fb AS (SELECT m.url, m.contact_url, m.best_email, m.best_phone, c.best_email AS c_email, c.best_phone AS c_phone, "
+            + S.normalized_website_stages("k2", "url", "site", "ks") + ",\n"
+            + S.normalized_website_stages("ks7", "contact_url", "c_site", "kc") + ",\n"
+            "one AS (SELECT site, first(best_email ORDER BY url) AS best_email, first(best_phone ORDER BY url) AS best_phone "
+            "FROM kc7 WHERE site IS NOT NULL GROUP BY site),\n"
+            "fb AS (SELECT m.url, m.site, m.contact_url, m.best_email, m.best_phone, c.best_email AS c_email, c.best_phone AS c_phone, "
             "coalesce(m.best_email, c.best_email) AS email, coalesce(m.best_phone, c.best_phone) AS phone "
-            "FROM k2 m LEFT JOIN k2 c ON m.contact_url = c.url AND (m.best_email IS NULL OR m.best_phone IS NULL) "
-            "AND m.contact_url IS NOT NULL)\n")
+            "FROM kc7 m LEFT JOIN one c ON m.c_site = c.site AND (m.best_email IS NULL OR m.best_phone IS NULL) "
+            "AND m.contact_url IS NOT NULL),\n"
+            "fs AS (SELECT site, first(email ORDER BY url) AS email, first(phone ORDER BY url) AS phone FROM fb "
+            "WHERE site IS NOT NULL GROUP BY site)\n")
 
 
 @oracle("contact_page_fallback")
@@ -518,10 +525,11 @@ def _enriched_sql(field: str) -> str:
     from contactlake.sources.fixtures import PAGE_BUSINESSES_SQL, duckdb_sql
     pb = "page_businesses AS (" + duckdb_sql(PAGE_BUSINESSES_SQL).strip() + ")"
     sql = _fallback_sql()
-    sql = sql.replace("sc AS (SELECT", pb + ",\nsc AS (SELECT", 1)
+    sql = sql.replace("sc AS (SELECT", pb + ",\nsc AS (SELECT", 1) + ", " + S.normalized_website_stages(
+        "page_businesses", "website", "b_site", "pb") + "\n"
     pred = (f"coalesce(b.website, '') <> '' AND coalesce(b.{field}, '') = '' AND starts_with(b.website, 'http')")
     cols = [f"coalesce(f.{field}, b.{field}) AS {field}" if c == field else f"b.{c}" for c in BCOLS.split(", ")]
-    return sql + f"SELECT {', '.join(cols)} FROM page_businesses b LEFT JOIN fb f ON b.website = f.url AND {pred}"
+    return sql + f"SELECT {', '.join(cols)} FROM pb7 b LEFT JOIN fs f ON b.b_site = f.site AND {pred}"
 
 
 @oracle("enriched_emails")

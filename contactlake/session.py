@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("TMPDIR", "/tmp")
         conf_dir = tempfile.mkdtemp(prefix="run-ckpt-", dir=base)
     sc.setCheckpointDir(conf_dir)

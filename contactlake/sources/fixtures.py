@@ -9,7 +9,8 @@ with DataFrame parameters, so no global views are registered) and in DuckDB
   addresses, chains and signature-only repeats.
 * ``site_pages``  - the page corpus with contact details injected before
   ``</footer>`` plus one contact page per origin.
-* ``crawl_log``   - fetch attempts derived from ``events``.
+* ``crawl_log``   - fetch attempts derived from ``events``; some have no status,
+  half of these as they timed out.
 * ``page_businesses`` - one business row per main page of ``site_pages``
   (website = page URL), input of the enrichment joins.
 """
@@ -42,15 +43,18 @@ main AS (SELECT page_id, url, replace(html,'</footer>',
   CASE WHEN page_id%6=0 THEN ' <a href="tel:+1-' || ac || '-555-' || l4 || '">ring</a>' ELSE '' END ||
   CASE WHEN page_id%7=0 THEN ' call us (' || ac || ') 555-' || l4 || ' ' ELSE '' END ||
   CASE WHEN page_id%9=0 THEN ' telephone ' || ac || '.555.' || l4 || ' ' ELSE '' END ||
+  CASE WHEN page_id%11=0 THEN ' caf&eacute; &#9999999;&#xFFFFFF;&#55296;&#0;&#150;&#233;&#99999999999999999999; ' ELSE '' END ||
+  CASE WHEN page_id%13=0 THEN ' a1@' || mhost || ' a2@' || mhost || ' a3@' || mhost || ' a4@' || mhost || ' a5@' || mhost || ' a6@' || mhost || ' a7@' || mhost || ' 212-555-1000 212-555-1001 212-555-1002 212-555-1003 ' ELSE '' END ||
+  CASE WHEN page_id%97=0 THEN repeat(' filler', 9000) || ' last@' || mhost || ' ' ELSE '' END ||
   CASE WHEN page_id%3=0 THEN ' <a href="/contact">Contact us</a> About us' ELSE '' END || '</footer>') AS html FROM q),
-contact AS (SELECT 1000000 + min(page_id) AS page_id, origin || '/contact' AS url,
+contact AS (SELECT -1 - min(page_id) AS page_id, origin || '/contact' AS url,
   '<html><head><title>Contact</title></head><body><p>Reach hello@' || min(mhost) || ' or 212-555-' || lpad(CAST(min(page_id)%10000 AS STRING),4,'0') || '</p></body></html>' AS html FROM q WHERE page_id%3=0 GROUP BY origin)
-SELECT * FROM main UNION ALL SELECT * FROM contact
+SELECT *, false AS is_contact FROM main UNION ALL SELECT *, true FROM contact
 """
 
 CRAWL_LOG_SQL = """
-SELECT event_id, ts AS fetched_at, 'https://u' || CAST(user_id AS STRING) || '.example.net/' || event_type AS url,
- CASE event_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 302 WHEN 5 THEN 418 ELSE 200 END AS status,
+SELECT event_id, ts AS fetched_at, event_id % 74 = 5 AS timed_out, 'https://u' || CAST(user_id AS STRING) || '.example.net/' || event_type AS url,
+ CASE WHEN event_id % 37 = 5 THEN NULL ELSE CASE event_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 302 WHEN 5 THEN 418 ELSE 200 END END AS status,
  CASE WHEN event_id % 11 = 4 THEN '/' || CASE event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'purchase' WHEN 'purchase' THEN 'signup' WHEN 'signup' THEN 'error' ELSE 'view' END END AS location,
  CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'contacts' WHEN 'purchase' THEN 'content' WHEN 'signup' THEN 'custom_scrape' ELSE 'ai_business_info' END AS kind
 FROM {events}
@@ -66,7 +70,7 @@ SELECT page_id AS ord,
  CASE WHEN page_id % 3 = 2 THEN 'owner' || CAST(page_id AS STRING) || '@mail.example.org' ELSE '' END AS email,
  CASE WHEN page_id % 10 = 9 THEN '' ELSE url END AS website,
  '' AS address, '' AS category
-FROM {site_pages} WHERE page_id < 1000000
+FROM {site_pages} WHERE NOT is_contact
 """
 
 
@@ -83,6 +87,11 @@ SELECT page_id AS ord, CASE page_id % 10
  WHEN 6 THEN 'intranet' || CAST(page_id AS STRING)
  WHEN 7 THEN '   '
  WHEN 8 THEN split_part(url, '/', 3) || '.'
+ WHEN 9 THEN CASE page_id % 7
+   WHEN 0 THEN 'shop' || CAST(page_id AS STRING) || '.example.com:8x/a'
+   WHEN 1 THEN 'http://shop' || CAST(page_id AS STRING) || '.example.com:99999999999/'
+   WHEN 2 THEN 'http://1.2.3.99999999999999999999/'
+   WHEN 3 THEN 'shop.example.com:abc' ELSE url END
  ELSE url END AS raw
 FROM {pages}
 """

@@ -35,7 +35,8 @@ def test_validate_email(spark):
 
 def test_clean_text(spark):
     assert one_col(spark, [" a ", "  Two   words ", "x" * 210], V.validate_business_name) == \
-        [None, "Two words", "x" * 200]
+        [None, "Two words", "x" * 210]
+    assert one_col(spark, ["x" * 210], lambda c: V.validate_business_name(c, 200)) == ["x" * 200]
     assert one_col(spark, ["1 Main", "  12  Main  St "], V.validate_address) == ["1 Main", "12 Main St"]
 
 
@@ -110,16 +111,61 @@ def test_error_rules(spark):
 
 
 def test_html_edges(spark):
-    cap_case = "<html><body>keep " + "x" * (H.HTML_CAP - 40) + "<script>var a = 1;" + "y" * 100 + "</script>tail"
+    cap_case = "<html><body>keep " + "x" * (50_000 - 40) + "<script>var a = 1;" + "y" * 100 + "</script>tail"
     cases = [
         ('<html><head><title>T</title></head><body><p>a&amp;b</p><td>1</td><td>2</td></body></html>', "a&b12"),
         ('<body><a title="x>y" href="/c">link</a>&nbsp;&#65;&#x42;</body>', "link AB"),
         ("<body>a<!-- hidden -->b<script>var s='</p>';</script>c</body>", "abc"),
-        (cap_case, "keep " + "x" * (H.HTML_CAP - 40)),
+        (cap_case, "keep " + "x" * (50_000 - 40) + "tail"),      # no cap by default
+        ("<body>caf&eacute; &#9999999;&#xFFFFFF;&#55296;&#0;&#150;&#x80;&#99999999999999999999;&nosuch;&amp;lt;</body>",
+         "café \ufffd\ufffd\ufffd\ufffd–€\ufffd&nosuch;&lt;"),
+        ("<body>&#36;&#x24;&#92;&#x5c;1</body>", "$$\\\\1"),
     ]
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i long, html string")
     got = [r[0] for r in df.transform(H.with_body_text("html", "t")).orderBy("i").select("t").collect()]
     assert got == [e for _, e in cases]
+    capped = spark.createDataFrame([(cap_case,)], "html string").transform(H.with_body_text("html", "t", cap=50_000))
+    assert capped.first().t == "keep " + "x" * (50_000 - 40)
     a = spark.createDataFrame([('<a class="q>" href=\'mailto:x@y.z?s=1\'>m</a><A HREF=/contact>c</A><a name=x>',)],
                               "html string")
     assert a.transform(H.with_anchor_hrefs("html", "h")).first().h == ["mailto:x@y.z?s=1", "/contact"]
+
+
+def test_bad_urls_are_values_not_errors(spark):
+    from contactlake.functions.urls import url_parts
+    rows = ["http://a.com:abc/", "http://a.com:8x", "http://a.com:99999999999/", "http://1.2.3.99999999999999999999/",
+            "http://1.2.3.256/", "http://001.2.3.4:0080/x", None, "", "http://a.com:70000/"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, u string")
+    got = [(r[0], r[1]) for r in df.select("i", url_parts("u").alias("p")).orderBy("i").select("p.valid", "p.href").collect()]
+    assert got == [(False, None)] * 5 + [(True, "http://1.2.3.4/x")] + [got[6]] + [(False, None)] * 2
+
+
+def test_attempts_without_status_and_timeouts(spark):
+    from datetime import datetime
+    t = [datetime(2024, 1, 1, 0, i) for i in range(5)]
+    log = spark.createDataFrame([
+        (1, t[0], "u1", None, False), (2, t[1], "u1", 200, False), (3, t[0], "u2", None, True), (4, t[1], "u2", 200, False),
+        (5, t[0], "u3", None, False), (6, t[1], "u3", None, None), (7, t[2], "u3", None, False), (8, t[3], "u3", 200, False)],
+        "event_id long, fetched_at timestamp, url string, status int, timed_out boolean")
+    got = {r["url"]: (r["attempts"], r["final_attempt"], r["status"], r["ok"], r["message"]) for r in CR.attempt_outcome(log).collect()}
+    assert got == {"u1": (2, 2, 200, True, ""), "u2": (2, 1, None, False, "Request timeout after 30 seconds"),
+                   "u3": (3, 3, None, False, "Failed to fetch after retries")}
+    plan = CR.attempt_outcome(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
+
+
+def test_relative_redirects(spark):
+    cases = [("?x=1", "http://h.com/a/b?x=1"), ("#f", "http://h.com/a/b?q=2#f"), ("c", "http://h.com/a/c"), ("/r", "http://h.com/r"),
+             ("//o.org/z", "http://o.org/z"), ("http://p.net/", "http://p.net/")]
+    df = spark.createDataFrame([("http://h.com/a/b?q=2", c) for c, _ in cases], "at string, loc string")
+    assert [r[0] for r in df.transform(CR.resolve_location("at", "loc", "n")).select("n").collect()] == [e for _, e in cases]
+
+
+def test_repeated_pages_do_not_multiply_rows(spark):
+    from contactlake.operators import enrich as EN
+    contacts = spark.createDataFrame([("https://Shop.example.com/", "a@s.com"), ("https://shop.example.com/", "b@s.com"),
+                                      ("https://www.shop.example.com/", None)], "url string, email string")
+    b = spark.createDataFrame([(1, "http://shop.example.com", ""), (2, "http://shop.example.com", "own@x.com"), (3, "", None)],
+                              "ord long, website string, email string")
+    got = {r["ord"]: r["email"] for r in EN.enrich(b, contacts, "email").collect()}
+    assert got == {1: "a@s.com", 2: "own@x.com", 3: None}
