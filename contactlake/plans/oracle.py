@@ -576,3 +576,31 @@ def _():
             "CASE WHEN has THEN (0.6::DOUBLE + 0.6::DOUBLE) / 2 WHEN " + f"coalesce({deny}, false)" + " THEN 0.0::DOUBLE ELSE s_conf END AS confidence, "
             "CASE WHEN has THEN 'AI found contact information, AI confidence: 60%' WHEN " + f"coalesce({deny}, false)"
             + " THEN 'Known non-business platform' ELSE s_reasons END AS reasons FROM j")
+
+
+# --- result pages: expected from the fields the pages were written from -----------
+def _cards_sql() -> str:
+    from contactlake.sources.fixtures import LISTING_CARDS_SQL, duckdb_sql
+    return "WITH lc AS (" + duckdb_sql(LISTING_CARDS_SQL).strip() + ")"
+
+
+@oracle("listing_cards")
+def _():
+    return (_cards_sql() + ",\nc AS (SELECT *, page_id * 10 + pos AS ord FROM lc WHERE name <> ''),\n"
+            + S.validated_stages("c") + "\nSELECT CAST(ord // 10 AS BIGINT) AS page_id, CAST(ord % 10 AS BIGINT) AS pos, "
+            "name, phone, email, website, address, category FROM validated")
+
+
+@oracle("listing_meta")
+def _():
+    return (_cards_sql() + ",\np AS (SELECT DISTINCT page_id, page_id % 5 + 1 AS page, page_id % 4 <> 3 AS nxt, "
+            "CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id * 7 + 1 END AS total FROM lc)\n"
+            "SELECT page_id, CAST(page AS BIGINT) AS current_page, nxt AS has_next_page, page > 1 AS has_previous_page, "
+            "CAST(CASE WHEN total > 0 THEN ceil(total / 10.0::DOUBLE) ELSE page + CASE WHEN nxt THEN 1 ELSE 0 END END AS BIGINT) AS total_pages, "
+            "CAST(total AS BIGINT) AS total_results FROM p")
+
+
+@oracle("page_text")
+def _():
+    return (duckdb_fixture_ctes("site_pages") + ",\n" + _text_stages("site_pages", "page_id, url, html")
+            + "\nSELECT page_id, txt AS text FROM t3")

@@ -444,6 +444,29 @@ def run_summary(spark, sf_dir):
         F.col("n_valid").alias("total"), "successful", "failed", *[f"n_{c}" for c in cats])
 
 
+# --- result pages -----------------------------------------------------------------
+from contactlake.operators import listing as LI  # noqa: E402
+
+
+@query("listing_cards")
+def listing_cards(spark, sf_dir):
+    """S4 + F4 + V6: the named cards of every result page."""
+    return LI.listing_businesses(fixtures.listing_pages(spark, sf_dir)).select("page_id", "pos", *BUSINESS_COLS[1:])
+
+
+@query("listing_meta")
+def listing_meta(spark, sf_dir):
+    """A5 of every result page."""
+    return LI.result_meta(fixtures.listing_pages(spark, sf_dir))
+
+
+@query("page_text")
+def page_text(spark, sf_dir):
+    """The visible text of every page, character references decoded."""
+    from contactlake.functions.html import with_body_text
+    return fixtures.site_pages(spark, sf_dir).transform(with_body_text("html", "text")).select("page_id", "text")
+
+
 # --- flagship -------------------------------------------------------------------
 @query("flagship_coverage")
 def flagship_coverage(spark, sf_dir):

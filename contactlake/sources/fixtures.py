@@ -18,6 +18,7 @@ with DataFrame parameters, so no global views are registered) and in DuckDB
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from contactlake.sources.tables import read_table
 
@@ -97,6 +98,47 @@ FROM {pages}
 """
 
 
+# Cards of result pages: raw fields derived from the customers.  ``page_id``
+# is the result page (ten cards), ``pos`` the place on it.
+LISTING_CARDS_SQL = """
+SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS page_id, c_custkey % 10 AS pos,
+ CASE WHEN c_custkey % 17 = 3 THEN '' ELSE 'Café & Sons "' || CAST(c_custkey AS STRING) || '"' END AS name,
+ CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '2' || lpad(CAST(c_custkey % 100 AS STRING),2,'0') || '-555-' || lpad(CAST(c_custkey % 10000 AS STRING),4,'0') END AS phone,
+ '' AS email,
+ CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://www.shop' || CAST(c_custkey AS STRING) || '.example.net/a?x=1&y=2' ELSE 'http://shop' || CAST(c_custkey AS STRING) || '.example.net/' END AS website,
+ CASE WHEN c_custkey % 6 = 0 THEN '' ELSE CAST(c_custkey AS STRING) || ' Main Street' END AS address,
+ c_mktsegment AS category
+FROM {customer}
+"""
+
+
+def listing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LISTING_CARDS_SQL, customer=read_table(spark, sf_dir, "customer"))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, page, html): the cards written as result pages.  Page
+    ``page_id`` is page ``page_id % 5 + 1`` of its search; two of three pages
+    show a total, the next marker comes in three forms or not at all."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("é"), F.lit("&eacute;"))
+    link = F.when(F.col("website").startswith("http:"), F.concat(F.lit("/url?q="), F.url_encode("website"), F.lit("&amp;sa=U"))).otherwise(esc("website"))
+    card = F.concat(
+        F.lit('<div class="uMdZh"><div><div class="cXedhc VkpGBb" data-k="1"><div class="dbg0pd" role="heading"><span class="OSrXXb">'), esc("name"),
+        F.lit('</span></div><div class="rllt__details"><div class="r">4.5 (12)</div><div>4.5 · (12) · '), esc("category"), F.lit("</div><div>"),
+        esc("address"), F.lit("</div><div>Open · "), F.col("phone"), F.lit("</div></div></div></div>"),
+        F.when(F.col("website") != "", F.concat(F.lit('<a class="yYlJEf" href="'), link, F.lit('"><div class="BSaJxc">Website</div></a>'))).otherwise(F.lit("")),
+        F.lit('<a href="/maps">Directions</a></div>'))
+    cards = listing_cards(spark, sf_dir).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", card.alias("c")))), lambda x: x["c"]), "").alias("body"))
+    form = F.col("page_id") % 4
+    nxt = (F.when(form == 0, '<div class="d6cvqb"><a href="/s" id="pnnext"><span>&gt;</span></a></div>')
+           .when(form == 1, '<a href="/s" aria-label="Next page">&gt;</a>').when(form == 2, '<a href="/s"><span>Next</span></a>').otherwise(""))
+    stats = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(
+        F.lit('<div id="resultStats">About '), F.format_number(F.col("page_id") * 7 + 1, 0), F.lit(" results (0.41 seconds)</div>")))
+    return cards.select("page_id", (F.col("page_id") % 5 + 1).alias("page"),
+                        F.concat(F.lit("<html><body>"), stats, F.col("body"), nxt, F.lit("</body></html>")).alias("html"))
+
+
 def url_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(URL_INPUTS_SQL, pages=read_table(spark, sf_dir, "pages"))
 
