@@ -128,7 +128,7 @@ def custom_scrape(url_lines: DataFrame, pages: DataFrame, business_type: str | N
     caller), errors are (ord, url, error, category) and ``n_valid`` the
     number of accepted sites after the cap (a DataFrame with one row).
     """
-    from contactlake.operators.crawl import with_error_category
+    from contactlake.operators.crawl import MSG_NOT_BUSINESS, with_error_category
     from contactlake.functions.text import js_trim
 
     lines = url_lines.where(js_trim("raw") != "").transform(with_intake_check("raw", "cleaned", "intake_error"))
@@ -181,8 +181,16 @@ def custom_scrape(url_lines: DataFrame, pages: DataFrame, business_type: str | N
         F.lit(location or "").alias("address"),
         (F.lit(business_type) if business_type else btype).alias("category"))
     rows = assembled.transform(validate_records(keep=("ord",)))
-    fails = bad_format.unionByName(missing).unionByName(rejected) \
-        .transform(with_error_category("message", None, strict_errors))
+    # The flow knows what went wrong, so the category does not depend on digits
+    # of the URL in the text; ``strict_errors`` applies the source's text rules.
+    kinds = ((bad_format, "validation"), (missing, "unknown"), (rejected, "content"))
+    parts = [part.withColumn("kind", F.lit(k)) for part, k in kinds]
+    fails = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if strict_errors:
+        fails = fails.transform(with_error_category("message", None, True))
+    else:
+        fails = fails.withColumn("category", F.col("kind")).withColumn("error_message", F.when(
+            F.col("kind") == "content", F.lit(MSG_NOT_BUSINESS)).otherwise(F.col("message")))
     errors = invalid.unionByName(fails.select("ord", "url", F.col("error_message").alias("error"),
                                               F.col("category")))
     n_valid = ok.agg(F.count(F.lit(1)).alias("n_valid"))

@@ -143,18 +143,30 @@ EMPTY_KEPT = ("list_filter([{" + ", ".join(
     f"'{f}': NULL::{'BIGINT' if f == 'ord' else 'VARCHAR'}" for f in KEPT_FIELDS) + "}], lambda x: false)")
 
 
-@oracle("dedup_businesses")
-def _():
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _walk(src: str) -> str:
+    """CTEs from the features of ``src`` to ``kept_ords(ord)``: the sequential
+    rule, row by row."""
     st = "{" + ", ".join(f"'{f}': f.{f}" for f in KEPT_FIELDS) + "}"
-    return ((duckdb_fixture_ctes("businesses") + ",\n" + _features() + ",\n").replace("WITH ", "WITH RECURSIVE ", 1)
-            + "fr AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM dff),\n"
-            + "walk(rn, kept) AS (SELECT 0::BIGINT, " + EMPTY_KEPT + " UNION ALL "
+    return (_features(src) + ",\n"
+            "fr AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM dff),\n"
+            "walk(rn, kept) AS (SELECT 0::BIGINT, " + EMPTY_KEPT + " UNION ALL "
             "SELECT f.rn, CASE WHEN list_contains(list_transform(w.kept, lambda k: k.sig), f.sig) "
             "OR len(list_filter(w.kept, lambda k: " + S.pair_score_sql("k", "f") + " > 0.85::DOUBLE)) > 0 "
             "THEN w.kept ELSE list_append(w.kept, " + st + ") END "
-            "FROM walk w JOIN fr f ON f.rn = w.rn + 1)\n"
-            "SELECT ord, name, phone, email, website, address, category FROM businesses WHERE ord IN "
-            "(SELECT unnest(list_transform(kept, lambda k: k.ord)) FROM walk WHERE rn = (SELECT count(*) FROM fr))")
+            "FROM walk w JOIN fr f ON f.rn = w.rn + 1),\n"
+            "kept_ords AS (SELECT unnest(list_transform(kept, lambda k: k.ord)) AS ord FROM walk "
+            "WHERE rn = (SELECT count(*) FROM fr))\n")
+
+
+@oracle("dedup_businesses")
+def _():
+    return (_recursive(duckdb_fixture_ctes("businesses") + ",\n") + _walk("businesses")
+            + "SELECT ord, name, phone, email, website, address, category FROM businesses "
+              "WHERE ord IN (SELECT ord FROM kept_ords)")
 
 
 # --- validators, URL functions, reports -----------------------------------------
@@ -604,3 +616,62 @@ def _():
 def _():
     return (duckdb_fixture_ctes("site_pages") + ",\n" + _text_stages("site_pages", "page_id, url, html")
             + "\nSELECT page_id, txt AS text FROM t3")
+
+
+# --- custom-site flow --------------------------------------------------------------
+def _custom_sql() -> str:
+    """CTEs ending in ``errs`` (ord, url, error, category) and ``kept`` (rows)."""
+    err = ("CASE WHEN NOT up_valid THEN 'Invalid URL: Invalid URL' WHEN NOT contains(up_host, '.') "
+           "THEN 'Invalid URL: Invalid domain format' WHEN contains(up_host, 'localhost') OR contains(up_host, '127.0.0.1') "
+           "OR regexp_matches(up_host, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+\\z') THEN 'Invalid URL: Local URLs not supported' END")
+    from contactlake.sources.fixtures import URL_INPUTS_SQL, duckdb_sql
+    ui = "url_inputs AS (" + duckdb_sql(URL_INPUTS_SQL).strip() + ")"
+    return (_recursive(site_contacts_sql().replace("WITH ", "WITH " + ui + ",\n", 1))
+            + ", bv AS (" + ORACLE["business_verdict"] + "),\n"
+            + f"u AS (SELECT ord, raw, 'https://' || {S.strip_prefix('lower(' + S.js_trim('raw') + ')')} AS cleaned "
+              f"FROM url_inputs WHERE {S.js_trim('raw')} <> ''),\n"
+            + S.url_parts_stages("u", "cleaned", "up") + ",\n"
+            + f"ue AS (SELECT ord, raw, cleaned, {err} AS err FROM up6),\n"
+            + "okl AS (SELECT ord, raw, cleaned FROM ue WHERE err IS NULL),\n"
+            + S.normalized_website_stages("okl", "cleaned", "site", "cw") + ",\n"
+            + S.normalized_website_stages("site_pages", "url", "p_site", "pw") + ",\n"
+            + "pid AS (SELECT p_site, min(page_id) AS page_id FROM pw7 WHERE p_site IS NOT NULL GROUP BY p_site),\n"
+            "ft AS (SELECT c.*, pid.page_id, bv.is_valid FROM cw7 c LEFT JOIN pid ON c.site = pid.p_site "
+            "LEFT JOIN bv ON bv.page_id = pid.page_id),\n"
+            "errs AS (SELECT ord, raw AS url, err AS error, 'validation' AS category FROM ue WHERE err IS NOT NULL "
+            "UNION ALL SELECT ord, raw, 'Invalid URL format: ' || cleaned, 'validation' FROM ft WHERE site IS NULL "
+            "UNION ALL SELECT ord, raw, site || ': fetch failed', 'unknown' FROM ft WHERE site IS NOT NULL AND page_id IS NULL "
+            "UNION ALL SELECT ord, raw, 'Does not appear to be a business website', 'content' FROM ft WHERE page_id IS NOT NULL AND NOT is_valid),\n"
+            "asm AS (SELECT ft.ord, 'Unknown Business' AS name, coalesce(sc.phones[1], '') AS phone, coalesce(sc.emails[1], '') AS email, "
+            "ft.site AS website, 'Springfield' AS address, 'Retail' AS category FROM ft JOIN sc ON sc.page_id = ft.page_id WHERE ft.is_valid),\n"
+            + S.validated_stages("asm", "va") + ",\n" + _walk("validated")
+            + ", kept AS (SELECT * FROM validated WHERE ord IN (SELECT ord FROM kept_ords))\n")
+
+
+@oracle("custom_scrape_rows")
+def _():
+    return _custom_sql() + f"SELECT {BCOLS} FROM kept"
+
+
+@oracle("custom_scrape_errors")
+def _():
+    return _custom_sql() + "SELECT *, url || ': ' || error AS line FROM errs"
+
+
+@oracle("run_summary")
+def _():
+    cats = ["validation", "network", "content", "timeout", "unknown"]
+    return (_custom_sql() + "SELECT (SELECT count(*) FROM okl) AS total, (SELECT count(*) FROM kept) AS successful, "
+            "(SELECT count(*) FROM errs) AS failed, "
+            + ", ".join(f"(SELECT count(*) FROM errs WHERE category = {q(c)}) AS n_{c}" for c in cats))
+
+
+@oracle("flagship_coverage")
+def _():
+    both = _enriched_sql("email").rsplit("SELECT ", 1)[0]
+    pred = lambda f: f"coalesce(b.website, '') <> '' AND coalesce(b.{f}, '') = '' AND starts_with(b.website, 'http')"
+    return (_recursive(both) + ", en AS (SELECT b.ord, b.name, CASE WHEN " + pred("phone") + " THEN coalesce(f.phone, b.phone) ELSE b.phone END AS phone, "
+            "CASE WHEN " + pred("email") + " THEN coalesce(f.email, b.email) ELSE b.email END AS email, b.website, b.address, b.category "
+            "FROM pb7 b LEFT JOIN fs f ON b.b_site = f.site),\n" + S.validated_stages("en", "vf") + ",\n" + _walk("validated")
+            + f"SELECT count(*) AS total, count_if({_nb('phone')}) AS with_phone, count_if({_nb('email')}) AS with_email, "
+              f"count_if({_nb('website')}) AS with_website FROM validated WHERE ord IN (SELECT ord FROM kept_ords)")
