@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from contactlake.llm import common
 from contactlake.llm.packed import Packed, bounds
 
+PIECE_BYTES = 1 << 20
 CHUNK = "chunk long, payload binary, sizes binary, ids binary, known binary"
 
 
@@ -71,6 +72,16 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], np.uint8).astype(bool)
 
+    def pieces(self):
+        """(first text, Packed) of consecutive texts of about PIECE_BYTES, so
+        that the arrays made from a piece stay small whatever the chunk's size."""
+        p = self.packed
+        at = 0
+        while at < p.n:
+            stop = max(at + 1, int(np.searchsorted(p.end, p.start[at] + PIECE_BYTES)))
+            yield at, p.part(at, stop)
+            at = stop
+
     def id_column(self):
         import pyarrow as pa
         return pa.array(self.ids, pa.int64(), mask=~self.known)

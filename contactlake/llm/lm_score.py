@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from contactlake.llm import chunks as C
 from contactlake.llm import common
-from contactlake.llm.packed import Packed, chain, pack_counts, pack_sorted, unpack_counts, unpack_sorted, word_bytes
+from contactlake.llm.packed import chain, pack_counts, pack_sorted, unpack_counts, unpack_sorted, word_bytes
 
 #: Hashes of the end token and of the place before a text; no word's.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS = 16
+#: Larger chunks repeat fewer hashes; only 8 bytes a token are held of one.
+CHUNK_BYTES = 8 << 20
 ITERATIONS, ENOUGH = 20, 1e-4
 
 
@@ -41,25 +43,26 @@ def held_out(doc_id) -> int:
     return int(zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0)
 
 
-def tokens(p: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokens(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, token before, text) in order; every text ends with END."""
-    start, end = p.runs(word_bytes())
-    doc = p.text_of(start)
-    h = np.concatenate([p.hashes(start, end, fold=True), np.full(p.n, END)])
-    doc = np.concatenate([doc, np.arange(p.n)])
-    by = np.argsort(doc, kind="stable")             # the ends come after the words of their texts
-    h, doc = h[by], doc[by]
-    before = np.concatenate([[START], h[:-1]])[:len(h)]
-    before[np.concatenate([[True], doc[1:] != doc[:-1]])[:len(h)]] = START
+    hs, docs = [], []
+    for first, p in chunk.pieces():
+        start, end = p.runs(word_bytes())
+        doc = p.text_of(start)
+        ends = np.searchsorted(doc, np.arange(p.n), side="right")   # an END after the words of each text
+        hs.append(np.insert(p.hashes(start, end, fold=True), ends, END))
+        docs.append(np.insert(doc, ends, np.arange(p.n)).astype(np.int32) + np.int32(first))
+    h, doc = np.concatenate(hs), np.concatenate(docs)
+    before = np.concatenate([[START], h[:-1]])
+    before[1:][doc[1:] != doc[:-1]] = START
     return h, before, doc
 
 
-def _distinct(number: int, p: Packed):
+def _distinct(chunk: C.Chunk, h: np.ndarray, pair: np.ndarray):
     """Distinct tokens with START, and distinct pairs, with training counts."""
-    h, before, _ = tokens(p)
-    train = number % 2 == 0
-    u, un = np.unique(np.concatenate([h, np.full(p.n, START)]), return_counts=True)
-    b, bn = np.unique(chain(before, h), return_counts=True)
+    train = chunk.number % 2 == 0
+    u, un = np.unique(np.concatenate([h, np.full(chunk.packed.n, START)]), return_counts=True)
+    b, bn = np.unique(pair, return_counts=True)
     return u, un * train, b, bn * train
 
 
@@ -69,7 +72,8 @@ def _requests(chunks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = C.Chunk(row)
-                u, un, b, bn = _distinct(chunk.number, chunk.packed)
+                h, before, _ = tokens(chunk)
+                u, un, b, bn = _distinct(chunk, h, chain(before, h))
                 ue, be = C.slices(u, parts), C.slices(b, parts)
                 out = [(q, chunk.number, pack_sorted(u[ue[q]:ue[q + 1]]), pack_counts(un[ue[q]:ue[q + 1]]),
                         pack_sorted(b[be[q]:be[q + 1]]), pack_counts(bn[be[q]:be[q + 1]]))
@@ -114,11 +118,12 @@ def _replies(requests: DataFrame) -> DataFrame:
 def _looked_up(row: dict):
     """(chunk, text of each token, c(w), c(v), c(v,w)) of a chunk with replies."""
     chunk = C.Chunk(row)
-    h, before, doc = tokens(chunk.packed)
-    u, _, b, _ = _distinct(chunk.number, chunk.packed)
+    h, before, doc = tokens(chunk)
+    pair = chain(before, h)
+    u, _, b, _ = _distinct(chunk, h, pair)
     un = np.concatenate([unpack_counts(r["u"]) for r in row["replies"]])
     bn = np.concatenate([unpack_counts(r["b"]) for r in row["replies"]])
-    return chunk, doc, un[np.searchsorted(u, h)], un[np.searchsorted(u, before)], bn[np.searchsorted(b, chain(before, h))]
+    return chunk, doc, un[np.searchsorted(u, h)], un[np.searchsorted(u, before)], bn[np.searchsorted(b, pair)]
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -192,8 +197,8 @@ def scores(docs: DataFrame) -> DataFrame:
     leaves a remainder other than 0 by 10."""
     docs = common.documents_of(docs)
     spark = docs.sparkSession
-    chunks = C.chunk_table(docs, side=held_out)
-    replies = common.materialize(_replies(_requests(chunks, common.parallelism(spark))), "lm-counts")
+    chunks = C.chunk_table(docs, side=held_out, chunk_bytes=CHUNK_BYTES)
+    replies = common.materialize(_replies(_requests(chunks, 2 * common.parallelism(spark))), "lm-counts")
     sums = replies.where("chunk = -1").agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"),
                                            F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v")).first()
     joined = C.with_replies(chunks, replies.where("chunk >= 0").select("chunk", "part", "u", "b"))

@@ -83,6 +83,13 @@ class Packed:
         self.end, self.start, self.n = ends - 1, ends - 1 - sizes, len(sizes)
         return self
 
+    def part(self, first: int, stop: int) -> "Packed":
+        """The texts first .. stop - 1 alone."""
+        out = Packed([])
+        a, b = self.start[first], self.end[stop - 1] + 1
+        out.buf, out.start, out.end, out.n = self.buf[a:b], self.start[first:stop] - a, self.end[first:stop] - a, stop - first
+        return out
+
     def prefix(self, fold: bool) -> np.ndarray:
         if fold not in self._prefix:
             n = len(self.buf)
