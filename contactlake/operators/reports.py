@@ -131,4 +131,5 @@ def accumulate_pages(rows: DataFrame, query: str = "query", page: str = "page",
     are kept).  Equivalent closed form: keep a row iff its page is the first
     page its name appears on - one grouped minimum and a join."""
     first = rows.groupBy(query, name).agg(F.min(page).alias("__first"))
-    return rows.join(first, [query, name]).where(F.col(page) == F.col("__first")).drop("__first")
+    same = rows[query].eqNullSafe(first[query]) & rows[name].eqNullSafe(first[name])
+    return rows.join(first, same & (rows[page] == first["__first"]), "left_semi")

@@ -675,3 +675,28 @@ def _():
             "FROM pb7 b LEFT JOIN fs f ON b.b_site = f.site),\n" + S.validated_stages("en", "vf") + ",\n" + _walk("validated")
             + f"SELECT count(*) AS total, count_if({_nb('phone')}) AS with_phone, count_if({_nb('email')}) AS with_email, "
               f"count_if({_nb('website')}) AS with_website FROM validated WHERE ord IN (SELECT ord FROM kept_ords)")
+
+
+# --- export texts -------------------------------------------------------------------
+EXPORT_ORDER = [("name", "Business Name"), ("category", "Category"), ("phone", "Phone"), ("email", "Email"),
+                ("website", "Website"), ("address", "Address")]
+
+
+@oracle("export_csv_lines")
+def _():
+    f = lambda c: (f"CASE WHEN contains({c}, ',') OR contains({c}, chr(34)) OR contains({c}, chr(10)) OR contains({c}, chr(13)) "
+                   f"THEN chr(34) || replace({c}, chr(34), chr(34) || chr(34)) || chr(34) ELSE {c} END")
+    return _validated() + "SELECT ord, " + " || ',' || ".join(f(c) for c, _ in EXPORT_ORDER) + " AS line FROM validated"
+
+
+@oracle("export_json_objects")
+def _():
+    body = " || ',' || chr(10) || ".join(f"'    \"{c}\": ' || CAST(to_json({c}) AS VARCHAR)" for c, _ in EXPORT_ORDER)
+    return _validated() + f"SELECT ord, '  {{' || chr(10) || {body} || chr(10) || '  }}' AS object FROM validated"
+
+
+@oracle("export_txt_blocks")
+def _():
+    rows = " || ".join(f"'{lab}: ' || CASE WHEN {c} <> '' THEN {c} ELSE 'N/A' END || chr(10)" for c, lab in EXPORT_ORDER)
+    return (_validated() + ", n AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM validated "
+            f"WHERE NOT {_nb('website')})\nSELECT ord, 'Business ' || CAST(i AS VARCHAR) || ':' || chr(10) || repeat('=', 21) || chr(10) || {rows} AS block FROM n")

@@ -444,6 +444,29 @@ def run_summary(spark, sf_dir):
         F.col("n_valid").alias("total"), "successful", "failed", *[f"n_{c}" for c in cats])
 
 
+# --- export texts -----------------------------------------------------------------
+from contactlake.sinks import export as EX  # noqa: E402
+
+
+@query("export_csv_lines")
+def export_csv_lines(spark, sf_dir):
+    """The CSV line of every validated row."""
+    return validated(spark, sf_dir).select("ord", EX.csv_line().alias("line"))
+
+
+@query("export_json_objects")
+def export_json_objects(spark, sf_dir):
+    """The JSON object of every validated row."""
+    return validated(spark, sf_dir).select("ord", EX.json_object().alias("object"))
+
+
+@query("export_txt_blocks")
+def export_txt_blocks(spark, sf_dir):
+    """S7 + S8: the numbered text block of every validated row without a website."""
+    rows = EX.numbered(R.without_website(validated(spark, sf_dir)))
+    return rows.select("ord", EX.txt_block("number").alias("block"))
+
+
 # --- result pages -----------------------------------------------------------------
 from contactlake.operators import listing as LI  # noqa: E402
 

@@ -14,31 +14,40 @@ REQUEST_SCHEMA = StructType([StructField("businesses", ArrayType(BUSINESS_SCHEMA
 
 
 def url_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text file(s) -> (ord, raw) for every non-blank line, trimmed.
+    """Text file(s) -> (file, ord, raw) for every non-blank line, trimmed.
 
-    ``ord`` follows file order (``monotonically_increasing_id`` is ordered
-    within and across partitions, which is all the intake needs).
+    ``ord`` is the line's place in its file: files are split by bytes, so each
+    file is read whole (an upload of URLs is small) and cut into lines.
     """
-    t = spark.read.text(path).select(js_trim("value").alias("raw"))
-    return t.where(F.col("raw") != "").withColumn("ord", F.monotonically_increasing_id().cast(LongType())) \
-            .select("ord", "raw")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return url_lines_from_column(t, "value", keep=("file",))
 
 
-def url_lines_from_column(df: DataFrame, col: str) -> DataFrame:
-    """S2 on a column holding newline-joined URLs (one request per row)."""
-    lines = df.select(F.posexplode(F.split(F.col(col), "\n")).alias("pos", "raw"))
-    return lines.select(F.col("pos").cast(LongType()).alias("ord"), js_trim("raw").alias("raw")) \
+def url_lines_from_column(df: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """S2 on a column holding newline-joined URLs (one request per row);
+    ``keep`` names the columns that tell the requests apart."""
+    lines = df.select(*keep, F.posexplode(F.split(F.col(col), "\n")).alias("pos", "raw"))
+    return lines.select(*keep, F.col("pos").cast(LongType()).alias("ord"), js_trim("raw").alias("raw")) \
                 .where(F.col("raw") != "")
 
 
-def business_requests(spark: SparkSession, path: str) -> DataFrame:
-    """S3: JSON request bodies ``{"businesses": [...]}`` -> one row per
-    business with ``ord`` (position in its request); bodies whose
-    ``businesses`` is not an array land in ``_corrupt_record``."""
-    schema = StructType(REQUEST_SCHEMA.fields + [StructField("_corrupt_record", StringType())])
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    ok = raw.where(F.col("businesses").isNotNull())
-    return ok.select(F.posexplode("businesses").alias("ord", "b")).select(
-        F.col("ord").cast(LongType()).alias("ord"),
-        *[F.coalesce(F.col(f"b.{c}"), F.lit("")).alias(c) for c in BUSINESS_SCHEMA.fieldNames()])
+def business_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S3 on JSON Lines of request bodies: (rows, errors) as in
+    ``businesses_from_column``; request is (file, line number)."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"),
+                                                     F.posexplode(F.split("value", "\n")).alias("line", "body"))
+    t = t.where(js_trim("body") != "").select(F.struct("file", "line").alias("request"), "body")
+    return businesses_from_column(t, "request", "body")
+
+
+def businesses_from_column(df: DataFrame, request: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """S3: request bodies ``{"businesses": [...]}`` -> rows (request, ord,
+    fields; ord is the place in the request) and errors (request, body, error)
+    for bodies that are no such object."""
+    t = df.select(F.col(request).alias("request"), F.col(body).alias("body"),
+                  F.from_json(F.col(body), REQUEST_SCHEMA)["businesses"].alias("b"))
+    rows = t.where(F.col("b").isNotNull()).select("request", F.posexplode("b").alias("ord", "r")).select(
+        "request", F.col("ord").cast(LongType()).alias("ord"),
+        *[F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in BUSINESS_SCHEMA.fieldNames()])
+    errors = t.where(F.col("b").isNull()).select("request", "body", F.lit("Invalid businesses data").alias("error"))
+    return rows, errors

@@ -3,15 +3,14 @@
 * ``contacts_stream``: new pages (a Parquet folder) -> T3/T4/T6/T7 per page
   -> Parquet sink.  Stateless and narrow, so each micro-batch is the batch
   operator on the new files.
-* ``accumulate_stream``: result pages arriving over time -> J6.  Each
-  micro-batch keeps the rows whose (query, name) is not yet held in the
-  accumulated table (left anti join) and whose page is the first page of that
-  name inside the batch, then appends them.  Assumes pages of one query
-  arrive in page order, as they do in the source (page k is requested after
-  page k-1).  The accumulated table lives in a shared folder, so a restarted
-  query resumes from its checkpoint without duplicates: a batch is re-run
-  only if its append did not commit, and the anti join makes the re-run
-  append nothing twice within the same committed state.
+* ``accumulate_stream``: result pages arriving over time -> J6.  The table is
+  partitioned by micro-batch; a batch writes its own partition and overwrites
+  only that, so one that failed half-way and runs again leaves no duplicates.
+  A batch reads of the earlier ones only (query, name, first page), which is
+  the state: a row stays if its name is new and its page is the first with it
+  in the batch, or if its page is the name's first page (so a page split over
+  two batches keeps its repeats).  Assumes pages of one query arrive in page
+  order, as they do in the source (page k is requested after page k-1).
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactlake.operators.enrich import page_contacts
-from contactlake.operators.reports import accumulate_pages
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -37,16 +35,24 @@ def contacts_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoin
     return w.start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _append_new(table_dir: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = accumulate_pages(batch, "query", "page", "name")
-        try:
-            held = spark.read.parquet(table_dir).select("query", "name").distinct()
-            fresh = fresh.join(held, ["query", "name"], "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
-        fresh.write.mode("append").parquet(table_dir)
+        first = batch.groupBy("query", "name").agg(F.min("page").alias("__first"))
+        if _exists(spark, table_dir):
+            held = (spark.read.parquet(table_dir).where(F.col("epoch") < epoch_id)
+                    .groupBy("query", "name").agg(F.min("page").alias("__held")))
+            same = first["query"].eqNullSafe(held["query"]) & first["name"].eqNullSafe(held["name"])
+            first = first.join(held, same, "left").select(
+                first["query"], first["name"], F.coalesce("__held", "__first").alias("__first"))
+        same = batch["query"].eqNullSafe(first["query"]) & batch["name"].eqNullSafe(first["name"])
+        fresh = batch.join(first, same & (batch["page"] == first["__first"]), "left_semi")
+        fresh.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch_id}")
     return run
 
 
@@ -59,7 +65,3 @@ def accumulate_stream(spark: SparkSession, pages_dir: str, schema: str, table_di
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
-
-
-def held_names(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.parquet(table_dir).groupBy("query").agg(F.count(F.lit(1)).alias("rows"))

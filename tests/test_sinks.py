@@ -30,6 +30,9 @@ def test_csv_round_trip(spark, tmpdir_run):
     assert rows[1] == ["A, Inc.", "Cat", "", "a@x.com", "https://a.com/", 'Say "hi"']
     assert rows[2][0] == " lead" and rows[2][5] == "line\nbreak"
     assert len(rows) == 4
+    many = os.path.join(tmpdir_run, "csv_parts")
+    write_csv(df.repartition(3), many)
+    assert _read_all(many) == _read_all(out)            # one header, whatever the parts
 
 
 def test_json_round_trip(spark, tmpdir_run):
@@ -54,6 +57,9 @@ def test_txt_layout_and_guards(spark, tmpdir_run):
     text = _read_all(out)
     assert text.startswith("Business 1:\n" + "=" * 21 + "\nBusiness Name:  lead\nPhone: (212) 555-0100\n\n")
     assert "Business 2:\n" + "=" * 21 + "\nBusiness Name: C\nPhone: N/A\n" in text
+    empty = spark.createDataFrame([(i, None, None) for i in range(20)], "ord long, name string, phone string")
+    write_txt(empty.repartition(5), out, fields=["name", "phone"])
+    assert [x for x in _read_all(out).split("\n") if x.startswith("Business ") and x.endswith(":")] == [f"Business {i}:" for i in range(1, 21)]
     with pytest.raises(ValueError):
         write_txt(df, out, fields=[])
     assert export_name(True, "csv") == "businesses-without-website.csv"
@@ -65,5 +71,8 @@ def test_readers(spark, tmpdir_run):
     assert [r.raw for r in url_lines(spark, p).orderBy("ord").collect()] == ["a.com", "b.com"]
     j = os.path.join(tmpdir_run, "req.json")
     open(j, "w").write('{"businesses": [{"name": "A", "phone": "1"}, {"name": "B"}]}\n{"businesses": 5}\n')
-    rows = business_requests(spark, j).orderBy("ord").collect()
-    assert [(r.ord, r.name, r.phone) for r in rows] == [(0, "A", "1"), (1, "B", "")]
+    open(j, "a").write('{"businesses": [{"name": "C"}]}\nnot json\n')
+    rows, errors = business_requests(spark, j)
+    got = rows.orderBy("request", "ord").collect()
+    assert [(r.request.line, r.ord, r.name, r.phone) for r in got] == [(0, 0, "A", "1"), (0, 1, "B", ""), (2, 0, "C", "")]
+    assert [(r.request.line, r.body) for r in errors.orderBy("request").collect()] == [(1, '{"businesses": 5}'), (3, "not json")]

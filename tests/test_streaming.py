@@ -36,3 +36,17 @@ def test_accumulate_stream_equals_batch(spark, tmpdir_run):
     got = spark.read.parquet(table).select("query", "page", "ord")
     want = accumulate_pages(b).select("query", "page", "ord")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_split_page_and_repeated_batch(spark, tmpdir_run):
+    from contactlake.streaming.incremental import _append_new
+    table = os.path.join(tmpdir_run, "acc2")
+    run = _append_new(table)
+    make = lambda rows: spark.createDataFrame(rows, "query string, page long, name string, ord long")
+    run(make([("q", 1, "a", 1), ("q", 1, None, 2)]), 0)
+    second = make([("q", 1, "a", 3), ("q", 2, "a", 4), ("q", 2, "b", 5), ("q", 2, None, 6)])
+    run(second, 1)
+    run(second, 1)                                      # the batch runs again after a failure
+    run(make([("q", 3, "b", 7), ("q", 3, "c", 8)]), 2)
+    got = sorted(r.ord for r in spark.read.parquet(table).collect())
+    assert got == [1, 2, 3, 5, 8]
