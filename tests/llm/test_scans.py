@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from brute import contamination, pii, quality, secrets, sha
-from conftest import EDGE
+from .brute import contamination, pii, quality, secrets, sha
+from .conftest import EDGE
 
 from contactlake.llm import decontaminate as D
 from contactlake.llm import pii as P

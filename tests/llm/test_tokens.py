@@ -4,8 +4,8 @@ import random
 
 import public_tokenizers
 import pytest
-from brute import sha
-from conftest import EDGE
+from .brute import sha
+from .conftest import EDGE
 from tokenizers import Tokenizer
 
 from contactlake.llm import bpe as B
