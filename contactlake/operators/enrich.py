@@ -100,10 +100,8 @@ def with_model_contacts(contacts: DataFrame, model: DataFrame | None) -> DataFra
         .withColumn("conf_phones", F.lit(TRADITIONAL_CONFIDENCE))
     if model is None:
         return base
-    m = model.select(F.col("url").alias("m_url"), F.col("emails").alias("m_emails"),
-                     F.col("phones").alias("m_phones"), F.col("conf_emails").alias("m_ce"),
-                     F.col("conf_phones").alias("m_cp"))
-    j = base.join(m, F.col("url") == F.col("m_url"), "left")
+    j = _lookup(base, F.col("url").isNotNull(), "url", by_site(model), {
+        "m_url": "url", "m_emails": "emails", "m_phones": "phones", "m_ce": "conf_emails", "m_cp": "conf_phones"})
     has_model = F.col("m_url").isNotNull()
     m_email = first_valid_email("m_emails")
     m_phone = first_valid_phone("m_phones")

@@ -21,7 +21,6 @@ TTL_MS = {
     "custom_scrape": 1_800_000,
     "ai_business_info": 86_400_000,
 }
-SET_KEY_CUT = 50
 
 
 def cache_key(prefix, *params) -> Column:
@@ -31,12 +30,10 @@ def cache_key(prefix, *params) -> Column:
     return F.concat(col_(prefix), F.lit(":"), F.regexp_replace(F.lower(joined), f"[{JSWS}]+", "_"))
 
 
-def set_key(arr, exact: bool = True) -> Column:
-    """Key of a URL list.  The source keeps the first 50 characters of the
-    sorted list joined by ``|`` (different lists can collide); ``exact``
-    hashes the whole joined list instead."""
-    joined = F.array_join(F.array_sort(col_(arr)), "|")
-    return F.sha2(joined, 256) if exact else F.substring(joined, 1, SET_KEY_CUT)
+def set_key(arr) -> Column:
+    """Key of a URL list: a hash of the whole sorted list joined by ``|``
+    (a prefix of it, as in the source, lets different lists collide)."""
+    return F.sha2(F.array_join(F.array_sort(col_(arr)), "|"), 256)
 
 
 def ttl_ms(kind) -> Column:

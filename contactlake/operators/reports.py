@@ -118,12 +118,6 @@ def errors_by_category(errors: DataFrame) -> DataFrame:
     return errors.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def errors_by_category_map(errors: DataFrame) -> DataFrame:
-    """A3 as the source's single ``{category: count}`` map (one row)."""
-    return errors_by_category(errors).agg(
-        F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("errors_by_category"))
-
-
 def accumulate_pages(rows: DataFrame, query: str = "query", page: str = "page",
                      name: str = "name") -> DataFrame:
     """Page 1 is taken whole; a later page adds the rows whose exact name

@@ -700,3 +700,25 @@ def _():
     rows = " || ".join(f"'{lab}: ' || CASE WHEN {c} <> '' THEN {c} ELSE 'N/A' END || chr(10)" for c, lab in EXPORT_ORDER)
     return (_validated() + ", n AS (SELECT *, row_number() OVER (ORDER BY ord) AS i FROM validated "
             f"WHERE NOT {_nb('website')})\nSELECT ord, 'Business ' || CAST(i AS VARCHAR) || ':' || chr(10) || repeat('=', 21) || chr(10) || {rows} AS block FROM n")
+
+
+# --- model cascade and list keys ------------------------------------------------------
+@oracle("model_cascade")
+def _():
+    from contactlake.sources.fixtures import MODEL_RESULTS_SQL, duckdb_sql
+    mr = "mr AS (" + duckdb_sql(MODEL_RESULTS_SQL).strip() + ")"
+    return (site_contacts_sql() + f", {mr},\n"
+            f"b AS (SELECT url, {best_email_expr()} AS be, {best_phone_expr()} AS bp FROM sc),\n"
+            + S.normalized_website_stages("b", "url", "b_site", "mb") + ",\n" + S.normalized_website_stages("mr", "url", "m_site", "mm") + ",\n"
+            "m1 AS (SELECT m_site, first(email ORDER BY url) AS email, first(phone ORDER BY url) AS phone, first(conf_emails ORDER BY url) AS ce, "
+            "first(conf_phones ORDER BY url) AS cp FROM mm7 WHERE m_site IS NOT NULL GROUP BY m_site),\n"
+            "j AS (SELECT b.*, m1.*, m_site IS NOT NULL AS has, coalesce(ce, 0.6::DOUBLE) AS e, coalesce(cp, 0.6::DOUBLE) AS p FROM mb7 b LEFT JOIN m1 ON b.b_site = m1.m_site)\n"
+            f"SELECT url, coalesce(CASE WHEN {S.valid_email('email')} THEN email END, be, '') AS email, coalesce({S.valid_phone('phone')}, bp, '') AS phone, "
+            "CASE WHEN has THEN 'ai' ELSE 'traditional' END AS method, (e + p) / 2 AS confidence, "
+            "CAST(floor((e + p) / 2 * 100 + 0.5) AS BIGINT) AS confidence_pct FROM j")
+
+
+@oracle("url_set_keys")
+def _():
+    return ("SELECT split_part(url, '/', 3) AS host, sha256(array_to_string(list_sort(list(url)), '|')) AS key "
+            "FROM pages GROUP BY 1")

@@ -490,6 +490,26 @@ def page_text(spark, sf_dir):
     return fixtures.site_pages(spark, sf_dir).transform(with_body_text("html", "text")).select("page_id", "text")
 
 
+# --- model cascade and list keys --------------------------------------------------
+@query("model_cascade")
+def model_cascade(spark, sf_dir):
+    """J4 + A6: model results before the page's own, with the mean confidence."""
+    from contactlake.operators.enrich import with_model_contacts
+    one = lambda c: F.filter(F.array(c), lambda x: x != "")
+    model = fixtures.model_results(spark, sf_dir).select("url", one("email").alias("emails"), one("phone").alias("phones"),
+                                                         "conf_emails", "conf_phones")
+    c = with_model_contacts(page_contacts(fixtures.site_pages(spark, sf_dir)), model)
+    return c.select("url", F.coalesce("best_email", F.lit("")).alias("email"), F.coalesce("best_phone", F.lit("")).alias("phone"),
+                    "method", *R.mean_confidence("conf_emails", "conf_phones"))
+
+
+@query("url_set_keys")
+def url_set_keys(spark, sf_dir):
+    """The key of the pages of each host."""
+    p = read_table(spark, sf_dir, "pages").withColumn("host", F.split_part("url", F.lit("/"), F.lit(3)))
+    return p.groupBy("host").agg(F.collect_list("url").alias("urls")).select("host", FR.set_key("urls").alias("key"))
+
+
 # --- flagship -------------------------------------------------------------------
 @query("flagship_coverage")
 def flagship_coverage(spark, sf_dir):

@@ -8,7 +8,8 @@ with DataFrame parameters, so no global views are registered) and in DuckDB
   in names, phone spellings, ``www``/case/path in sites, street words in
   addresses, chains and signature-only repeats.
 * ``site_pages``  - the page corpus with contact details injected before
-  ``</footer>`` plus one contact page per origin.
+  ``</footer>`` plus one contact page per origin and some pages on platforms
+  (negative ids, odd and even; ``is_contact``).
 * ``crawl_log``   - fetch attempts derived from ``events``; some have no status,
   half of these as they timed out.
 * ``page_businesses`` - one business row per main page of ``site_pages``
@@ -48,9 +49,11 @@ main AS (SELECT page_id, url, replace(html,'</footer>',
   CASE WHEN page_id%13=0 THEN ' a1@' || mhost || ' a2@' || mhost || ' a3@' || mhost || ' a4@' || mhost || ' a5@' || mhost || ' a6@' || mhost || ' a7@' || mhost || ' 212-555-1000 212-555-1001 212-555-1002 212-555-1003 ' ELSE '' END ||
   CASE WHEN page_id%97=0 THEN repeat(' filler', 9000) || ' last@' || mhost || ' ' ELSE '' END ||
   CASE WHEN page_id%3=0 THEN ' <a href="/contact">Contact us</a> About us' ELSE '' END || '</footer>') AS html FROM q),
-contact AS (SELECT -1 - min(page_id) AS page_id, origin || '/contact' AS url,
+platform AS (SELECT -2 * page_id - 2 AS page_id, 'https://www.' || CASE page_id % 3 WHEN 0 THEN 'facebook.com' WHEN 1 THEN 'linkedin.com' ELSE 'github.com' END || '/shop' || CAST(page_id AS STRING) AS url,
+  '<html><head><title>Contact us</title></head><body><p>About us, services, contact' || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' team@' || mhost END || '</p></body></html>' AS html FROM q WHERE page_id % 29 = 0),
+contact AS (SELECT -2 * min(page_id) - 1 AS page_id, origin || '/contact' AS url,
   '<html><head><title>Contact</title></head><body><p>Reach hello@' || min(mhost) || ' or 212-555-' || lpad(CAST(min(page_id)%10000 AS STRING),4,'0') || '</p></body></html>' AS html FROM q WHERE page_id%3=0 GROUP BY origin)
-SELECT *, false AS is_contact FROM main UNION ALL SELECT *, true FROM contact
+SELECT *, false AS is_contact FROM main UNION ALL SELECT *, true FROM contact UNION ALL SELECT *, true FROM platform
 """
 
 CRAWL_LOG_SQL = """
@@ -139,6 +142,19 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(F.lit("<html><body>"), stats, F.col("body"), nxt, F.lit("</body></html>")).alias("html"))
 
 
+# Precomputed results of a language model for some pages.
+MODEL_RESULTS_SQL = """
+SELECT url, CASE page_id % 4 WHEN 0 THEN 'ai' || CAST(page_id AS STRING) || '@model.example.org' WHEN 2 THEN 'no-address' ELSE '' END AS email,
+ CASE WHEN page_id % 3 = 0 THEN '(305) 555-' || lpad(CAST(page_id % 10000 AS STRING),4,'0') ELSE '' END AS phone,
+ CAST(page_id % 10 AS DOUBLE) / 10 AS conf_emails, CAST(page_id % 7 AS DOUBLE) / 10 AS conf_phones
+FROM {site_pages} WHERE NOT is_contact AND page_id % 5 < 2
+"""
+
+
+def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MODEL_RESULTS_SQL, site_pages=site_pages(spark, sf_dir))
+
+
 def url_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(URL_INPUTS_SQL, pages=read_table(spark, sf_dir, "pages"))
 
