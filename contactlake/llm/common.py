@@ -14,10 +14,12 @@ BATCH_BYTES = 4 << 20
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; where
-    none is set (local tests) a scratch folder becomes the session's own."""
+    none is set, a local session gets a scratch folder of its own, any other an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-llm-", dir="/tmp"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
