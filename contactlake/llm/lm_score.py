@@ -35,7 +35,7 @@ from contactlake.llm.packed import chain, pack_counts, pack_sorted, unpack_count
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BUCKETS = 16
 #: Larger chunks repeat fewer hashes; only 8 bytes a token are held of one.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 ITERATIONS, ENOUGH = 20, 1e-4
 
 
