@@ -6,7 +6,7 @@ shuffle; no per-row driver work).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.text import col_, js_round, nonblank
@@ -78,6 +78,20 @@ def page_slice(df: DataFrame, page: int, page_size: int = PAGE_SIZE, order: str
     return df.orderBy(order).offset((page - 1) * page_size).limit(page_size)
 
 
+def numbered_within(df: DataFrame, group: str, order: str = "ord", out: str = "number", width: int = 1000) -> DataFrame:
+    """``df`` with consecutive numbers from 1 by ``order`` (integers) inside
+    each group: rows are numbered inside stretches of ``width`` order values,
+    and the rows of earlier stretches, counted per group, are added.  So a
+    window holds one stretch, however large the group is."""
+    t = df.withColumn("__s", F.floor(F.col(order) / width))
+    w = Window.partitionBy(group).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    before = t.groupBy(group, "__s").agg(F.count(F.lit(1)).alias("__n")).select(
+        F.col(group).alias("__g"), F.col("__s").alias("__t"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    t = t.withColumn("__i", F.row_number().over(Window.partitionBy(group, "__s").orderBy(order)))
+    j = t.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__s") == F.col("__t")))
+    return j.withColumn(out, F.col("__before") + F.col("__i")).drop("__s", "__t", "__g", "__i", "__before")
+
+
 def page_meta(df: DataFrame, page_col: str = "page", page_size: int = PAGE_SIZE,
               group=()) -> DataFrame:
     """A5 on a result table: per page (and group) the row count, whether a

@@ -302,7 +302,7 @@ def _():
 
 @oracle("page_meta")
 def _():
-    return (_validated() + ", v AS (SELECT *, CAST(floor(ord / 10) + 1 AS BIGINT) AS page FROM validated),\n"
+    return (_validated() + ", v AS (SELECT *, CAST((row_number() OVER (PARTITION BY category ORDER BY ord) - 1) // 10 + 1 AS BIGINT) AS page FROM validated),\n"
             "per AS (SELECT category, page, count(*) AS rows FROM v GROUP BY category, page),\n"
             "tot AS (SELECT category, count(*) AS total_results FROM v GROUP BY category)\n"
             "SELECT per.category, CAST(page AS BIGINT) AS current_page, CAST(rows AS BIGINT) AS rows, "

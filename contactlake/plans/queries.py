@@ -270,14 +270,15 @@ def display_rows(spark, sf_dir):
 
 @query("page_slice")
 def page_slice(spark, sf_dir):
-    """L2: third page of ten of the deduplicated validated rows."""
+    """L2: third page of ten of the validated rows."""
     return R.page_slice(validated(spark, sf_dir), 3)
 
 
 @query("page_meta")
 def page_meta(spark, sf_dir):
-    """A5 on result pages of ten (by ord) per category."""
-    v = validated(spark, sf_dir).withColumn("page", F.floor(F.col("ord") / 10) + 1)
+    """A5 on result pages of ten (by ord, numbered inside the category)."""
+    v = R.numbered_within(validated(spark, sf_dir).select("ord", "category"), "category", "ord")
+    v = v.withColumn("page", F.floor((F.col("number") - 1) / 10) + 1)
     return R.page_meta(v, "page", group=["category"])
 
 
