@@ -143,14 +143,35 @@ def strip_elements(c, tags: Iterable[str] = RAW_TEXT_TAGS) -> Column:
     return F.regexp_replace(col_(c), removal_regex(tags), "")
 
 
+def _body_of(h: Column) -> Column:
+    """Visible text of a page whose unwanted elements are gone."""
+    def tagless(b):
+        return decode_entities(F.regexp_replace(F.regexp_replace(b, TAG_RE, ""), DANGLING_TAG_RE, ""))
+    return let(F.regexp_extract(h, BODY_RE, 1), lambda b: tagless(F.when(b != "", b).otherwise(F.regexp_replace(h, HEAD_RE, ""))))
+
+
+def _title_of(h: Column) -> Column:
+    return decode_entities(F.array_join(F.regexp_extract_all(h, F.lit(TITLE_RE), 1), ""))
+
+
+def _hrefs_of(h: Column) -> Column:
+    hrefs = F.transform(F.regexp_extract_all(h, F.lit(A_TAG_RE), 0), _href_of_tag)
+    return F.transform(F.filter(hrefs, lambda x: x.isNotNull()), decode_entities)
+
+
 def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = None) -> Column:
     """``$("body").text()`` after ``$(drop).remove()``; ``cap``: only the first so
     many characters of the page (none by default)."""
-    def from_body(h):
-        return let(F.regexp_extract(h, BODY_RE, 1),
-                   lambda b: F.when(b != "", b).otherwise(F.regexp_replace(h, HEAD_RE, "")))
-    body = let(strip_elements(cap_html(html, cap), drop), from_body)
-    return decode_entities(F.regexp_replace(F.regexp_replace(body, TAG_RE, ""), DANGLING_TAG_RE, ""))
+    return let(strip_elements(cap_html(html, cap), drop), _body_of)
+
+
+def page_parts(html, drop: Iterable[str] = RAW_TEXT_TAGS, title: bool = False) -> Column:
+    """Struct of text and hrefs (or, with ``title``, text and title): the page
+    is stripped once for both."""
+    def parts(h):
+        other = _title_of(h).alias("title") if title else _hrefs_of(h).alias("hrefs")
+        return F.struct(_body_of(h).alias("text"), other)
+    return let(strip_elements(html, drop), parts)
 
 
 def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
@@ -163,10 +184,7 @@ def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
 def with_title_text(html: str, out: str) -> Callable[[DataFrame], DataFrame]:
     """``$("title").text()``: all title elements joined, references decoded."""
     def t(df: DataFrame) -> DataFrame:
-        tmp = f"__{out}_t"
-        df = df.withColumn(tmp, F.array_join(F.regexp_extract_all(
-            strip_elements(html, ()), F.lit(TITLE_RE), 1), ""))
-        return df.transform(with_decoded(tmp, out)).drop(tmp)
+        return df.withColumn(out, let(strip_elements(html, ()), _title_of))
     return t
 
 
@@ -188,9 +206,5 @@ def with_anchor_hrefs(html: str, out: str, cap: int | None = None,
     selector would skip them.
     """
     def t(df: DataFrame) -> DataFrame:
-        tags = F.regexp_extract_all(strip_elements(cap_html(html, cap), drop), F.lit(A_TAG_RE), 0)
-        hrefs = F.filter(F.transform(tags, _href_of_tag), lambda x: x.isNotNull())
-        tmp = f"__{out}_raw"
-        df = df.withColumn(tmp, hrefs)
-        return df.withColumn(out, F.transform(F.col(tmp), decode_entities)).drop(tmp)
+        return df.withColumn(out, let(strip_elements(cap_html(html, cap), drop), _hrefs_of))
     return t

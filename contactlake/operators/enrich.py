@@ -30,8 +30,8 @@ def page_contacts(pages: DataFrame, strict: bool = False,
     """Per page: url, emails, phones (T3/T4), best_email/best_phone (T6) and
     contact_url (T7 + U5)."""
     c = (pages.select("url", "html")
-         .transform(with_contacts("url", "html", strict, blocklist))
-         .transform(with_contact_link("url", "html")))
+         .transform(with_contacts("url", "html", strict, blocklist, hrefs_out="__hrefs"))
+         .transform(with_contact_link("url", "html", hrefs="__hrefs")))
     return c.select("url", "emails", "phones", "contact_url",
                     first_valid_email("emails").alias("best_email"),
                     first_valid_phone("phones").alias("best_phone"))

@@ -118,31 +118,36 @@ def first_valid_phone(phones) -> Column:
 
 
 def with_contacts(url: str = "url", html: str = "html", strict: bool = False,
-                  blocklist: Sequence[str] = EMAIL_BLOCKLIST) -> Callable[[DataFrame], DataFrame]:
-    """Add ``emails`` (T3) and ``phones`` (T4) for every page.
+                  blocklist: Sequence[str] = EMAIL_BLOCKLIST, hrefs_out: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Add ``emails`` (T3) and ``phones`` (T4) for every page; ``hrefs_out``
+    keeps the page's hrefs for T7.  The page is stripped once.
 
     Pages whose URL does not start with ``http`` give empty lists (S1).
     """
     def t(df: DataFrame) -> DataFrame:
-        df = df.transform(H.with_body_text(html, "__ctext")) \
-               .transform(H.with_anchor_hrefs(html, "__chrefs"))
+        df = df.withColumn("__parts", H.page_parts(html))
+        text, hrefs = F.col("__parts.text"), F.col("__parts.hrefs")
         ok = F.coalesce(col_(url).startswith("http"), F.lit(False))
-        df = df.withColumn("emails", F.when(ok, emails_from("__chrefs", "__ctext", blocklist))
+        df = df.withColumn("emails", F.when(ok, emails_from(hrefs, text, blocklist))
                            .otherwise(_empty_str_array()))
-        df = df.withColumn("phones", F.when(ok, phones_from("__chrefs", "__ctext", strict))
+        df = df.withColumn("phones", F.when(ok, phones_from(hrefs, text, strict))
                            .otherwise(_empty_str_array()))
-        return df.drop("__ctext", "__chrefs")
+        if hrefs_out:
+            df = df.withColumn(hrefs_out, hrefs)
+        return df.drop("__parts")
     return t
 
 
 def with_contact_link(url: str = "url", html: str = "html",
                       keywords: Sequence[str] = CONTACT_LINK_KEYWORDS,
-                      out: str = "contact_url") -> Callable[[DataFrame], DataFrame]:
-    """T7 + U5: first anchor (document order, uncapped page) whose href has a
-    keyword, resolved against the page origin."""
+                      out: str = "contact_url", hrefs: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """T7 + U5: first anchor (document order) whose href has a keyword, resolved
+    against the page origin; ``hrefs`` names a column that holds the hrefs
+    already (else the page is read for them)."""
     def t(df: DataFrame) -> DataFrame:
-        df = df.transform(H.with_anchor_hrefs(html, "__khrefs", cap=None))
-        first = F.get(F.filter(F.col("__khrefs"), lambda h: F.exists(
+        if hrefs is None:
+            df = df.transform(H.with_anchor_hrefs(html, "__khrefs"))
+        first = F.get(F.filter(F.col(hrefs or "__khrefs"), lambda h: F.exists(
             F.array(*[F.lit(k) for k in keywords]), lambda k: h.contains(k))), 0)
         df = df.withColumn("__khref", first)
         return df.transform(with_resolved_link(url, "__khref", out)).drop("__khrefs", "__khref")
@@ -153,9 +158,8 @@ def with_business_score(html: str = "html", out: str = "score") -> Callable[[Dat
     """struct(points, is_valid, confidence, reasons) from indicator terms in
     the lower-cased body text (nothing removed, uncapped) or title."""
     def t(df: DataFrame) -> DataFrame:
-        df = df.transform(H.with_body_text(html, "__stext", drop=(), cap=None)) \
-               .transform(H.with_title_text(html, "__stitle"))
-        df = df.withColumn("__stext", F.lower("__stext")).withColumn("__stitle", F.lower("__stitle"))
+        df = df.withColumn("__sparts", H.page_parts(html, drop=(), title=True))
+        df = df.withColumn("__stext", F.lower("__sparts.text")).withColumn("__stitle", F.lower("__sparts.title"))
         hits = []
         for terms, weight in BUSINESS_INDICATORS:
             found = None
@@ -169,7 +173,7 @@ def with_business_score(html: str = "html", out: str = "score") -> Callable[[Dat
         df = df.withColumn(out, F.struct(
             points.alias("points"), (points >= BUSINESS_MIN_SCORE).alias("is_valid"),
             (points / F.lit(100.0)).alias("confidence"), reasons.alias("reasons")))
-        return df.drop("__stext", "__stitle")
+        return df.drop("__sparts", "__stext", "__stitle")
     return t
 
 
