@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from contactlake.llm import common
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to its component's smallest id: no id
+    has two edges down, and none has edges both up and down."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where(
+        "down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links``
     (columns a, b).  Large-star and small-star steps (each links neighbours to
-    the smallest one known) until nothing changes: the number of rounds grows
+    the smallest one known) until only stars are left: the number of rounds grows
     with the logarithm of the size, hot nodes are grouped minima and joins, and
     every round is cut by a table in the shared folder."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = common.materialize(edges, label)
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -27,9 +35,5 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         small = (joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
                  .where("a != b").distinct())
         edges = common.materialize(small, label)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        if state == before:
-            break
-        before = state
     return (edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
             .unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
