@@ -48,13 +48,14 @@ def chunk_table(docs: DataFrame, side=None, chunk_bytes: int = common.BATCH_BYTE
             return pa.RecordBatch.from_pylist([row], schema=pa.schema(
                 [("chunk", pa.int64()), *((c, pa.binary()) for c in ("payload", "sizes", "ids", "known"))]))
 
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                k = side(i) if side else 0
-                if held[k] and held[k] + len(t) > chunk_bytes:
-                    yield close(k)
-                open_[k].append((i, t))
-                held[k] += len(t) + 1
+        for whole in batches:
+            for batch in common.by_bytes(whole, "text", PIECE_BYTES):
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    k = side(i) if side else 0
+                    if held[k] and held[k] + len(t) > chunk_bytes:
+                        yield close(k)
+                    open_[k].append((i, t))
+                    held[k] += len(t) + 1
         for k in (0, 1):
             if open_[k]:
                 yield close(k)

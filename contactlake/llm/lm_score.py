@@ -134,13 +134,16 @@ def bucket(context: np.ndarray) -> np.ndarray:
 def _held_out_counts(joined: DataFrame) -> DataFrame:
     """(bucket, cw, cv, cvw, n): how many held-out tokens have these counts."""
     def run(batches):
-        import pandas as pd
         import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
                 _, _, cw, cv, cvw = _looked_up(row)
-                t = pd.DataFrame({"bucket": bucket(cv), "cw": cw, "cv": cv, "cvw": cvw})
-                yield pa.RecordBatch.from_pandas(t.groupby(list(t.columns)).size().rename("n").reset_index(), preserve_index=False)
+                by = np.lexsort((cvw, cv, cw))
+                cw, cv, cvw = cw[by], cv[by], cvw[by]
+                at = np.flatnonzero(np.concatenate([[True], (cw[1:] != cw[:-1]) | (cv[1:] != cv[:-1]) | (cvw[1:] != cvw[:-1])]))
+                n = np.diff(np.append(at, len(cw)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket(cv[at]), cw[at], cv[at], cvw[at], n)],
+                                                 names=["bucket", "cw", "cv", "cvw", "n"])
 
     return (joined.mapInArrow(run, "bucket long, cw long, cv long, cvw long, n long")
             .groupBy("bucket", "cw", "cv", "cvw").agg(F.sum("n").alias("n")))
