@@ -21,8 +21,8 @@ DISPOSABLE_DOMAINS = [
 ]
 FAKE_LOCAL_PARTS = ["test", "example", "sample", "demo", "noreply", "no-reply"]
 EMAIL_MAX_LEN = 254
-NAME_MIN, NAME_MAX = 2, 200
-ADDRESS_MIN, ADDRESS_MAX = 5, 500
+NAME_MIN = 2
+ADDRESS_MIN = 5
 
 EMAIL_SHAPE = f"^[^{JSWS}@]+@[^{JSWS}@]+\\.[^{JSWS}@]+\\z"
 FAKE_EMAIL = "(?i)^(" + "|".join(FAKE_LOCAL_PARTS) + ")@"

@@ -51,7 +51,6 @@ NON_BUSINESS_HOSTS = [
     "reddit.com", "pinterest.com", "tiktok.com", "snapchat.com", "github.com",
 ]
 TRADITIONAL_CONFIDENCE = 0.6
-REUSED_CONFIDENCE = 0.8
 
 
 def phone_patterns(strict: bool = False) -> list[str]:
