@@ -36,8 +36,8 @@ from contactlake.llm.packed import Packed, chain, mix, pack_sorted, texts_of, un
 SHINGLE, SIMILARITY = 5, 80
 CHUNKS, WIDTH = 13, 5
 VALUES, DISTANCE = CHUNKS * WIDTH, 2 * CHUNKS - 1
-#: Bits of a minimum that are kept, and of a shingle when full sets are compared.
-SIGNATURE_BITS, SET_BITS = 16, 40
+#: Bits of a shingle when full sets are compared; of a minimum, 16 are kept.
+SET_BITS = 40
 #: Members of a block of a cluster, and shingles that are counted at once.
 BLOCK, COLUMNS = 256, 4096
 

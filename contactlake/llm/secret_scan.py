@@ -51,13 +51,12 @@ def _symbols() -> np.ndarray:
     return t
 
 
-def rule_spans(text: str, hexes: bool = True) -> list[tuple[int, str, int, str]]:
+def rule_spans(text: str) -> list[tuple[int, str, int, str]]:
     """(start, kind, end, secret value) of the rules, per kind leftmost and
     without overlap, sorted by start and then by kind."""
     out = [(m.start(), "assign", m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
     out += [(m.start(), "access", m.end(), m.group()) for m in ACCESS.finditer(text) if len(m.group()) >= LEAST["access"]]
-    if hexes:
-        out += [(m.start(), "hex", m.end(), m.group()) for m in HEX.finditer(text) if len(m.group()) >= LEAST["hex"]]
+    out += [(m.start(), "hex", m.end(), m.group()) for m in HEX.finditer(text) if len(m.group()) >= LEAST["hex"]]
     return sorted(out, key=lambda s: (s[0], ORDER[s[1]]))
 
 
@@ -101,8 +100,8 @@ def transition_counts(docs: DataFrame) -> DataFrame:
             for batch in common.by_bytes(whole, "text"):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 p = Packed([(t or "").encode() for t in texts])
-                values, rest = [], [p.buf] if not (hit := candidates(p)).any() else None
-                if rest is None:
+                values, hit = [], candidates(p)
+                if hit.any():                       # blank the rules' matches out of the ordinary text
                     plain = []
                     for i, t in enumerate(texts):
                         t = t or ""
