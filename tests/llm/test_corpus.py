@@ -183,3 +183,29 @@ def test_line_edges(spark, edge, empty):
     many = " ".join(f"w{i}" for i in range(9000))
     long = spark.createDataFrame([(1, many), (2, many), (3, many + " cd")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in L.removal_report(long).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_line_dedup_edit_similarity(spark):
+    """Groups are those of edit similarity alone, short lines included: one
+    word of a line changed, or one character added to it."""
+    r = random.Random(4)
+    pool = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8))) for _ in range(n)) for n in (5, 7, 9, 12, 15, 20, 27, 40, 60)]
+    rows = []
+    for t in pool:
+        rows.append(t)
+        for _ in range(6):
+            w = t.split()
+            i = r.randrange(len(w))
+            w[i] = w[i][:-2] + "zz" if r.random() < 0.5 else w[i] + "x"
+            rows.append(" ".join(w))
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    root = dict(rows)
+    first = {}
+    for i, a in rows:                               # rows come by doc_id: the first of a group stays
+        near = {first[j] for j in first if distance(a, root[j]) <= int(0.1 * max(len(a), len(root[j])) + 1e-9)}
+        first[i] = min(near, default=i)
+        first = {j: first[i] if g in near else g for j, g in first.items()}
+    got = {x["doc_id"] for x in L.removal_report(frame(spark, rows)).collect() if x["n_removed"]}
+    exp = {i for i, g in first.items() if i != g}
+    assert len(exp) > 40 and got == exp
