@@ -209,3 +209,11 @@ def test_line_dedup_edit_similarity(spark):
     got = {x["doc_id"] for x in L.removal_report(frame(spark, rows)).collect() if x["n_removed"]}
     exp = {i for i, g in first.items() if i != g}
     assert len(exp) > 40 and got == exp
+
+
+def test_line_dedup_very_long_lines(spark):
+    """Lines of more than 8,191 distinct words are compared as others are."""
+    many = " ".join(f"w{i}" for i in range(9000))
+    rows = [(1, many), (2, many), (3, many + " cd"), (4, many.replace("w4000 ", "other ")), (5, many[::-1])]
+    got = {x["doc_id"]: x["n_removed"] for x in L.removal_report(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
