@@ -1,5 +1,6 @@
 """Ops 1, 3, 4, 9: documents on their own (op 1 and 4 with a trained model)."""
 
+import base64
 import random
 
 import numpy as np
@@ -126,6 +127,26 @@ def test_quality_verdicts(spark, edge, empty):
     assert Q.filtered(empty).count() == 0
 
 
+def test_quality_partly_junk(spark):
+    """Texts with 20 to 45 % of base64 lines are rejected, the same texts
+    without them are kept, as is a quotation in another language."""
+    r = random.Random(11)
+    words = {x: ["".join(r.choice(x) for _ in range(r.randint(2, 9))) for _ in range(400)] for x in ("etaoinshrdlu", "aeiouzkvjmyp")}
+    line = lambda x: " ".join(r.choice(words[x]) for _ in range(12)) + "."
+    text = lambda x, n: [line(x) for _ in range(n)]
+    rows = [(i, "\n".join(text(x, r.randint(20, 40))), x) for i, x in enumerate(["etaoinshrdlu", "aeiouzkvjmyp"] * 150)]
+    for i, share in enumerate((0.2, 0.25, 0.35, 0.45)):
+        good = text("etaoinshrdlu", 30)
+        size = int(sum(map(len, good)) * share / (1 - share))
+        junk = base64.b64encode(r.randbytes(size)).decode()[:size]
+        rows.append((1000 + i, "\n".join(good + [junk[k:k + 76] for k in range(0, size, 76)]), "etaoinshrdlu"))
+        rows.append((2000 + i, "\n".join(good), "etaoinshrdlu"))
+    rows.append((3000, "\n".join(text("etaoinshrdlu", 30) + text("aeiouzkvjmyp", 8)), "etaoinshrdlu"))
+    out = {x["doc_id"]: x["kept"] for x in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(out[1000 + i] for i in range(4))
+    assert all(out[2000 + i] for i in range(4)) and out[3000] and sum(out[i] for i in range(300)) > 280
+
+
 def test_scans_edges(spark, edge, empty):
     for f in (S.span_digest, P.span_digest):
         rows = f(edge).collect()
