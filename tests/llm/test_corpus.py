@@ -217,3 +217,14 @@ def test_line_dedup_very_long_lines(spark):
     rows = [(1, many), (2, many), (3, many + " cd"), (4, many.replace("w4000 ", "other ")), (5, many[::-1])]
     got = {x["doc_id"]: x["n_removed"] for x in L.removal_report(frame(spark, rows)).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_line_mixed_buckets(spark, monkeypatch):
+    """Buckets of one component are not joined; the others are dealt into blocks."""
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rows = [(1, i, 0, 21) for i in range(21)] + [(2, i, 30, 11) for i in range(30, 41)]
+    members = spark.createDataFrame(rows, "key long, cls long, pivot long, size long")
+    comp = spark.createDataFrame([(i, 0) for i in range(21)] + [(i, 30) for i in range(30, 35)], "id long, component long")
+    got = L.mixed_buckets(members, comp).collect()
+    assert {(x["key"], x["cls"]) for x in got} == {(2, i) for i in range(31, 41)}
+    assert {x["blocks"] for x in got} == {3} and all(0 <= x["block"] < 3 for x in got)
