@@ -5,8 +5,7 @@ differ in at most ``DISTANCE = 2 * CHUNKS - 1`` places have, by pigeonhole, a
 chunk with one error at most; enumerating the place of that error gives WIDTH
 keys per chunk, so every pair within the distance shares a key.  At the least
 similarity of 0.8 a pair differs in 13 places on average; more than 25 has
-probability below 1e-4 (and such a pair is still found unless all chunks have
-two errors).
+probability 1.7e-4, and such a pair is lost unless other links join the two.
 
 Documents with equal shingle sets become one class first.  Within a key's
 bucket nothing is paired with everything: each member is compared with the
