@@ -1,19 +1,13 @@
-"""Visible text, titles and anchors of HTML pages without a DOM.
-
-Every function is a chain of JVM regex expressions, so extraction runs inside
-the scan stage on the executors; there is no per-row Python.  The chain
-mirrors an HTML parser followed by ``$("body").text()``: comments and
-raw-text elements are removed in one left-to-right pass (whichever construct
-starts first wins, as in a tokenizer), text starts at ``<body``, tags are
-replaced by the empty string (text nodes join directly) and character
-references are decoded last, ``&amp;`` last of all.
-
-The helpers are DataFrame transforms (``df.transform(with_body_text(...))``)
-that add one column per stage: a stage is evaluated once per row, and
-Catalyst keeps the stages as separate projections inside one codegen stage
-instead of copying a regex chain into every place that reads it.
-
-Known limit: malformed markup is not repaired the way a real parser would.
+"""Visible text, titles and anchors of HTML pages, and character references.
+
+A page is cut into tokens once (``dom.tokens``); text, titles and links are
+read from the tokens by JVM expressions inside the scan stage, without per-row
+Python.  This follows an HTML parser and ``$("body").text()``: raw-text elements
+asked to be dropped have no text, text starts where the body does, text nodes
+join directly and character references are decoded in text, titles and
+attribute values, ``&amp;`` last of all.
+
+Every stage is bound once per row with ``let``.
 """
 
 from __future__ import annotations
@@ -24,6 +18,7 @@ from typing import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.functions import dom
 from contactlake.functions.text import col_, let
 
 # --- fixed values: what numeric references 128-159 stand for (the five numbers
@@ -42,33 +37,6 @@ NAMED_ENTITIES = [
 
 RAW_TEXT_TAGS = ("script", "style", "noscript")
 
-# Tag pattern that skips quoted attribute values (a '>' inside quotes does not
-# end the tag).  Java gets possessive loops (no backtracking, bounded stack on
-# long attributes); RE2 (oracle) has no possessive form and needs none.
-TAG_RE = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^'">]+)*+>"""
-TAG_RE_RE2 = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^'">]+)*>"""
-DANGLING_TAG_RE = r"<[A-Za-z/!?][^>]*\z"
-A_TAG_RE = r"""(?i)<a[\t\n\f\r /](?:"[^"]*"|'[^']*'|[^'">]+)*+>"""
-A_TAG_RE_RE2 = r"""(?i)<a[\t\n\f\r /](?:"[^"]*"|'[^']*'|[^'">]+)*>"""
-# One attribute: name, optional "= value" (quoted or bare).
-ATTR_RE = r"""([^\t\n\f\r />"'=]+)(?:[\t\n\f\r ]*=[\t\n\f\r ]*("[^"]*"|'[^']*'|[^\t\n\f\r >]+))?"""
-BODY_RE = r"(?is)^.*?(<body\b.*)\z"
-HEAD_RE = r"(?is)<head\b.*?(?:</head\b[^>]*>|\z)|<title\b.*?(?:</title\b[^>]*>|\z)"
-TITLE_RE = r"(?is)<title\b[^>]*>(.*?)(?:</title\b[^>]*>|\z)"
-
-
-def removal_regex(tags: Iterable[str]) -> str:
-    """One alternation: comments plus every listed element with its content.
-
-    A missing end tag runs to the end of input (``\\z``), which also covers
-    elements cut open by a cap.
-    """
-    parts = [r"<!--.*?(?:-->|\z)"]
-    for t in tags:
-        parts.append(rf"<{t}\b[^>]*>.*?(?:</{t}\b[^>]*>|\z)")
-    return "(?is)" + "|".join(parts)
-
-
 def decode_named(c) -> Column:
     c = col_(c)
     for ent, ch in NAMED_ENTITIES:
@@ -76,13 +44,19 @@ def decode_named(c) -> Column:
     return c
 
 
+def _table(pairs: dict) -> Column:
+    """A constant map of strings from one literal (a literal an entry takes the
+    analyzer long)."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
 def _character(n: Column) -> Column:
     """The character of a numeric reference (null: no such number): U+FFFD for
     zero, surrogates and numbers past the last code point, the windows-1252
     characters for 128-159, as in the HTML standard."""
-    table = F.create_map(*[F.lit(x) for k, v in WINDOWS_1252.items() for x in (k, v)])
+    table = _table(WINDOWS_1252)
     return (F.when(n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-            .when(n.between(128, 159), F.coalesce(F.element_at(table, n.cast("int")), F.lit("\ufffd")))
+            .when(n.between(128, 159), F.coalesce(F.try_element_at(table, n.cast("string")), F.lit("\ufffd")))
             .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
 
@@ -106,7 +80,7 @@ def _decode_hex(c: Column) -> Column:
 def _decode_other(c: Column) -> Column:
     """Fold over named references outside NAMED_ENTITIES."""
     names = {k: chr(v) for k, v in name2codepoint.items() if k != "amp"}
-    table = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
+    table = _table(names)
     return F.aggregate(
         F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z]+[0-9]*);"), 1)), c,
         lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")),
@@ -139,39 +113,39 @@ def cap_html(c, cap: int | None = None) -> Column:
     return F.substring(c, 1, cap) if cap else c
 
 
-def strip_elements(c, tags: Iterable[str] = RAW_TEXT_TAGS) -> Column:
-    return F.regexp_replace(col_(c), removal_regex(tags), "")
+def _title_of(toks: Column) -> Column:
+    titles = F.filter(toks, lambda t: dom.tag_name(t) == "title")
+    return F.array_join(F.transform(titles, lambda t: decode_entities(dom.raw_text(t))), "")
 
 
-def _body_of(h: Column) -> Column:
-    """Visible text of a page whose unwanted elements are gone."""
-    def tagless(b):
-        return decode_entities(F.regexp_replace(F.regexp_replace(b, TAG_RE, ""), DANGLING_TAG_RE, ""))
-    return let(F.regexp_extract(h, BODY_RE, 1), lambda b: tagless(F.when(b != "", b).otherwise(F.regexp_replace(h, HEAD_RE, ""))))
+def _hrefs_of(toks: Column) -> Column:
+    links = F.filter(toks, lambda t: t.rlike(r"^<[aA][\t\n\f\r />]"))
+    hrefs = F.filter(F.transform(links, lambda t: dom.attribute(t, "href")), lambda x: x.isNotNull())
+    return F.transform(hrefs, decode_entities)
 
 
-def _title_of(h: Column) -> Column:
-    return decode_entities(F.array_join(F.regexp_extract_all(h, F.lit(TITLE_RE), 1), ""))
+def _text_of(toks: Column, drop: Iterable[str]) -> Column:
+    return F.array_join(dom.texts(dom.body_of(toks), decode_entities, tuple(drop)), "")
 
 
-def _hrefs_of(h: Column) -> Column:
-    hrefs = F.transform(F.regexp_extract_all(h, F.lit(A_TAG_RE), 0), _href_of_tag)
-    return F.transform(F.filter(hrefs, lambda x: x.isNotNull()), decode_entities)
+def page_tree(html, drop: Iterable[str] = ()) -> Column:
+    """``dom.tree`` with character references decoded in the texts."""
+    return dom.tree(html, decode_entities, tuple(drop))
 
 
 def body_text(html, drop: Iterable[str] = RAW_TEXT_TAGS, cap: int | None = None) -> Column:
     """``$("body").text()`` after ``$(drop).remove()``; ``cap``: only the first so
     many characters of the page (none by default)."""
-    return let(strip_elements(cap_html(html, cap), drop), _body_of)
+    return let(dom.tokens(cap_html(html, cap)), lambda t: _text_of(t, drop))
 
 
 def page_parts(html, drop: Iterable[str] = RAW_TEXT_TAGS, title: bool = False) -> Column:
     """Struct of text and hrefs (or, with ``title``, text and title): the page
-    is stripped once for both."""
-    def parts(h):
-        other = _title_of(h).alias("title") if title else _hrefs_of(h).alias("hrefs")
-        return F.struct(_body_of(h).alias("text"), other)
-    return let(strip_elements(html, drop), parts)
+    is cut into tokens once for both."""
+    def parts(t):
+        other = _title_of(t).alias("title") if title else _hrefs_of(t).alias("hrefs")
+        return F.struct(_text_of(t, drop).alias("text"), other)
+    return let(dom.tokens(html), parts)
 
 
 def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
@@ -184,27 +158,16 @@ def with_body_text(html: str, out: str, drop: Iterable[str] = RAW_TEXT_TAGS,
 def with_title_text(html: str, out: str) -> Callable[[DataFrame], DataFrame]:
     """``$("title").text()``: all title elements joined, references decoded."""
     def t(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, let(strip_elements(html, ()), _title_of))
+        return df.withColumn(out, let(dom.tokens(html), _title_of))
     return t
 
 
-def _href_of_tag(tag: Column) -> Column:
-    """href value of one ``<a ...>`` start tag: first attribute named href."""
-    inner = F.regexp_replace(tag, r"(?is)^<a|>\z", "")
-    names = F.transform(F.regexp_extract_all(inner, F.lit(ATTR_RE), 1), lambda x: F.lower(x))
-    vals = F.regexp_extract_all(inner, F.lit(ATTR_RE), 2)
-    pos = F.array_position(names, "href")
-    raw = F.when(pos > 0, F.element_at(vals, pos.cast("int")))
-    return F.regexp_replace(raw, r"""^"([^"]*)"\z|^'([^']*)'\z""", "$1$2")
-
-
-def with_anchor_hrefs(html: str, out: str, cap: int | None = None,
-                      drop: Iterable[str] = RAW_TEXT_TAGS) -> Callable[[DataFrame], DataFrame]:
+def with_anchor_hrefs(html: str, out: str, cap: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """href values of all ``<a href>`` elements in document order (decoded).
 
     Anchors without an href attribute are skipped, as an ``a[href...]``
-    selector would skip them.
+    selector would skip them; what stands inside raw-text elements is no anchor.
     """
     def t(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, let(strip_elements(cap_html(html, cap), drop), _hrefs_of))
+        return df.withColumn(out, let(dom.tokens(cap_html(html, cap)), _hrefs_of))
     return t

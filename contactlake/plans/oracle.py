@@ -31,8 +31,8 @@ def _text_stages(src: str, cols: str, drop=H.RAW_TEXT_TAGS, prefix="t") -> str:
     rm = q(S.removal_regex(drop))
     return (
         f"{prefix}1 AS (SELECT {cols}, regexp_replace(html, {rm}, '', 'g') AS h FROM {src}),\n"
-        f"{prefix}2 AS (SELECT *, CASE WHEN regexp_extract(h, {q(H.BODY_RE)}, 1) <> '' "
-        f"THEN regexp_extract(h, {q(H.BODY_RE)}, 1) ELSE regexp_replace(h, {q(H.HEAD_RE)}, '', 'g') END AS b "
+        f"{prefix}2 AS (SELECT *, CASE WHEN regexp_extract(h, {q(S.BODY_RE)}, 1) <> '' "
+        f"THEN regexp_extract(h, {q(S.BODY_RE)}, 1) ELSE regexp_replace(h, {q(S.HEAD_RE)}, '', 'g') END AS b "
         f"FROM {prefix}1),\n"
         f"{prefix}3 AS (SELECT * EXCLUDE (h, b), {S.href_list('h')} AS hrefs, "
         f"{S.decode_all(S.strip_tags('b'))} AS txt FROM {prefix}2)")
@@ -557,9 +557,9 @@ def _():
 @oracle("business_score")
 def _():
     rm = q(S.removal_regex(()))
-    body = (f"CASE WHEN regexp_extract(h, {q(H.BODY_RE)}, 1) <> '' THEN regexp_extract(h, {q(H.BODY_RE)}, 1) "
-            f"ELSE regexp_replace(h, {q(H.HEAD_RE)}, '', 'g') END")
-    title = f"array_to_string(regexp_extract_all(h, {q(H.TITLE_RE)}, 1), '')"
+    body = (f"CASE WHEN regexp_extract(h, {q(S.BODY_RE)}, 1) <> '' THEN regexp_extract(h, {q(S.BODY_RE)}, 1) "
+            f"ELSE regexp_replace(h, {q(S.HEAD_RE)}, '', 'g') END")
+    title = f"array_to_string(regexp_extract_all(h, {q(S.TITLE_RE)}, 1), '')"
     hits = []
     for terms, weight in BUSINESS_INDICATORS:
         cond = " OR ".join(f"contains(t, {q(x)}) OR contains(ti, {q(x)})" for x in terms)
@@ -618,6 +618,17 @@ def _():
             + "\nSELECT page_id, txt AS text FROM t3")
 
 
+@oracle("broken_page_elements")
+def _():
+    from contactlake.sources.fixtures import BROKEN_FIELDS_SQL, duckdb_sql
+    return ("WITH f AS (" + duckdb_sql(BROKEN_FIELDS_SQL).strip() + ") SELECT page_id, CASE page_id % 10 "
+            "WHEN 2 THEN a || ' < ' || b || ' <3 ' || c WHEN 6 THEN a || '<b>' || b || c ELSE a || b || c END AS text, "
+            "CASE page_id % 10 WHEN 7 THEN '/1?x=1&y=2 /2' ELSE '' END AS links, "
+            "CASE page_id % 10 WHEN 0 THEN '0:' || a || b || c || '|1:' || b || '|1:' || c WHEN 1 THEN '0:' || c "
+            "WHEN 4 THEN '0:' || a || '|0:' || b || '|0:' || c WHEN 8 THEN '0:' || a || '|0:' || b || '|0:' || c "
+            "WHEN 9 THEN '0:' || a || '|0:' || b ELSE '' END AS items FROM f")
+
+
 # --- custom-site flow --------------------------------------------------------------
 def _custom_sql() -> str:
     """CTEs ending in ``errs`` (ord, url, error, category) and ``kept`` (rows)."""

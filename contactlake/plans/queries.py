@@ -491,6 +491,26 @@ def page_text(spark, sf_dir):
     return fixtures.site_pages(spark, sf_dir).transform(with_body_text("html", "text")).select("page_id", "text")
 
 
+@query("broken_page_elements")
+def broken_page_elements(spark, sf_dir):
+    """T1 on malformed markup: visible text, link targets, and the texts of
+    list items, cells and terms at any depth by the element tree."""
+    from contactlake.functions import dom
+    from contactlake.functions.html import page_parts, page_tree
+    from contactlake.functions.text import let
+
+    def items(tree):
+        own = F.filter(tree["nodes"], lambda n: n["name"].isin("li", "td", "dt", "dd"))
+        # the depth among items: how many of them an item lies in
+        return let(own, lambda ns: F.array_join(F.transform(ns, lambda n: F.concat(
+            F.size(F.filter(ns, lambda m: dom.inside(n, m))).cast("string"), F.lit(":"),
+            dom.text_of(tree, n))), "|"))
+
+    t = fixtures.broken_pages(spark, sf_dir).withColumn("parts", page_parts("html"))
+    return t.select("page_id", F.col("parts.text").alias("text"), F.array_join("parts.hrefs", " ").alias("links"),
+                    let(page_tree("html", ("script",)), items).alias("items"))
+
+
 # --- model cascade and list keys --------------------------------------------------
 @query("model_cascade")
 def model_cascade(spark, sf_dir):

@@ -32,8 +32,21 @@ def digits(x: str) -> str:
     return f"regexp_replace({x}, '[^0-9]', '', 'g')"
 
 
+# --- plain HTML patterns of the oracle (its pages are written well-formed) ----
+TAG_RE = r"""<[A-Za-z/!?](?:"[^"]*"|'[^']*'|[^'">]+)*>"""
+DANGLING_TAG_RE = r"<[A-Za-z/!?][^>]*\z"
+A_TAG_RE = r"""(?i)<a[\t\n\f\r /](?:"[^"]*"|'[^']*'|[^'">]+)*>"""
+# One attribute: name, optional "= value" (quoted or bare).
+ATTR_RE = r"""([^\t\n\f\r />"'=]+)(?:[\t\n\f\r ]*=[\t\n\f\r ]*("[^"]*"|'[^']*'|[^\t\n\f\r >]+))?"""
+BODY_RE = r"(?is)^.*?(<body\b.*)\z"
+HEAD_RE = r"(?is)<head\b.*?(?:</head\b[^>]*>|\z)|<title\b.*?(?:</title\b[^>]*>|\z)"
+TITLE_RE = r"(?is)<title\b[^>]*>(.*?)(?:</title\b[^>]*>|\z)"
+
+
 def removal_regex(tags) -> str:
-    return H.removal_regex(tags)
+    """Comments plus every listed element with its content (to the end of
+    input where the end tag is missing)."""
+    return "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{t}\b[^>]*>.*?(?:</{t}\b[^>]*>|\z)" for t in tags)])
 
 
 def decode_named(x: str) -> str:
@@ -53,8 +66,8 @@ def decode_all(x: str) -> str:
 
 
 def strip_tags(x: str) -> str:
-    inner = f"regexp_replace({x}, {q(H.TAG_RE_RE2)}, '', 'g')"
-    return f"regexp_replace({inner}, {q(H.DANGLING_TAG_RE)}, '', 'g')"
+    inner = f"regexp_replace({x}, {q(TAG_RE)}, '', 'g')"
+    return f"regexp_replace({inner}, {q(DANGLING_TAG_RE)}, '', 'g')"
 
 
 EMAIL_TEXT_RE2 = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -120,10 +133,10 @@ A_TAG_TRIM = r"(?is)^<a|>\z"
 def href_list(h: str) -> str:
     """href values of ``<a>`` start tags in document order (no look-arounds:
     tags first, then the first href attribute of each)."""
-    tags = f"regexp_extract_all({h}, {q(H.A_TAG_RE_RE2)}, 0)"
+    tags = f"regexp_extract_all({h}, {q(A_TAG_RE)}, 0)"
     inner = f"regexp_replace(t, {q(A_TAG_TRIM)}, '', 'g')"
-    names = f"list_transform(regexp_extract_all({inner}, {q(H.ATTR_RE)}, 1), lambda n: lower(n))"
-    vals = f"regexp_extract_all({inner}, {q(H.ATTR_RE)}, 2)"
+    names = f"list_transform(regexp_extract_all({inner}, {q(ATTR_RE)}, 1), lambda n: lower(n))"
+    vals = f"regexp_extract_all({inner}, {q(ATTR_RE)}, 2)"
     pos = f"list_position({names}, 'href')"
     one = (f"CASE WHEN {pos} > 0 THEN regexp_replace({vals}[{pos}], {q(QUOTE_STRIP)}, "
            f"'\\1\\2') END")

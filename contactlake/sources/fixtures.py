@@ -125,10 +125,15 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     show a total, the next marker comes in three forms or not at all."""
     esc = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("é"), F.lit("&eacute;"))
     link = F.when(F.col("website").startswith("http:"), F.concat(F.lit("/url?q="), F.url_encode("website"), F.lit("&amp;sa=U"))).otherwise(esc("website"))
+    # markup by card: nested boxes, open paragraphs and spans, a comment and a
+    # sign in an attribute, a stray end tag; none changes the fields
+    odd = F.col("pos") % 4
+    wrap = lambda c: F.when(odd == 1, F.concat(F.lit("<div><div>"), c, F.lit("</div></div>"))).when(
+        odd == 2, F.concat(F.lit("<p>"), c)).when(odd == 3, F.concat(F.lit("<span title='<!-- > -->'>"), c, F.lit("</i>"))).otherwise(c)
     card = F.concat(
-        F.lit('<div class="uMdZh"><div><div class="cXedhc VkpGBb" data-k="1"><div class="dbg0pd" role="heading"><span class="OSrXXb">'), esc("name"),
-        F.lit('</span></div><div class="rllt__details"><div class="r">4.5 (12)</div><div>4.5 · (12) · '), esc("category"), F.lit("</div><div>"),
-        esc("address"), F.lit("</div><div>Open · "), F.col("phone"), F.lit("</div></div></div></div>"),
+        F.lit('<div class="uMdZh"><div><div class="cXedhc VkpGBb" data-k="1>"><div class="dbg0pd" role="heading"><span class="OSrXXb">'), esc("name"),
+        F.lit('</span></div><div class="rllt__details"><div class="r">4.5 <div>(12)</div></div><div>4.5 · (12) · '), wrap(esc("category")), F.lit("</div><div>"),
+        wrap(esc("address")), F.lit("</div><div>Open <5 · "), wrap(F.col("phone")), F.lit("</div></div></div></div>"),
         F.when(F.col("website") != "", F.concat(F.lit('<a class="yYlJEf" href="'), link, F.lit('"><div class="BSaJxc">Website</div></a>'))).otherwise(F.lit("")),
         F.lit('<a href="/maps">Directions</a></div>'))
     cards = listing_cards(spark, sf_dir).groupBy("page_id").agg(
@@ -139,7 +144,37 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.concat(
         F.lit('<div id="resultStats">About '), F.format_number(F.col("page_id") * 7 + 1, 0), F.lit(" results (0.41 seconds)</div>")))
     return cards.select("page_id", (F.col("page_id") % 5 + 1).alias("page"),
-                        F.concat(F.lit("<html><body>"), stats, F.col("body"), nxt, F.lit("</body></html>")).alias("html"))
+                        F.concat(F.lit("<html><body>"), stats, F.col("body"), nxt, F.lit("<script>var box = '<div class=VkpGBb>';")).alias("html"))
+
+
+# Fields of the broken pages: three short texts of each supplier.
+BROKEN_FIELDS_SQL = """
+SELECT s_suppkey AS page_id, s_name AS a, 'R & D ' || CAST(s_suppkey AS STRING) AS b, CAST(s_acctbal AS STRING) AS c FROM {supplier}
+"""
+
+
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): each supplier's fields as a page with one of ten defects."""
+    f = spark.sql(BROKEN_FIELDS_SQL, supplier=read_table(spark, sf_dir, "supplier"))
+    a, b, c = (F.replace(F.col(x), F.lit("&"), F.lit("&amp;")) for x in "abc")
+    cat = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    head = "<html><head><title>T</title></head><body>"
+    forms = [
+        cat(head, "<ul><li>", a, "<ul><li>", b, "<li>", c, "</ul></ul></body></html>"),
+        cat(head, "<p>", a, "<p>", b, "<li>", c, "<script>var s = '<li>", a),
+        cat("<p>", a, " < ", b, " <3 ", c),
+        cat(head, "<p title=\"<!-- x -->\" data-a='>'>", a, "</p><!-- <p>gone</p> --!>", b, "<!-->", c, "<!-- open <p>", a),
+        cat(head, "<table><tr><td>", a, "<td>", b, "<tr><td>", c, "</table>"),
+        cat(head, a, "<b>", b, "</b>", c, "<a href=\"/x?y=1>", a),
+        cat("<!DOCTYPE html><title>", a, "</title></div></span>", a, "<div><textarea><b>", b, "</textarea>", c, "</section></div>"),
+        cat(head, "<a href=/1?x=1&amp;y=2>", a, "<a HREF = '/2'>", b, "</a><br/><a name=n title=it's>", c, "</a></body>"),
+        cat(head, "<style>p > a { }</style><dl><dt>", a, "<dd>", b, "<dt>", c, "</dl><noscript><p>gone</noscript>"),
+        cat(head, "<div><div><ol><li><div><p>", a, "</div><li>", b, "</ol></div></div></p><? gone ?></ gone>", c, "</>"),
+    ]
+    html = forms[0]
+    for k, form in enumerate(forms[1:], 1):
+        html = F.when(F.col("page_id") % len(forms) == k, form).otherwise(html)
+    return f.select("page_id", html.alias("html"))
 
 
 # Precomputed results of a language model for some pages.
@@ -178,7 +213,7 @@ def page_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duckdb_sql(sql: str) -> str:
     """The same statement for DuckDB, where the tables are plain views."""
     return sql.replace("{customer}", "customer").replace("{pages}", "pages") \
-              .replace("{events}", "events").replace("{site_pages}", "site_pages")
+              .replace("{events}", "events").replace("{site_pages}", "site_pages").replace("{supplier}", "supplier")
 
 
 def duckdb_fixture_ctes(*names: str) -> str:
