@@ -1,13 +1,9 @@
 """URL functions (U1-U6) as JVM-side column expressions and transforms.
 
-``with_url_parts`` splits an absolute http(s) URL the way a WHATWG parser
-does for the cases that matter here: tab/newline removal, any run of ``/`` or
-``\\`` after the scheme, userinfo, lower-case host, default-port removal,
-dotted IPv4 canonical form, ``/`` for an empty path and percent-encoding of
-the ASCII characters the standard escapes.  Documented limits: no
-IDNA/punycode for non-ASCII hosts, no IPv6 literals, no dot-segment removal,
-no percent-encoding of non-ASCII characters; numeric hosts other than the
-4-part dotted form are rejected.
+``url_parts`` parses an absolute http(s) URL as the URL standard does:
+tab/newline removal, any run of ``/`` or ``\\`` after the scheme, userinfo,
+hosts as domains (percent-decoded, Punycode), IPv4 number forms or IPv6
+literals, ports, dot segments and the percent-encode sets (``hosts``).
 
 Every parsing stage is bound once per row with ``let`` (a lambda variable),
 so each regex runs once and optimizer rules that substitute aliases (filter
@@ -21,14 +17,9 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactlake.functions import hosts
 from contactlake.functions.text import col_, js_trim, let
 
-# --- fixed values: characters the URL standard percent-encodes -------------
-PATH_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"),
-                ("{", "%7B"), ("}", "%7D")]
-QUERY_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("'", "%27")]
-FRAGMENT_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60")]
-FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]"
 LOCAL_HOST_MARKERS = ["localhost", "127.0.0.1"]
 IPV4_SHAPE = r"^\d+\.\d+\.\d+\.\d+\z"
 # Local-search request template (U6) and its page size.
@@ -37,14 +28,6 @@ SEARCH_URL_SUFFIX = "&hl=en&gl=us&start="
 RESULTS_PER_PAGE = 10
 
 URL_RE = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):[/\\]*([^/\\?#]*)(.*)\z"
-# An octet has at most three digits after leading zeros, so its value always fits.
-IP_RE = r"^0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\z"
-
-
-def _escape(c: Column, pairs) -> Column:
-    for a, b in pairs:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
 
 
 def url_parts(src) -> Column:
@@ -62,47 +45,42 @@ def url_parts(src) -> Column:
     def split_auth(m):
         auth = m["auth"]
         return let(F.struct(m["scheme"].alias("scheme"), m["rest"].alias("rest"),
-                            F.when(auth.contains("@"), F.regexp_extract(auth, r"(?s)^(.*)@", 1)).alias("userinfo"),
+                            F.when(auth.contains("@"), F.regexp_extract(auth, r"(?s)^(.*)@", 1)).otherwise(F.lit("")).alias("userinfo"),
                             F.regexp_replace(auth, r"(?s)^.*@", "").alias("hp")), split_host)
 
     def split_host(a):
         hp = a["hp"]
-        return let(F.struct(a["scheme"].alias("scheme"), a["rest"].alias("rest"), a["userinfo"].alias("userinfo"),
-                            F.lower(F.regexp_extract(hp, r"^([^:]*)", 1)).alias("host_raw"),
-                            hp.contains(":").alias("has_port"),
-                            F.regexp_extract(hp, r"(?s):(.*)\z", 1).alias("port_raw")), check)
+        host = F.regexp_extract(hp, r"(?s)^(\[[^\]]*\]|[^:]*)", 1)
+        return let(F.struct(a["scheme"].alias("scheme"), a["rest"].alias("rest"), a["userinfo"].alias("userinfo"), host.alias("host"),
+                            F.substr(hp, F.length(host) + 1).alias("port")), check)
 
     def check(h):
-        host_raw, port_raw, has_port, scheme = h["host_raw"], h["port_raw"], h["has_port"], h["scheme"]
-        octets = [F.regexp_extract(host_raw, IP_RE, i).try_cast("bigint") for i in range(1, 5)]
-        ip_ok = host_raw.rlike(IP_RE) & F.greatest(*octets).between(0, 255)
-        numeric_last = host_raw.rlike(r"(^|\.)[0-9]+\z")
-        host = F.when(numeric_last, F.when(ip_ok, F.concat_ws(".", *[o.cast("string") for o in octets]))) \
-            .otherwise(host_raw)
-        port_ok = (~has_port) | (port_raw == "") | (
-            port_raw.rlike(r"^[0-9]{1,5}\z") & (port_raw.try_cast("int") <= 65535))
-        port_num = F.when(has_port & (port_raw != ""), port_raw.try_cast("int").cast("string"))
+        scheme, port, rest = h["scheme"], h["port"], h["rest"]
+        number = F.regexp_extract(port, r"^:0*([0-9]{0,5})\z", 1)
+        port_ok = (port == "") | port.rlike(r"^:0*[0-9]{0,5}\z") & (F.coalesce(number.try_cast("int"), F.lit(0)) <= 65535)
+        port_text = F.when(port.rlike("[0-9]"), F.coalesce(number.try_cast("int"), F.lit(0)).cast("string"))
         default_port = F.when(scheme == "https", "443").when(scheme == "http", "80")
-        rest = h["rest"]
         path = F.replace(F.regexp_extract(rest, r"(?s)^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
         return let(F.struct(
-            scheme.alias("scheme"), h["userinfo"].alias("userinfo"), host.alias("host"),
-            F.when(port_num != default_port, port_num).alias("port"),
-            F.coalesce(scheme.isin("http", "https") & (host_raw != "")
-                       & ~host_raw.rlike(FORBIDDEN_HOST) & port_ok, F.lit(False)).alias("ok"),
-            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+            scheme.alias("scheme"), h["userinfo"].alias("userinfo"),
+            F.when(scheme.isin("http", "https") & port_ok, let(h["host"], hosts.host_of)).alias("host"),
+            F.when(port_text != default_port, port_text).alias("port"),
+            let(F.when(path == "", F.lit("/")).otherwise(path), hosts.without_dots).alias("path"),
             F.regexp_extract(rest, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"),
             F.regexp_extract(rest, r"(?s)(#.*)\z", 1).alias("fragment")), assemble)
 
     def assemble(v):
-        valid = v["ok"] & v["host"].isNotNull()
+        valid = v["host"].isNotNull()
         portpart = F.when(v["port"].isNotNull(), F.concat(F.lit(":"), v["port"])).otherwise(F.lit(""))
-        userinfo = v["userinfo"]
         origin = F.concat(v["scheme"], F.lit("://"), v["host"], portpart)
+        user, password = (F.regexp_extract(v["userinfo"], r"(?s)^([^:]*):?(.*)\z", k) for k in (1, 2))
+        coded = lambda c: hosts.percent_encoded(c, hosts.USERINFO_ENCODED)
+        login = F.concat(coded(user), F.when(password != "", F.concat(F.lit(":"), coded(password))).otherwise(F.lit("")))
         href = F.concat(v["scheme"], F.lit("://"),
-                        F.when(userinfo.isNotNull(), F.concat(userinfo, F.lit("@"))).otherwise(F.lit("")),
-                        v["host"], portpart, _escape(v["path"], PATH_ESCAPES),
-                        _escape(v["query"], QUERY_ESCAPES), _escape(v["fragment"], FRAGMENT_ESCAPES))
+                        F.when(v["userinfo"].rlike(r"(?s)^:?\z"), F.lit("")).otherwise(F.concat(login, F.lit("@"))),
+                        v["host"], portpart, hosts.percent_encoded(v["path"], hosts.PATH_ENCODED),
+                        F.when(v["query"] == "", F.lit("")).otherwise(hosts.percent_encoded(v["query"], hosts.QUERY_ENCODED)),
+                        F.when(v["fragment"] == "", F.lit("")).otherwise(hosts.percent_encoded(v["fragment"], hosts.FRAGMENT_ENCODED)))
         return F.struct(
             v["scheme"].alias("scheme"), v["host"].alias("host"), v["port"].alias("port"),
             v["path"].alias("path"), v["query"].alias("query"), v["fragment"].alias("fragment"),

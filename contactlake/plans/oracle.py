@@ -236,6 +236,14 @@ def _():
               "THEN 'Invalid URL: Local URLs not supported' ELSE '' END AS error FROM up6")
 
 
+@oracle("url_standard_cases")
+def _():
+    from contactlake.sources.fixtures import URL_CASES
+    values = ", ".join(f"({i}, {q(href)})" for i, (_, href) in enumerate(URL_CASES))
+    return (f"SELECT page_id, replace(href, 'KEY', CAST(page_id AS VARCHAR)) AS href FROM pages "
+            f"JOIN (VALUES {values}) c(i, href) ON page_id % {len(URL_CASES)} = i")
+
+
 @oracle("redirect_links")
 def _():
     return ("WITH l AS (SELECT page_id, '/url?q=' || url_encode(url) || '&sa=U&ved=x' AS link FROM pages)\n"

@@ -154,6 +154,15 @@ def url_intake_errors(spark, sf_dir):
     return u.select("ord", "raw", "cleaned", F.coalesce("error", F.lit("")).alias("error"))
 
 
+@query("url_standard_cases")
+def url_standard_cases(spark, sf_dir):
+    """Hrefs of URLs with international, numeric and IPv6 hosts, dot
+    segments, logins and characters to encode; empty where a parser fails."""
+    from contactlake.functions.urls import with_url_parts
+    u = fixtures.url_cases(spark, sf_dir).transform(with_url_parts("raw", "p"))
+    return u.select("page_id", F.coalesce("p.href", F.lit("")).alias("href"))
+
+
 @query("redirect_links")
 def redirect_links(spark, sf_dir):
     """U4: search-result redirect links built from page URLs, unwrapped."""

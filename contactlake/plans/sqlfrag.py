@@ -147,7 +147,11 @@ def href_list(h: str) -> str:
 # --- dedup features (D1-D8) --------------------------------------------------
 from contactlake.functions.similarity import (NAME_SUFFIXES, STREET_WORDS,  # noqa: E402
                                               WEIGHTS)
-from contactlake.functions.urls import FORBIDDEN_HOST, IP_RE, URL_RE  # noqa: E402
+from contactlake.functions.hosts import FORBIDDEN_DOMAIN as FORBIDDEN_HOST  # noqa: E402
+from contactlake.functions.urls import URL_RE  # noqa: E402
+
+# Dotted IPv4 hosts; the oracle's URLs have no other number forms.
+IP_RE = r"^0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\.0*([0-9]{1,3})\z"
 
 PUNCT_RE2 = "[^A-Za-z0-9_" + WS + "]"
 
@@ -230,8 +234,10 @@ def pair_score_sql(a: str, b: str) -> str:
 
 
 # --- URL parsing in SQL (U1/U2/U3/U5) ---------------------------------------
-from contactlake.functions.urls import (FRAGMENT_ESCAPES, PATH_ESCAPES,  # noqa: E402
-                                        QUERY_ESCAPES)
+# --- fixed values: ASCII characters the URL standard percent-encodes ----------
+PATH_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D")]
+QUERY_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("'", "%27")]
+FRAGMENT_ESCAPES = [(" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60")]
 
 BS = chr(92)
 

@@ -169,3 +169,57 @@ def test_repeated_pages_do_not_multiply_rows(spark):
                               "ord long, website string, email string")
     got = {r["ord"]: r["email"] for r in EN.enrich(b, contacts, "email").collect()}
     assert got == {1: "a@s.com", 2: "own@x.com", 3: None}
+
+
+def test_url_standard_cases(spark):
+    from contactlake.sources.fixtures import URL_CASES
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(URL_CASES)] + [(10_000, None), (10_001, "")], "i int, u string")
+    got = [r[0] for r in df.select("i", U.url_parts("u")["href"].alias("h")).orderBy("i").select("h").collect()]
+    assert got == [h or None for _, h in URL_CASES] + [None, None] and len(URL_CASES) > 60
+
+
+def test_punycode_on_random_labels(spark):
+    import random
+
+    from contactlake.functions import hosts
+    rng = random.Random(2)
+    labels = ["".join(rng.choice("ab-9éüßжыяあ漢字𠮷😀ก") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    want = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels]
+    assert one_col(spark, labels, lambda c: hosts.let(c, hosts.punycode)) == want
+
+
+def test_ipv6_on_random_addresses(spark):
+    import ipaddress
+    import random
+
+    from contactlake.functions import hosts
+    rng = random.Random(4)
+    groups = [[rng.choice([0, 0, 0, 1, 0xFFFF, rng.randrange(65536)]) for _ in range(8)] for _ in range(300)]
+    written = [":".join(f"{g:0{rng.choice([1, 4])}X}" for g in gs) for gs in groups]
+    # the library writes mapped and a single zero group its own way
+    want = [ipaddress.IPv6Address(":".join(f"{g:x}" for g in gs)) for gs in groups]
+    got = one_col(spark, written, lambda c: hosts.let(c, hosts.ipv6))
+    assert [ipaddress.IPv6Address(g) for g in got] == want
+    plain = [(g, w) for g, w, gs in zip(got, want, groups, strict=True) if "." not in str(w) and gs.count(0) != 1]
+    assert all(g == str(w) for g, w in plain if "::" in str(w))
+
+
+def test_dot_segments_on_random_paths(spark):
+    import random
+
+    from contactlake.functions import hosts
+    rng = random.Random(6)
+
+    def plain(path):
+        out, parts = [], path[1:].split("/")
+        for i, s in enumerate(parts):
+            kind = s.lower().replace("%2e", ".")
+            if kind in (".", ".."):
+                del out[len(out) - (kind == ".." and len(out) > 0):]
+                if i == len(parts) - 1:
+                    out.append("")
+            else:
+                out.append(s)
+        return "/" + "/".join(out)
+    paths = ["/" + "/".join(rng.choice(["a", "b", "", ".", "..", "%2e", ".%2E", "..."]) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    assert one_col(spark, paths, lambda c: hosts.let(c, hosts.without_dots)) == [plain(p) for p in paths]
