@@ -9,11 +9,13 @@ mean of its features' gains.  Adding Gumbel noise, which depends on the seed
 and the document's id only, and taking the highest scores draws documents
 without replacement in proportion to the exponentials of their weights.
 
-Two scans of the documents.  The first sums up bucket counts per task and then
-by Spark; the driver sees ``buckets`` gains, whatever the corpus.  The second
-scores documents where they are read.  Ranks come from one range-partitioned
-sort of narrow rows: counts per partition are summed up to starts, so no task
-sees all rows.  Ties of the score are cut by the id.
+The documents are scanned once: each one's buckets and counts are written to
+the shared folder as arrays (``buckets`` entries at most), and each task adds
+one row with the sums over its documents, which Spark adds up; the driver sees
+``buckets`` gains, whatever the corpus.  Weights are read from the arrays.
+Ranks come from one range-partitioned sort of narrow rows: counts per partition
+are summed up to starts, so no task sees all rows.  Ties of the score are cut by
+the id.
 
 Edge cases: null texts have no words, an empty mean counts as 0; a null doc_id
 hashes as an empty string and ranks after others of its score; repeated rows
@@ -26,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
+from operator import methodcaller
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -50,47 +52,65 @@ def scanners(longest: int) -> list:
     return [regex.compile(rb"(?<![^ ])[^ ]+" + rb"(?: [^ ]+){%d}" % (n - 1) * (n > 1) + rb"(?![^ ])") for n in range(1, longest + 1)]
 
 
-class Features:
-    """Buckets of the n-grams of texts.  Frequent grams are looked up; the
-    table of known grams only bounds memory."""
+class Buckets(dict):
+    """Bucket of each gram seen; ``KNOWN`` only bounds memory."""
     KNOWN = 500_000
 
-    def __init__(self, longest: int, buckets: int):
-        self.scan, self.buckets, self.known = scanners(longest), buckets, {}
-
-    def counts(self, text: bytes) -> tuple[Counter, int]:
-        """How often each bucket occurs, and the number of words."""
-        plain = collapsed(text)
-        out: Counter = Counter()
-        known, buckets = self.known, self.buckets
-        if len(known) > self.KNOWN:
-            known.clear()
-        for pattern in self.scan:
-            for gram, n in Counter(m.group() for m in pattern.finditer(plain, overlapped=True)).items():
-                b = known.get(gram)
-                if b is None:
-                    b = zlib.crc32(gram) % buckets
-                    if len(known) <= self.KNOWN:
-                        known[gram] = b
-                out[b] += n
-        return out, plain.count(b" ") + 1 if plain else 0
-
-
-def bucket_counts(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): the features of all texts, ``buckets`` rows at most."""
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, gram: bytes) -> int:
+        if len(self) >= self.KNOWN:
+            self.clear()
+        b = self[gram] = zlib.crc32(gram) % self.buckets
+        return b
+
+
+def bucket_sums(plain: bytes, patterns, bucket_of: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, sorted, and how often each occurs."""
+    group = methodcaller("group")
+    found = [np.fromiter(map(bucket_of.__getitem__, map(group, p.finditer(plain, overlapped=True))), np.int64) for p in patterns]
+    return np.unique(np.concatenate(found), return_counts=True)
+
+
+FEATURES = "doc_id long, total boolean, n_words long, buckets binary, counts binary"
+
+
+def features(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS) -> DataFrame:
+    """Per document its buckets and counts (little-endian 32 and 64 bits), and
+    per task a row (``total``) with their sums; written to the shared folder."""
     def run(batches):
         import pyarrow as pa
-        features, sums = Features(longest, buckets), np.zeros(buckets, np.int64)
+        patterns, bucket_of, sums = scanners(longest), Buckets(buckets), np.zeros(buckets, np.int64)
+        kinds = pa.schema([("doc_id", pa.int64()), ("total", pa.bool_()), ("n_words", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
+        row = lambda i, total, words, at, n: {"doc_id": i, "total": total, "n_words": words, "buckets": at.astype("<u4").tobytes(),
+                                              "counts": n.astype("<i8").tobytes()}
         for whole in batches:
             for batch in common.by_bytes(whole, "text"):
-                for text in batch.column(1).cast(pa.binary()).to_pylist():
-                    got = features.counts(text)[0]
-                    if got:
-                        sums[np.fromiter(got, np.int64, len(got))] += np.fromiter(got.values(), np.int64, len(got))
+                rows = []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    plain = collapsed(text)
+                    at, n = bucket_sums(plain, patterns, bucket_of)
+                    sums[at] += n
+                    rows.append(row(i, False, plain.count(b" ") + 1 if plain else 0, at, n))
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_pylist([row(None, True, 0, at, sums[at])], schema=kinds)
 
-    return common.documents_of(docs).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return common.materialize(common.documents_of(docs).mapInArrow(run, FEATURES), "features")
+
+
+def bucket_counts(table: DataFrame) -> dict[int, int]:
+    """Occurrences by bucket over all documents of a features table."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(at, "<u4").astype(np.int64)), pa.array(np.frombuffer(n, "<i8"))],
+                                                 names=["bucket", "n"])
+
+    sums = table.where("total").select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return {r["bucket"]: r["n"] for r in sums.collect()}
 
 
 def gains(source: dict[int, int], target: dict[int, int], buckets: int = BUCKETS) -> np.ndarray:
@@ -109,25 +129,22 @@ def noise(seed: str, doc_id) -> int:
 def weights(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = BUCKETS, seed: str = "2024") -> DataFrame:
     """(doc_id, n_words, n_features, weight, score) of all documents; ``target``
     is any (id, text) table whose distribution is aimed at."""
-    counted = lambda df: {r["bucket"]: r["n"] for r in bucket_counts(df, longest, buckets).collect()}
-    gain = gains(counted(docs), counted(target), buckets)
+    own = features(docs, longest, buckets)
+    gain = gains(bucket_counts(own), bucket_counts(features(target, longest, buckets)), buckets)
 
     def run(batches):
         import pyarrow as pa
-        features = Features(longest, buckets)
-        for whole in batches:
-            for batch in common.by_bytes(whole, "text"):
-                ids, rows = batch.column(0).to_pylist(), []
-                for i, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    got, words = features.counts(text)
-                    n = sum(got.values())
-                    total = sum(int(gain[b]) * k for b, k in got.items())
-                    weight = total // n if n else 0
-                    rows.append((i, words, n, weight, weight + noise(seed, i)))
-                cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_words", "n_features", "weight", "score"])
-
-    return common.documents_of(docs).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
+        for batch in batches:
+            rows = []
+            for i, words, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(counts, "<i8")
+                weight = int(gain[np.frombuffer(at, "<u4")] @ n) // int(n.sum()) if len(n) else 0
+                rows.append((i, words, int(n.sum()), weight, weight + noise(seed, i)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_words", "n_features", "weight", "score"])
+
+    table = own.where("not total").select("doc_id", "n_words", "buckets", "counts")
+    return table.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
 
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = 10, least_words: int = 20, longest: int = 1, buckets: int = BUCKETS,
