@@ -18,29 +18,30 @@ from contactlake.llm import common
 from contactlake.llm.packed import Packed, bounds
 
 PIECE_BYTES = 1 << 20
+SIDES = 4
 CHUNK = "chunk long, payload binary, sizes binary, ids binary, known binary"
 
 
 def chunk_table(docs: DataFrame, side=None, chunk_bytes: int = common.BATCH_BYTES) -> DataFrame:
     """(chunk, payload, sizes, ids, known) from (doc_id long, text string),
-    written to the shared folder.  ``side(doc_id)`` in 0, 1 keeps two kinds of
-    documents in chunks of their own (odd chunk numbers: 1).  ``known`` marks
-    the ids that are not null."""
+    written to the shared folder.  ``side(doc_id)`` below ``SIDES`` keeps kinds
+    of documents in chunks of their own (it is the chunk number's remainder by
+    ``SIDES``).  ``known`` marks the ids that are not null."""
     def run(batches):
         import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
         squeeze = zstandard.ZstdCompressor(level=3).compress
         base, count = TaskContext.get().partitionId() << 32, 0
-        open_: list[list] = [[], []]
-        held = [0, 0]
+        open_: list[list] = [[] for _ in range(SIDES)]
+        held = [0] * SIDES
 
         def close(k):
             nonlocal count
             texts = [t for _, t in open_[k]]
             ids = [i for i, _ in open_[k]]
             sizes = np.array([len(t) for t in texts], "<i4")
-            row = {"chunk": base + 2 * count + k, "payload": squeeze(b"\n".join(texts) + b"\n"), "sizes": sizes.tobytes(),
+            row = {"chunk": base + SIDES * count + k, "payload": squeeze(b"\n".join(texts) + b"\n"), "sizes": sizes.tobytes(),
                    "ids": np.array([i or 0 for i in ids], "<i8").tobytes(),
                    "known": np.array([i is not None for i in ids], np.uint8).tobytes()}
             count += 1
@@ -56,7 +57,7 @@ def chunk_table(docs: DataFrame, side=None, chunk_bytes: int = common.BATCH_BYTE
                         yield close(k)
                     open_[k].append((i, t))
                     held[k] += len(t) + 1
-        for k in (0, 1):
+        for k in range(SIDES):
             if open_[k]:
                 yield close(k)
 

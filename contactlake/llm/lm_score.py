@@ -3,19 +3,21 @@
 A token's probability after the one before it mixes maximum-likelihood
 estimates: ``l2 c(v,w)/c(v) + l1 c(w)/N + l0/(V+1)``.  The weights depend on
 the bucket of the context's frequency c(v) and are learned by
-expectation-maximisation on the held-out documents' tokens, with counts from
-the training documents.
+expectation-maximisation on the tokens of a tenth of the training documents
+(``fits``), each with its own document's occurrences deleted from the counts,
+so that it is held out.  Documents whose remainder is 0 are scored and teach
+nothing.
 
 Counting: per chunk of documents the distinct token and token-pair hashes go
 to reducers by hash range with their training counts; the reducers answer with
 the corpus counts (``chunks.py``), which are written to the shared folder once
-and read for the weights (held-out chunks only) and for the scores.  Tokens
+and read for the weights (chunks of the fitting tenth only) and for the scores.  Tokens
 are known by 64-bit hashes; two of n distinct ones share a hash with
 probability below n**2 / 2**65.
 
 Edge cases: null texts count as empty (one end token); a null doc_id counts as
 held out and is returned as null; with no training tokens, estimates fall back
-to the uniform share; with no held-out tokens the three weights are equal;
+to the uniform share; with no fitting documents the three weights are equal;
 repeated rows count each.
 """
 
@@ -39,8 +41,13 @@ CHUNK_BYTES = 4 << 20
 ITERATIONS, ENOUGH = 20, 1e-4
 
 
-def held_out(doc_id) -> int:
-    return int(zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0)
+#: Kinds of documents: training, held out, training whose tokens fit the weights.
+TRAIN, HELD_OUT, FIT = 0, 1, 2
+
+
+def kind(doc_id) -> int:
+    by = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    return HELD_OUT if by % 10 == 0 else FIT if by // 10 % 10 == 0 else TRAIN
 
 
 def tokens(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +67,7 @@ def tokens(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _distinct(chunk: C.Chunk, h: np.ndarray, pair: np.ndarray):
     """Distinct tokens with START, and distinct pairs, with training counts."""
-    train = chunk.number % 2 == 0
+    train = chunk.number % C.SIDES != HELD_OUT
     u, un = np.unique(np.concatenate([h, np.full(chunk.packed.n, START)]), return_counts=True)
     b, bn = np.unique(pair, return_counts=True)
     return u, un * train, b, bn * train
@@ -116,14 +123,26 @@ def _replies(requests: DataFrame) -> DataFrame:
 
 
 def _looked_up(row: dict):
-    """(chunk, text of each token, c(w), c(v), c(v,w)) of a chunk with replies."""
+    """(chunk, text of each token, c(w), c(v), c(v,w), places of w, v and the
+    pair among the chunk's distinct ones) of a chunk with replies."""
     chunk = C.Chunk(row)
     h, before, doc = tokens(chunk)
     pair = chain(before, h)
     u, _, b, _ = _distinct(chunk, h, pair)
     un = np.concatenate([unpack_counts(r["u"]) for r in row["replies"]])
     bn = np.concatenate([unpack_counts(r["b"]) for r in row["replies"]])
-    return chunk, doc, un[np.searchsorted(u, h)], un[np.searchsorted(u, before)], bn[np.searchsorted(b, pair)]
+    at = np.searchsorted(u, h), np.searchsorted(u, before), np.searchsorted(b, pair)
+    return chunk, doc, un[at[0]], un[at[1]], bn[at[2]], at
+
+
+def _own(doc: np.ndarray, at: np.ndarray, sought: np.ndarray | None = None) -> np.ndarray:
+    """How often each token's item ``sought`` (``at`` itself) is among the items
+    ``at`` of its document."""
+    width = int(at.max(initial=0)) + 1 if sought is None else int(max(at.max(initial=0), sought.max(initial=0))) + 1
+    have, n = np.unique(doc.astype(np.int64) * width + at, return_counts=True)
+    key = doc.astype(np.int64) * width + (at if sought is None else sought)
+    place = np.minimum(np.searchsorted(have, key), len(have) - 1)
+    return np.where(have[place] == key, n[place], 0)
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -131,13 +150,16 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(BUCKETS - 1, np.ceil(np.log2(context + 1.0))).astype(np.int64)
 
 
-def _held_out_counts(joined: DataFrame) -> DataFrame:
-    """(bucket, cw, cv, cvw, n): how many held-out tokens have these counts."""
+def _deleted_counts(joined: DataFrame) -> DataFrame:
+    """(bucket, cw, cv, cvw, n): how many tokens of the fitting documents have
+    these counts in the training documents but their own."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, cw, cv, cvw = _looked_up(row)
+                _, doc, cw, cv, cvw, (w, v, vw) = _looked_up(row)
+                first = np.concatenate([[True], doc[1:] != doc[:-1]])       # its context is the text's start, once a document
+                cw, cv, cvw = cw - _own(doc, w), cv - np.where(first, 1, _own(doc, w, v)), cvw - _own(doc, vw)
                 by = np.lexsort((cvw, cv, cw))
                 cw, cv, cvw = cw[by], cv[by], cvw[by]
                 at = np.flatnonzero(np.concatenate([[True], (cw[1:] != cw[:-1]) | (cv[1:] != cv[:-1]) | (cvw[1:] != cvw[:-1])]))
@@ -181,13 +203,13 @@ def _scores(joined: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame
         import pyarrow as pa
         for batch in batches:
             for row in batch.to_pylist():
-                chunk, doc, cw, cv, cvw = _looked_up(row)
+                chunk, doc, cw, cv, cvw, _ = _looked_up(row)
                 k = chunk.packed.n
                 add = lambda x: np.bincount(doc, weights=x, minlength=k)  # noqa: E731, B023
                 w = weights[bucket(cv)]
                 p = (w[:, 0] * cvw / np.maximum(cv, 1) + w[:, 1] * cw / max(n, 1) + w[:, 2] / (v + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.id_column(), pa.array(np.full(k, chunk.number % 2 == 1)), pa.array(np.bincount(doc, minlength=k).astype(np.int64)),
+                    [chunk.id_column(), pa.array(np.full(k, chunk.number % C.SIDES == HELD_OUT)), pa.array(np.bincount(doc, minlength=k).astype(np.int64)),
                      pa.array(add(cw > 0).astype(np.int64)), pa.array(np.full(k, n, np.int64)),
                      pa.array(add(np.log10((cw + 0.1) / (n + 0.1 * (v + 1))))), pa.array(add(np.log10(p)))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -200,11 +222,11 @@ def scores(docs: DataFrame) -> DataFrame:
     leaves a remainder other than 0 by 10."""
     docs = common.documents_of(docs)
     spark = docs.sparkSession
-    chunks = C.chunk_table(docs, side=held_out, chunk_bytes=CHUNK_BYTES)
+    chunks = C.chunk_table(docs, side=kind, chunk_bytes=CHUNK_BYTES)
     replies = common.materialize(_replies(_requests(chunks, 2 * common.parallelism(spark))), "lm-counts")
     sums = replies.where("chunk = -1").agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"),
                                            F.coalesce(F.sum("vocabulary"), F.lit(0)).alias("v")).first()
     joined = C.with_replies(chunks, replies.where("chunk >= 0").select("chunk", "part", "u", "b"))
-    held = common.materialize(_held_out_counts(joined.where("chunk % 2 = 1")), "lm-held-out")
-    weights = learn_weights(held, sums["n"], sums["v"])
+    deleted = common.materialize(_deleted_counts(joined.where(F.col("chunk") % C.SIDES == FIT)), "lm-deleted")
+    weights = learn_weights(deleted, sums["n"], sums["v"])
     return _scores(joined, weights, sums["n"], sums["v"])

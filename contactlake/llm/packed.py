@@ -1,10 +1,12 @@
 """Many texts in one byte array: word, line and k-gram hashes with numpy.
 
-Texts lie one after the other as UTF-8, each followed by a line feed.  A
-prefix hash ``H[i] = sum_{j<i} T[b_j] * M**j (mod 2**64)`` gives the hash of
-any substring as ``(H[end] - H[start]) * M**-start``; ``mix`` finishes it.
-Equal strings always have equal hashes; unequal ones collide with about
-2**-64 per pair.
+Texts lie one after the other as UTF-8, each followed by a line feed.  Every
+place j has the word w_j of the eight bytes from there; ``H[i] = sum_{j<i}
+scatter(w_j) * M**j (mod 2**64)`` gives the hash of a string of eight bytes and
+more as ``(H[end-7] - H[start]) * M**-start``, a shorter one is its own word;
+``mix`` finishes it.  ``scatter`` is not linear, so strings built to cancel out
+in a polynomial of their bytes (Thue-Morse words) do not here.  Equal strings
+always have equal hashes; unequal ones collide with about 2**-64 per pair.
 """
 
 from __future__ import annotations
@@ -17,13 +19,22 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _tables: dict = {}
 
 
-def _byte_table(fold: bool) -> np.ndarray:
-    if ("t", fold) not in _tables:
-        t = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64) | U(1)
-        if fold:
-            t[65:91] = t[97:123]
-        _tables["t", fold] = t
-    return _tables["t", fold]
+def _folded() -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    if "f" not in _tables:
+        t = np.arange(256, dtype=np.uint8)
+        t[65:91] += 32
+        _tables["f"] = t
+    return _tables["f"]
+
+
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, little-endian, zeros after the end."""
+    w = np.zeros(len(buf) + 7, np.uint64)
+    w[:len(buf)] = buf
+    for shift in (1, 2, 4):
+        w[:len(w) - shift] |= w[shift:] << U(8 * shift)
+    return w[:len(buf)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +101,38 @@ class Packed:
         out.buf, out.start, out.end, out.n = self.buf[a:b], self.start[first:stop] - a, self.end[first:stop] - a, stop - first
         return out
 
+    def _bytes(self, fold: bool) -> np.ndarray:
+        return _folded()[self.buf] if fold else self.buf
+
     def prefix(self, fold: bool) -> np.ndarray:
         if fold not in self._prefix:
             n = len(self.buf)
+            w = _words(self._bytes(fold))
+            w *= U(0xD1342543DE82EF95)
+            w ^= w >> U(32)
+            w *= _powers(n)[0][:n]
             h = np.zeros(n + 1, np.uint64)
-            np.cumsum(_byte_table(fold)[self.buf] * _powers(n)[0][:n], out=h[1:])
+            np.cumsum(w, out=h[1:])
             self._prefix[fold] = h
         return self._prefix[fold]
 
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
         h = self.prefix(fold)
-        return mix((h[end] - h[start]) * _powers(len(self.buf))[1][start] + (end - start).astype(np.uint64))
+        size = end - start
+        out = (h[np.maximum(end - 7, start)] - h[start]) * _powers(len(self.buf))[1][start]
+        short = np.flatnonzero(size < 8)
+        if len(short):
+            at = start[short, None] + np.arange(8)
+            word = self._bytes(fold)[np.minimum(at, len(self.buf) - 1)].astype(np.uint64)
+            word[np.arange(8) >= size[short, None]] = 0
+            out[short] = (word << (U(8) * np.arange(8, dtype=np.uint64))).sum(1, dtype=np.uint64)
+        return mix(out + size.astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
-        """Hash of every k bytes (also of those across two texts)."""
+        """Hash of every k >= 8 bytes (also of those across two texts)."""
         h = self.prefix(False)
         n = max(0, len(self.buf) - k + 1)
-        return mix((h[k:k + n] - h[:n]) * _powers(len(self.buf))[1][:n])
+        return mix((h[k - 7:k - 7 + n] - h[:n]) * _powers(len(self.buf))[1][:n])
 
     def runs(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[start, end) of the maximal runs of member bytes."""

@@ -39,7 +39,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"'|]+")
 _SCHEME = re.compile(r"(?:https?|ftp|sftp|ssh|postgres|mysql|mongodb|redis|amqp)\Z", re.I | re.A)
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number|id))?[ \t]*[.:#=]{0,2}[ \t]*([A-Za-z0-9](?:[ -]?[A-Za-z0-9])*)", re.I | re.A)
+#: An identifier has 34 letters and digits at most (the longest IBAN); a longer
+#: one is read just far enough to be refused.
+_IBAN_HEAD = re.compile(r"[A-Za-z]{2} ?[0-9] ?[0-9]")
+_ACCOUNT = re.compile(r"(?:[ \t]*+(?:no|nr|number|id))?[ \t]*+[.:#=]{0,2}+[ \t]*+([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){0,40})", re.I | re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -71,7 +74,7 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end), sorted by start and then by kind."""
         found: list[tuple[int, str, int]] = []
-        done = dict.fromkeys(KINDS, 0)
+        done = dict.fromkeys((*KINDS, "plain"), 0)
         for end, (anchor, size) in self.automaton.iter(text):
             at = end - size + 1
             if anchor == "digit":
@@ -127,16 +130,20 @@ class Scanner:
             found.append((at, "phone", m.end()))
 
     def _url(self, text, at, done, found):
+        if at < done["plain"]:              # inside a run of characters without an at-sign
+            return
         start = at
         while start > max(done["url"], at - 12) and text[start - 1].isascii() and text[start - 1].isalpha():
             start -= 1
-        rest = _URL_REST.match(text, at + 3)
-        if not rest or not _SCHEME.match(text[start:at]):
+        rest = _URL_REST.match(text, at + 3) if _SCHEME.match(text[start:at]) else None
+        if not rest:
             return
         end = at + 3 + len(rest.group().rstrip(".,;:!?)]}"))
         if "@" in text[at + 3:end]:
             found.append((start, "url", end))
             done["url"] = end
+        else:
+            done["plain"] = rest.end()
 
     def _account(self, text, at, after, done, found):
         if at and text[at - 1].isalnum():
@@ -145,14 +152,12 @@ class Scanner:
         if not m:
             return
         # the identifier: the longest valid IBAN, else the first unbroken word with five digits or more
-        words, end, iban_end = re.split(r"([ ])", m.group(1)), m.start(1), 0
-        for i in range(0, min(len(words), 19), 2):
-            end = m.start(1) + sum(map(len, words[:i + 1]))
-            if iban_ok(text[m.start(1):end]):
-                iban_end = end
-        first_end = m.start(1) + len(words[0])
-        digits = sum(c.isdigit() for c in words[0])
-        end = iban_end or (first_end if digits >= 5 and len(words[0]) <= 34 else 0)
+        first = m.group(1).partition(" ")[0]
+        end = m.end(1) if _IBAN_HEAD.match(text, m.start(1)) else 0
+        while end and not ((end == m.end(1) or text[end] == " ") and iban_ok(text[m.start(1):end])):
+            end = max(text.rfind(" ", m.start(1) + 14, end), 0)
+        if not end and len(first) <= 34 and sum(map(first.count, "0123456789")) >= 5:
+            end = m.start(1) + len(first)
         if end:
             found.append((m.start(1), "account", end))
             done["account"] = end

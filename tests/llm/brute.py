@@ -136,3 +136,40 @@ def lm(rows):
     n, v = sum(c.values()), len(c)
     return n, v, {i: (held[i], len(ws), sum(c[w] > 0 for w in ws), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
                   for i, ws in tokens.items()}
+
+
+def lm_interpolated(rows, buckets, iterations, enough):
+    """doc_id -> log10 probability by deleted interpolation with dictionaries."""
+    start = object()
+    crc = {i: zlib.crc32(str(i).encode()) for i, _ in rows}
+    seq = {i: [*SPACED.findall(low(t)), None] for i, t in rows}
+    pairs = {i: list(zip([start, *ws[:-1]], ws, strict=True)) for i, ws in seq.items()}
+    train = [i for i in seq if crc[i] % 10]
+    one = Counter(w for i in train for w in seq[i])
+    two = Counter(p for i in train for p in pairs[i])
+    n, v = sum(one.values()), len(one)
+    context = one | Counter({start: len(train)})
+    bucket = lambda c: min(buckets - 1, math.ceil(math.log2(c + 1)))
+
+    def parts(cw, cv, cvw):
+        return (cvw / cv if cv else 0.0, cw / n if n else 0.0, 1 / (v + 1))
+
+    fit = []
+    for i in train:
+        if crc[i] // 10 % 10 == 0:
+            own1, own2 = Counter(seq[i]) | Counter({start: 1}), Counter(pairs[i])
+            fit += [(bucket(cv := context[a] - own1[a]), parts(one[w] - own1[w], cv, two[a, w] - own2[a, w])) for a, w in pairs[i]]
+    weights = [[1 / 3] * 3 for _ in range(buckets)]
+    for _ in range(iterations):
+        e = defaultdict(lambda: [0.0] * 3)
+        for b, p in fit:
+            part = [x * y for x, y in zip(weights[b], p, strict=True)]
+            for k in range(3):
+                e[b][k] += part[k] / sum(part)
+        new = [[x / sum(e[b]) for x in e[b]] if b in e else weights[b] for b in range(buckets)]
+        moved = max(abs(x - y) for a, b in zip(new, weights, strict=True) for x, y in zip(a, b, strict=True))
+        weights = new
+        if moved < enough:
+            break
+    return {i: sum(math.log10(sum(x * y for x, y in zip(weights[bucket(context[a])], parts(one[w], context[a], two[a, w]), strict=True)))
+                   for a, w in pairs[i]) for i in seq}

@@ -54,6 +54,19 @@ def test_pii_added():
     assert [(s, e) for s, k, e in spans if k == "url"] == [(35, 56)]
 
 
+@pytest.mark.parametrize("part", ["account ", "://", "http://", "+1 ", "1.1.", "account no \t", "a@", "1-"])
+def test_pii_grows_with_the_text(part):
+    """Repeated anchors cost time in proportion, whatever the length."""
+    import time
+    scanner = P.Scanner()
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        scanner.spans(part * (size // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5 and took[1] < 5
+
+
 def test_contamination_automaton():
     r = random.Random(1)
     for _ in range(600):
