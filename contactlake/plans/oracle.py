@@ -236,6 +236,20 @@ def _():
               "THEN 'Invalid URL: Local URLs not supported' ELSE '' END AS error FROM up6")
 
 
+@oracle("url_list_lines")
+def _():
+    return (duckdb_fixture_ctes("url_inputs") + f", n AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, {S.js_trim('raw')} AS raw FROM url_inputs) "
+            "SELECT ord, raw FROM n WHERE raw <> ''")
+
+
+@oracle("business_request_rows")
+def _():
+    return (duckdb_fixture_ctes("businesses") + ", b AS (SELECT *, ord // 10 AS g FROM businesses), "
+            "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord) - 1 AS place FROM b WHERE g % 7 <> 3) "
+            "SELECT name, phone, count(*) AS n, CAST(sum(place) AS BIGINT) AS places FROM r GROUP BY 1, 2 "
+            "UNION ALL SELECT 'Invalid businesses data', '', count(DISTINCT g), 0 FROM b WHERE g % 7 = 3 HAVING count(*) > 0")
+
+
 @oracle("url_standard_cases")
 def _():
     from contactlake.sources.fixtures import URL_CASES

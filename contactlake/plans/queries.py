@@ -154,6 +154,39 @@ def url_intake_errors(spark, sf_dir):
     return u.select("ord", "raw", "cleaned", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def _written(spark, df, column, order):
+    """``df``'s column as the lines of text files in the shared folder."""
+    import uuid
+
+    from contactlake.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    df.repartitionByRange(4, order).sortWithinPartitions(order).select(column).write.text(path)
+    return path
+
+
+@query("url_list_lines")
+def url_list_lines(spark, sf_dir):
+    """The intake lines written to text files, read back and numbered."""
+    from contactlake.sources import readers
+    lines = readers.url_lines(spark, _written(spark, fixtures.url_inputs(spark, sf_dir), "raw", "ord"), across_files=True)
+    return lines.select("ord", "raw")
+
+
+@query("business_request_rows")
+def business_request_rows(spark, sf_dir):
+    """S3: request bodies of ten businesses each written as JSON Lines (one in
+    seven cut off), read back: rows and errors by place."""
+    from contactlake.sources import readers
+    b = fixtures.businesses(spark, sf_dir).withColumn("g", F.floor(F.col("ord") / 10))
+    body = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("ord", *BUSINESS_COLS[1:]))), lambda r: F.struct(
+        *[r[c].alias(c) for c in BUSINESS_COLS[1:]])).alias("businesses")))
+    bodies = b.groupBy("g").agg(body.alias("body")).select("g", F.when(F.col("g") % 7 == 3, F.substring("body", 1, 40)).otherwise(F.col("body")).alias("body"))
+    rows, errors = readers.business_requests(spark, _written(spark, bodies, "body", "g"))
+    return (rows.groupBy("name", "phone").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("places"))
+            .unionByName(errors.groupBy(F.col("error").alias("name"), F.lit("").alias("phone")).agg(
+                F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("places"))))
+
+
 @query("url_standard_cases")
 def url_standard_cases(spark, sf_dir):
     """Hrefs of URLs with international, numeric and IPv6 hosts, dot
