@@ -17,9 +17,13 @@ Distributed plan
    meet on (host, digits), and a phone contained in another one meets it on
    (host, 7 digits), shorter ones on (host, digits); phones without any digit
    are contained in every phone and meet the others of their host.  A length
-   bound drops names that cannot reach the needed similarity before the
-   Levenshtein terms run.  For D9, pairs with equal signatures are left out.
-3. *Signature groups are never expanded into pairs*: per round two grouped
+   bound drops names that cannot reach the needed similarity, and the names'
+   edit distance stops there.  For D9, pairs with equal signatures are left
+   out.  Hosts of more than ``blocking.PLAIN_ROWS`` rows do not form all pairs
+   of a block: prefix filters on q-grams find those that can be edges.
+3. *Equal rows are one*: of rows that agree in all features only the first
+   takes part; the others share its fate or are dropped after it.
+   *Signature groups are never expanded into pairs*: per round two grouped
    minima (earliest kept, earliest undecided ``ord`` per signature) answer
    every signature question; partial aggregation makes hot signatures cheap.
 4. *Resolution rounds*: an undecided row is dropped when an earlier
@@ -41,6 +45,7 @@ from pyspark.sql import functions as F
 
 from contactlake.functions import similarity as SIM
 from contactlake.functions.urls import with_url_host
+from contactlake.operators import blocking as BL
 from contactlake.session import ensure_checkpoint_dir
 
 GRAM = 7
@@ -78,8 +83,8 @@ def candidate_pairs(feat: DataFrame, equal_signatures: bool = True) -> DataFrame
     left = el.select(*[F.col(c).alias(f"a_{c}") for c in el.columns])
     right = el.select(*[F.col(c).alias(f"b_{c}") for c in el.columns])
 
-    def pairs(x: DataFrame, y: DataFrame, on, cond) -> DataFrame:
-        j = x.join(y, on).where(cond & (F.col("a_ord") != F.col("b_ord")))
+    def pairs(j: DataFrame, cond) -> DataFrame:
+        j = j.where(cond & (F.col("a_ord") != F.col("b_ord")))
         la, lb = F.length("a_nname"), F.length("b_nname")
         j = j.where(F.least(la, lb) >= F.greatest(la, lb) * F.lit(NAME_LEN_RATIO) - F.lit(1e-9))
         if not equal_signatures:
@@ -93,20 +98,37 @@ def candidate_pairs(feat: DataFrame, equal_signatures: bool = True) -> DataFrame
         return out
 
     once = F.col("a_ord") < F.col("b_ord")
+    parts = [pairs(left.where((F.col("a_naddr") != "") & (F.col("a_email") != "")).join(right, equal("pd", "nname", "naddr", "email")), once)]
+
+    def within_hosts(hosted: DataFrame, other: DataFrame, join) -> None:
+        """``join(x, y, keys, phone)`` pairs rows of one host with equal keys."""
+        inside = F.col("a_pd").contains(F.col("b_pd")) & (F.col("a_pd") != F.col("b_pd"))
+        contained = SIM.PHONE_CONTAINED_SCORE
+        grams = hosted.where(F.col("a_n") >= GRAM).withColumn("a_g", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.col("a_n") - GRAM + 1), lambda i: F.substring(F.col("a_pd"), i, GRAM)))))
+        firsts = other.where(F.col("b_n") >= GRAM).withColumn("b_g", F.substring("b_pd", 1, GRAM))
+        subs = hosted.where(F.col("a_n") > 1).withColumn("a_g", F.explode(F.array_distinct(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.least(F.col("a_n"), F.lit(GRAM - 1))),
+            lambda ln: F.transform(F.sequence(F.lit(1), F.col("a_n") - ln + 1), lambda i: F.substring(F.col("a_pd"), i, ln)))))))
+        shorts = other.where(F.col("b_n").between(1, GRAM - 1)).withColumn("b_g", F.col("b_pd"))
+        for x, y, keys, phone, cond in ((hosted, other, ["h", "pd"], 1.0, once), (grams, firsts, ["h", "g"], contained, inside),
+                                        (subs, shorts, ["h", "g"], contained, inside),
+                                        (hosted.where(F.col("a_n") > 0), other.where(F.col("b_n") == 0), ["h"], contained, F.lit(True))):
+            parts.extend(pairs(j, cond) for j in join(x, y, keys, phone))
+
+    hosts = el.where("h != ''").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BL.PLAIN_ROWS).select("h")
     hosted, other = left.where(F.col("a_h") != ""), right.where(F.col("b_h") != "")
-    parts = [pairs(hosted, other, equal("h", "pd"), once),
-             pairs(left.where((F.col("a_naddr") != "") & (F.col("a_email") != "")), right, equal("pd", "nname", "naddr", "email"), once)]
-    inside = F.col("a_pd").contains(F.col("b_pd")) & (F.col("a_pd") != F.col("b_pd"))
-    grams = hosted.where(F.col("a_n") >= GRAM).withColumn("a_g", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.col("a_n") - GRAM + 1), lambda i: F.substring(F.col("a_pd"), i, GRAM)))))
-    firsts = other.where(F.col("b_n") >= GRAM).withColumn("b_g", F.substring("b_pd", 1, GRAM))
-    parts.append(pairs(grams, firsts, equal("h", "g"), inside))
-    subs = hosted.where(F.col("a_n") > 1).withColumn("a_g", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.least(F.col("a_n"), F.lit(GRAM - 1))),
-        lambda ln: F.transform(F.sequence(F.lit(1), F.col("a_n") - ln + 1), lambda i: F.substring(F.col("a_pd"), i, ln)))))))
-    shorts = other.where(F.col("b_n").between(1, GRAM - 1)).withColumn("b_g", F.col("b_pd"))
-    parts.append(pairs(subs, shorts, equal("h", "g"), inside))
-    parts.append(pairs(hosted.where(F.col("a_n") > 0), other.where(F.col("b_n") == 0), equal("h"), F.lit(True)))
+    plain = lambda x, y, keys, phone: [x.join(y, equal(*keys))]
+    if hosts.isEmpty():
+        within_hosts(hosted, other, plain)
+    else:
+        side = lambda df, p, how: df.join(hosts.select(F.col("h").alias(f"{p}h")), f"{p}h", how).select(*df.columns)
+        within_hosts(side(hosted, "a_", "left_anti"), side(other, "b_", "left_anti"), plain)
+        ensure_checkpoint_dir(feat.sparkSession)        # the branches below read these several times
+        hot = side(hosted, "a_", "left_semi").checkpoint()
+        again = hot.toDF(*[f"b_{c[2:]}" for c in hot.columns])
+        tables = {f: BL.ordered_grams(hot.select(F.col(f"a_{f}").alias("value"))).checkpoint() for f in ("nname", "naddr")}
+        within_hosts(hot, again, lambda x, y, keys, phone: BL.edge_candidates(x, y, keys, phone, tables))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -123,6 +145,8 @@ def score_pairs(feat: DataFrame, pairs: DataFrame) -> DataFrame:
     # Names too different in length cannot reach the needed similarity even
     # with every other term at its maximum (exact bound, small slack).
     j = j.where(F.least(la, lb) >= F.greatest(la, lb) * F.lit(NAME_LEN_RATIO) - F.lit(1e-9))
+    most = f"cast(floor({1 - NAME_LEN_RATIO} * greatest(length(a_nname), length(b_nname)) + 1e-9) as int)"
+    j = j.where(f"levenshtein(a_nname, b_nname, {most}) >= 0")
     j = j.select(
         "a", "b",
         SIM.string_similarity("a_nname", "b_nname").alias("s_name"),
@@ -180,7 +204,12 @@ def dedup_ordered(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = (df.withColumnRenamed(ord_col, "ord") if ord_col != "ord" else df).checkpoint(eager=True)
-    feat = base.transform(with_dedup_features()).select(*FEATURE_COLS).checkpoint(eager=True)
+    blank = lambda c: (F.coalesce(F.col(c), F.lit("")) == "").alias(f"no_{c}")
+    feat = base.transform(with_dedup_features()).select(*FEATURE_COLS)
+    # rows equal in all that scores read: phone and website count by digits, host and being there
+    feat = feat.groupBy("nname", "naddr", "pd", "host", "email", "sig", blank("phone"), blank("website")).agg(
+        F.min_by(F.struct("ord", "phone", "website"), "ord").alias("f")).select(
+        "f.*", "nname", "naddr", "pd", "host", "email", "sig").select(*FEATURE_COLS).checkpoint(eager=True)
     edges = duplicate_edges(feat, equal_signatures=False)
     kept = resolve_ordered(spark, feat, edges).where("kept").select("ord")
     out = base.join(kept, "ord", "left_semi")

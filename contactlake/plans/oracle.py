@@ -169,6 +169,11 @@ def _():
               "WHERE ord IN (SELECT ord FROM kept_ords)")
 
 
+@oracle("dedup_in_batches")
+def _():
+    return ORACLE["dedup_businesses"]
+
+
 # --- validators, URL functions, reports -----------------------------------------
 from contactlake.operators.extract import (BUSINESS_INDICATORS, BUSINESS_MIN_SCORE,  # noqa: E402
                                            NON_BUSINESS_HOSTS)

@@ -90,6 +90,22 @@ def dedup_businesses(spark, sf_dir):
     return dedup_ordered(fixtures.businesses(spark, sf_dir)).select(*BUSINESS_COLS)
 
 
+@query("dedup_in_batches")
+def dedup_in_batches(spark, sf_dir):
+    """D9 over three batches of the rows by ``ord``, each against what the
+    earlier ones kept."""
+    import uuid
+
+    from contactlake.operators.batches import dedup_batch
+    from contactlake.session import ensure_checkpoint_dir
+    b = fixtures.businesses(spark, sf_dir)
+    top = b.agg(F.max("ord").alias("m")).first()["m"] or 0
+    path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    third = F.floor(F.col("ord") * 3 / (top + 1))
+    kept = [dedup_batch(b.where(third == k), path, k) for k in range(3)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2]).select(*BUSINESS_COLS)
+
+
 # --- validators and URL functions ---------------------------------------------
 from contactlake.functions.text import digits_only  # noqa: E402
 from contactlake.functions.urls import (encode_uri_component, search_request_url,  # noqa: E402

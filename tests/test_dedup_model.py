@@ -98,3 +98,64 @@ def test_dedup_matches_sequential_model(spark):
                                          "address string, category string")
         got = sorted(r.ord for r in dedup_ordered(df).select("ord").collect())
         assert got == sequential(rows), f"trial {trial}"
+
+
+def _shop_rows(rng, n, words):
+    """Rows of one host and mostly one phone: near names, addresses and e-mails."""
+    out = []
+    for i in range(n):
+        base = rng.randrange(max(1, n // 3))
+        r = random.Random(base)
+        name = " ".join(r.choice(words) for _ in range(3)) + f" {base}"
+        addr = f"{base} {r.choice(words)} {r.choice(words)}"
+        if rng.random() < 0.5:
+            k = rng.randrange(len(name))
+            name = name[:k] + rng.choice("xyz") + name[k + 1:]
+        if rng.random() < 0.3:
+            addr += rng.choice([" west", " 2"])
+        out.append({"ord": i, "name": name, "phone": rng.choice(["212 555 0100"] * 6 + ["2125550100", "+1 212 555 0100", "n/a", "5550100", "55"]),
+                    "email": rng.choice(["", f"a{base}@shop.example", "info@shop.example", "x@other.example"]),
+                    "website": "https://shop.example/", "address": addr, "category": "x"})
+    return out
+
+
+SCHEMA = "ord long, name string, phone string, email string, website string, address string, category string"
+
+
+def test_hot_block_matches_sequential_model(spark, monkeypatch):
+    from contactlake.operators import blocking
+    monkeypatch.setattr(blocking, "PLAIN_ROWS", 8)
+    rng = random.Random(11)
+    words = ["harbor", "bakery", "blue", "door", "cafe", "acme", "north", "mill"]
+    rows = _shop_rows(rng, 220, words) + [{**r, "ord": 1000 + i} for i, r in enumerate(_random_rows(rng, 30))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.ord for r in dedup_ordered(df).select("ord").collect()) == sequential(rows)
+
+
+def test_hot_block_candidates_are_few(spark):
+    """Rows of one host and phone with other names and addresses: hardly any
+    of the block's pairs is formed."""
+    from contactlake.operators import dedup
+    n, rng = 2000, random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(3 * n)]
+    rows = [{"ord": i, "name": " ".join(rng.sample(words, 2)), "phone": "212 555 0100", "email": f"m{i}@shop{i}.example",
+             "website": "https://shop.example/", "address": " ".join(rng.sample(words, 3)), "category": "x"} for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    feat = df.transform(dedup.with_dedup_features()).select(*dedup.FEATURE_COLS).checkpoint()
+    assert dedup.candidate_pairs(feat, equal_signatures=False).count() < 0.003 * n * (n - 1) / 2
+
+
+def test_batches_equal_one_run(spark, tmpdir_run):
+    """Any split by ``ord`` keeps what one run keeps; a replayed batch too."""
+    from contactlake.operators.batches import dedup_batch
+    rng = random.Random(21)
+    rows = sorted(_random_rows(rng, 60), key=lambda r: r["ord"])
+    cuts = [0, 7, 34, 60]
+    got = []
+    for k in range(3):
+        df = spark.createDataFrame(rows[cuts[k]:cuts[k + 1]], SCHEMA)
+        kept = sorted(r.ord for r in dedup_batch(df, tmpdir_run, k).select("ord").collect())
+        if k == 1:
+            assert kept == sorted(r.ord for r in dedup_batch(df, tmpdir_run, k).select("ord").collect())
+        got += kept
+    assert got == sequential(rows)
