@@ -46,6 +46,22 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(label: str) -> str:
+    """A column name that no table has."""
+    return f"__{label}_{uuid.uuid4().hex}"
+
+
+def sheltered(docs: DataFrame, *working: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but the ``working`` ones under names that no
+    operator uses, and the names now in the columns' order; ``restored`` undoes it."""
+    now = {c: c if c in working else unused(f"c{i}") for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in now.items())), now
+
+
+def restored(df: DataFrame, now: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(f"`{n}`").alias(c) for c, n in now.items()))
+
+
 def by_bytes(batch, column: str, limit: int = BATCH_BYTES):
     """Consecutive slices of an Arrow batch whose ``column`` holds about
     ``limit`` bytes at most (a longer single value is a slice of its own)."""

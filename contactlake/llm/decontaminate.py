@@ -259,9 +259,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """``docs`` with occurrences of benchmark windows cut out; documents of
     whose words more than ``coverage`` are hit go altogether.  Same columns;
     ``n_chars``, if there is one, follows the text."""
-    out = contamination(docs, benchmark, window, clean=True)
+    inner, now = common.sheltered(docs, "text")
+    out = contamination(inner, benchmark, window, clean=True)
     out = out.where(F.col("n_hit") <= F.lit(coverage) * F.col("n_words"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("contaminated"), F.length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    if "n_chars" in now:
+        size = F.when(F.col("contaminated"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(now["n_chars"]))
+        out = out.withColumn(now["n_chars"], size)
+    return common.restored(out, now)

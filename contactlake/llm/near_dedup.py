@@ -280,5 +280,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (column doc_id) that stay: one document of each component."""
-    gone = near_duplicates(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = common.unused("gone")
+    gone = near_duplicates(docs, shingle, similarity).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

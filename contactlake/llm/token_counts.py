@@ -184,14 +184,15 @@ def mask_edits(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found: Column = F.expr(f"regexp_extract_all({text_col}, r'{MASKS}', 0)")
     rest: Column = F.expr(f"split({text_col}, r'{MASKS}', -1)")
     # start of match i: characters in the i+1 gaps and i matches before it
-    starts = F.expr("""transform(sequence(size(_m) - 1, 0, -1), i -> named_struct(
-        'start', cast(aggregate(slice(_r, 1, i + 1), 0L, (a, x) -> a + length(x))
-                 + aggregate(slice(_m, 1, i), 0L, (a, x) -> a + length(x)) as int),
-        'len', length(element_at(_m, i + 1))))""")
+    m, r = common.unused("matches"), common.unused("rest")
+    starts = F.expr(f"""transform(sequence(size({m}) - 1, 0, -1), i -> named_struct(
+        'start', cast(aggregate(slice({r}, 1, i + 1), 0L, (a, x) -> a + length(x))
+                 + aggregate(slice({m}, 1, i), 0L, (a, x) -> a + length(x)) as int),
+        'len', length(element_at({m}, i + 1))))""")
     none = F.expr(f"cast(array() as {EDITS})")
-    return (docs.withColumn("_m", F.when(F.col(text_col).rlike("@|[0-9]{2}|[0-9][ -][0-9]"), found))
-            .withColumn("_r", F.when(F.size("_m") > 0, rest))
-            .withColumn("edits", F.when(F.size("_m") > 0, F.transform(starts, lambda s: F.struct(
+    return (docs.withColumn(m, F.when(F.col(text_col).rlike("@|[0-9]{2}|[0-9][ -][0-9]"), found))
+            .withColumn(r, F.when(F.size(m) > 0, rest))
+            .withColumn("edits", F.when(F.size(m) > 0, F.transform(starts, lambda s: F.struct(
                 s["start"].alias("start"), (s["start"] + s["len"]).alias("stop"),
                 F.lit("[MASK]").alias("text")))).otherwise(none))
-            .drop("_m", "_r"))
+            .drop(m, r))
