@@ -89,6 +89,13 @@ class Chunk:
         return pa.array(self.ids, pa.int64(), mask=~self.known)
 
 
+def each_row(batches):
+    """The rows of Arrow batches as dicts, one at a time: a row holds megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def slices(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
     """Edges of the parts' ranges in an array of sorted hashes."""
     return np.concatenate([[0], np.searchsorted(sorted_hashes, bounds(parts)), [len(sorted_hashes)]]).astype(np.int64)
