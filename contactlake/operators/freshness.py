@@ -7,10 +7,11 @@ operator is a grouped aggregate or a filter, so it scales with the log.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.text import JSWS, col_
+from contactlake.session import ensure_checkpoint_dir
 
 # --- fixed values: TTL classes in milliseconds ------------------------------
 DEFAULT_TTL_MS = 3_600_000
@@ -71,6 +72,35 @@ def cache_entries(log: DataFrame) -> DataFrame:
                     ttl_ms("kind").alias("ttl_ms")))
 
 
+def lookup_as_of(entries: DataFrame, lookups: DataFrame, key: str = "key", at: str = "at", ts: str = "fetched_at", tie: str = "event_id",
+                 payload: tuple[str, ...] = ("ttl_ms",)) -> DataFrame:
+    """C4 at the time of each lookup: ``lookups`` plus ``entry``, a struct of
+    ``ts``, ``tie`` and ``payload`` of the latest entry of the lookup's key that
+    is not later than it (the greatest ``tie`` of equal times), or null.
+
+    Entries and lookups are one sorted table, dealt into ranges of (key, time),
+    so a hot key is many tasks.  Inside a range the last entry before a lookup
+    is a running value; what a range lacks is carried over from the earlier
+    ranges of the key, of which a grouped maximum each is kept."""
+    ensure_checkpoint_dir(lookups.sparkSession)
+    entry = F.struct(ts, tie, *payload)
+    old = entries.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
+        F.col(key).alias("__k"), F.col(ts).alias("__t"), F.lit(0).alias("__kind"), entry.alias("__e"))
+    new = lookups.select(F.col(key).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.struct(*lookups.columns).alias("__l"))
+    t = old.unionByName(new, allowMissingColumns=True)
+    order = ["__k", "__t", "__kind", F.col(f"__e.{tie}")]
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = t.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    run = Window.partitionBy("__part", "__k").orderBy("__t", "__kind", F.col(f"__e.{tie}")).rowsBetween(Window.unboundedPreceding, 0)
+    found = t.withColumn("__e", F.last("__e", ignorenulls=True).over(run)).where("__kind = 1")
+    # one row a range and key: the carry of a key looks at as many rows as it has ranges
+    ends = t.groupBy("__k", "__part").agg(F.max("__e").alias("__m"))
+    before = Window.partitionBy("__k").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("__k", "__part", F.last("__m", ignorenulls=True).over(before).alias("__c")).where("__c is not null")
+    j = found.join(carry, ["__k", "__part"], "left")
+    return j.select("__l.*", F.coalesce("__e", "__c").alias("entry"))
+
+
 def sweep(entries_fresh: DataFrame) -> DataFrame:
     """Drop expired entries."""
     return entries_fresh.where("fresh")

@@ -6,7 +6,7 @@ shuffle; no per-row driver work).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.text import col_, js_round, nonblank
@@ -78,6 +78,28 @@ def page_slice(df: DataFrame, page: int, page_size: int = PAGE_SIZE, order: str
     return df.orderBy(order).offset((page - 1) * page_size).limit(page_size)
 
 
+def write_page_index(df: DataFrame, path: str, order: str = "ord") -> None:
+    """A rank index under ``path``, written once: the rows dealt and sorted by
+    ranges of ``order``, and where each range starts."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(order)
+    rows.write.partitionBy("__part").parquet(f"{path}/rows")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)        # a row a range
+    counts = spark.read.parquet(f"{path}/rows").groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(f"{path}/starts")
+
+
+def indexed_page(spark: SparkSession, path: str, page: int, page_size: int = PAGE_SIZE, order: str = "ord") -> DataFrame:
+    """L2 on a rank index: reads only the ranges that hold rows of the page,
+    however deep it lies."""
+    first = (page - 1) * page_size
+    starts = spark.read.parquet(f"{path}/starts").where((F.col("start") < first + page_size) & (F.col("start") + F.col("n") > first))
+    parts = {r["__part"]: r["start"] for r in starts.collect()}                         # page_size ranges at most
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("__part").isin(list(parts))).drop("__part")
+    return rows.orderBy(order).offset(first - min(parts.values(), default=first)).limit(page_size)
+
+
 def numbered_within(df: DataFrame, group: str, order: str = "ord", out: str = "number", width: int = 1000) -> DataFrame:
     """``df`` with consecutive numbers from 1 by ``order`` (integers) inside
     each group: rows are numbered inside stretches of ``width`` order values,

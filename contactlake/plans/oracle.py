@@ -327,6 +327,11 @@ def _():
     return _validated() + "SELECT * FROM validated ORDER BY ord LIMIT 10 OFFSET 20"
 
 
+@oracle("deep_page")
+def _():
+    return _validated() + "SELECT * FROM validated ORDER BY ord LIMIT 10 OFFSET 600"
+
+
 @oracle("page_meta")
 def _():
     return (_validated() + ", v AS (SELECT *, CAST((row_number() OVER (PARTITION BY category ORDER BY ord) - 1) // 10 + 1 AS BIGINT) AS page FROM validated),\n"
@@ -471,6 +476,15 @@ def _():
     return _entries_sql() + "SELECT key, kind, fetched_at, ttl_ms, age_ms, fresh FROM fr"
 
 
+@oracle("lookups_as_of")
+def _():
+    return (_entries_sql().rstrip() + f", lo AS (SELECT event_id, kind || ':' || regexp_replace(lower(url), {q('[' + S.WS + ']+')}, '_', 'g') AS key, "
+            "fetched_at + to_minutes((event_id % 7) * 10) AS at FROM crawl_log WHERE event_id % 3 = 0),\n"
+            "u AS (SELECT key, fetched_at, max(event_id) AS entry_id, max(ttl_ms) AS ttl_ms FROM ce GROUP BY key, fetched_at)\n"
+            "SELECT lo.event_id, lo.key, u.entry_id, coalesce((epoch_us(lo.at) - epoch_us(u.fetched_at)) <= u.ttl_ms * 1000, false) AS fresh "
+            "FROM lo ASOF LEFT JOIN u ON lo.key = u.key AND lo.at >= u.fetched_at")
+
+
 @oracle("expired_entries")
 def _():
     return _entries_sql() + "SELECT key, kind, fetched_at, age_ms FROM fr WHERE NOT fresh"

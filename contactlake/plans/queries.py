@@ -332,6 +332,17 @@ def page_slice(spark, sf_dir):
     return R.page_slice(validated(spark, sf_dir), 3)
 
 
+@query("deep_page")
+def deep_page(spark, sf_dir):
+    """L2: page 61 of ten of the validated rows by a rank index."""
+    import uuid
+
+    from contactlake.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    R.write_page_index(validated(spark, sf_dir), path)
+    return R.indexed_page(spark, path, 61)
+
+
 @query("page_meta")
 def page_meta(spark, sf_dir):
     """A5 on result pages of ten (by ord, numbered inside the category)."""
@@ -415,6 +426,18 @@ def fresh_lookup(spark, sf_dir):
     return _entries(spark, sf_dir).select("key", "kind", "fetched_at", "ttl_ms", "age_ms", "fresh")
 
 
+@query("lookups_as_of")
+def lookups_as_of(spark, sf_dir):
+    """C4: lookups of every third logged URL some minutes after its fetch, each
+    answered by the latest entry of that time."""
+    log = fixtures.crawl_log(spark, sf_dir)
+    asked = log.where("event_id % 3 = 0").select("event_id", FR.cache_key("kind", "url").alias("key"),
+                                                 F.expr("fetched_at + make_interval(0, 0, 0, 0, 0, (event_id % 7) * 10)").alias("at"))
+    t = FR.lookup_as_of(FR.cache_entries(log), asked)
+    age = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("entry.fetched_at").cast("timestamp"))
+    return t.select("event_id", "key", F.col("entry.event_id").alias("entry_id"), F.coalesce(age <= F.col("entry.ttl_ms") * 1000, F.lit(False)).alias("fresh"))
+
+
 @query("expired_entries")
 def expired_entries(spark, sf_dir):
     """Keys the sweep removes."""
