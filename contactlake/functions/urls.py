@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +90,24 @@ def url_parts(src) -> Column:
     return let(s0, split_url)
 
 
+_built: dict = {}
+
+
+def _parser() -> Column:
+    """``url_parts`` of the column ``__url_in``, built once a JVM: the expression
+    has thousands of nodes, and building it takes longer than running it on
+    small tables."""
+    jvm = id(SparkContext._gateway)
+    if jvm not in _built:
+        _built.clear()
+        _built[jvm] = url_parts(F.col("__url_in"))
+    return _built[jvm]
+
+
 def with_url_parts(src, out: str) -> Callable[[DataFrame], DataFrame]:
     """Add struct column ``out`` = ``url_parts(src)``."""
     def t(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, url_parts(src))
+        return df.withColumn("__url_in", col_(src)).withColumn(out, _parser()).drop("__url_in")
     return t
 
 
