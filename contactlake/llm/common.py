@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,15 +26,55 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables written in each open ``scratch`` scope, the innermost last.
+_SCOPES: list[list[str]] = []
+#: Shuffle files go when the query that wrote them ends, not when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, up: int = 0) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    the lineage, survives lost executors, keeps column pruning."""
+    the lineage, survives lost executors, keeps column pruning.  The table goes
+    with the ``scratch`` scope that lies ``up`` scopes around the innermost one, if there is one."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if len(_SCOPES) > up:
+        _SCOPES[-1 - up].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only_last(spark: SparkSession) -> None:
+    """Delete the tables of the innermost scope but the one written last."""
+    own = _SCOPES[-1]
+    _delete(spark, own[:-1])
+    del own[:-1]
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside the block are deleted at its end.  What leaves
+    the block must be materialised itself, into a scope around it."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, own)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Reducers of an exchange: the session's shuffle partitions, which are
     set in proportion to the input."""

@@ -17,23 +17,32 @@ def _stars(edges: DataFrame) -> bool:
         "down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star step and a small-star step."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = large.where("a != b").distinct()
+    down = large.groupBy("a").agg(F.min("b").alias("m"))
+    joined = large.join(down, "a")
+    return (joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
+            .where("a != b").distinct())
+
+
+def components(links: DataFrame, label: str = "components", up: int = 0) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links``
     (columns a, b).  Large-star and small-star steps (each links neighbours to
     the smallest one known) until only stars are left: the number of rounds grows
     with the logarithm of the size, hot nodes are grouped minima and joins, and
-    every round is cut by a table in the shared folder."""
+    every round is cut by a table in the shared folder, which goes after the next
+    one; the result is a table too, in the scope that ``common.materialize`` takes for ``up``."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = common.materialize(edges, label)
-    while not _stars(edges):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(down, "a")
-        small = (joined.select("a", F.col("m").alias("b")).unionByName(joined.select(F.col("b").alias("a"), F.col("m").alias("b")))
-                 .where("a != b").distinct())
-        edges = common.materialize(small, label)
-    return (edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            .unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
+    spark = links.sparkSession
+    with common.scratch(spark):
+        edges = common.materialize(edges, label)
+        while not _stars(edges):
+            edges = common.materialize(_round(edges), label)
+            common.only_last(spark)
+        out = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+            edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+        return common.materialize(out, label, up=up + 1)

@@ -236,41 +236,45 @@ def _far(x: str, y: str) -> str:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of ``docs``."""
-    docs = common.documents_of(docs)
+    spark, docs = docs.sparkSession, common.documents_of(docs)
     sketch = common.materialize(sketches(docs, shingle), "sketches")
     classes = common.materialize(
         sketch.where("set_key is not null and doc_id is not null").groupBy("set_key")
         .agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"))
         .select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")), "classes")
-    keys = chunk_keys(classes)
-    heads = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = common.materialize(keys.join(heads, "key"), "buckets")
-    sig = classes.select("rep", "n", F.expr(f"transform(sequence(1, {VALUES}), i -> substring(sig, 2 * i - 1, 2))").alias("sig"))
-    x = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
-    y = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
-    close = f"100 * least(na, nb) >= {similarity} * greatest(na, nb) and {_far('x', 'y')} <= {DISTANCE}"
-
-    # members of a bucket near its smallest one: they make clusters
-    found = members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    found = common.materialize(found.join(x, "a").join(y, "b").where(close).select("a", "b"), "candidates")
-    clusters = common.materialize(components(found), "clusters")
-    sets = common.materialize(_sets(docs, clusters.select("id"), shingle), "shingle-sets")
-    links = common.materialize(cluster_links(clusters, sets, similarity), "links")
-
-    # members of a bucket in different clusters, neither being its smallest
-    big = (members.where("size > 2 and rep != pivot").select("key", "rep").join(clusters.withColumnRenamed("id", "rep"), "rep", "left")
-           .withColumn("c", F.coalesce("component", "rep")).drop("component"))
-    mixed = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    big = common.materialize(big.join(mixed, "key").join(sig, "rep"), "mixed-buckets")
-    x = big.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("x"))
-    y = big.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("y"))
-    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"a > b and ca != cb and {close}")).select("a", "b").distinct()
-    pairs = common.materialize(pairs, "across")
-    if not pairs.isEmpty():
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        more = common.materialize(_sets(docs, ids, shingle), "shingle-sets")
-        links = links.unionByName(common.materialize(confirm(pairs, more, similarity), "links"))
-    comp = common.materialize(components(links), "components")
+    with common.scratch(spark):
+        keys = chunk_keys(classes)
+        heads = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = common.materialize(keys.join(heads, "key"), "buckets")
+        sig = classes.select("rep", "n", F.expr(f"transform(sequence(1, {VALUES}), i -> substring(sig, 2 * i - 1, 2))").alias("sig"))
+        x = sig.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x"))
+        y = sig.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+        close = f"100 * least(na, nb) >= {similarity} * greatest(na, nb) and {_far('x', 'y')} <= {DISTANCE}"
+
+        # members of a bucket near its smallest one: they make clusters
+        found = members.where("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        found = common.materialize(found.join(x, "a").join(y, "b").where(close).select("a", "b"), "candidates")
+        clusters = components(found, "clusters")
+        sets = common.materialize(_sets(docs, clusters.select("id"), shingle), "shingle-sets")
+        links = common.materialize(cluster_links(clusters, sets, similarity), "links")
+
+        # members of a bucket in different clusters, neither being its smallest
+        big = (members.where("size > 2 and rep != pivot").select("key", "rep").join(clusters.withColumnRenamed("id", "rep"), "rep", "left")
+               .withColumn("c", F.coalesce("component", "rep")).drop("component"))
+        # a large bucket is dealt into blocks, each of which meets the whole bucket
+        mixed = (big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+                 .where("lo < hi").select("key", "blocks"))
+        big = big.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        big = common.materialize(big.join(sig, "rep"), "mixed-buckets")
+        x = big.select("key", "block", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("x"))
+        y = big.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+        pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & F.expr(f"a > b and ca != cb and {close}")).select("a", "b").distinct()
+        pairs = common.materialize(pairs, "across")
+        if not pairs.isEmpty():
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            more = common.materialize(_sets(docs, ids, shingle), "shingle-sets")
+            links = links.unionByName(common.materialize(confirm(pairs, more, similarity), "links"))
+        comp = components(links, up=1)
 
     out = sketch.join(classes.select("set_key", "rep"), "set_key", "left")
     out = out.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
