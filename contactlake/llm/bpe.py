@@ -249,7 +249,7 @@ def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         import pyarrow as pa
         bpe = Bpe(path)
         for whole in batches:
-            for batch in common.by_bytes(whole, text_col):
+            for batch in common.by_bytes(whole, text_col, common.SMALL_BATCH_BYTES):
                 get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
                 texts = [t or "" for t in get(text_col).to_pylist()]
                 ids = bpe.encode_batch(texts)

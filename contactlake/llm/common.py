@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most bytes of text that a Python task handles at once (one longer text is handled alone).
 BATCH_BYTES = 4 << 20
+#: The same where a task also holds models or tables of words.
+SMALL_BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
