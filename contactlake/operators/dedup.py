@@ -107,10 +107,12 @@ def candidate_pairs(feat: DataFrame, equal_signatures: bool = True) -> DataFrame
         grams = hosted.where(F.col("a_n") >= GRAM).withColumn("a_g", F.explode(F.array_distinct(F.transform(
             F.sequence(F.lit(1), F.col("a_n") - GRAM + 1), lambda i: F.substring(F.col("a_pd"), i, GRAM)))))
         firsts = other.where(F.col("b_n") >= GRAM).withColumn("b_g", F.substring("b_pd", 1, GRAM))
-        subs = hosted.where(F.col("a_n") > 1).withColumn("a_g", F.explode(F.array_distinct(F.flatten(F.transform(
+        shorts = other.where(F.col("b_n").between(1, GRAM - 1)).withColumn("b_g", F.col("b_pd"))
+        # rows are cut into all their short substrings only where their host has a short phone
+        near = hosted.join(shorts.select(F.col("b_h").alias("a_h")).distinct(), "a_h", "left_semi").select(*hosted.columns)
+        subs = near.where(F.col("a_n") > 1).withColumn("a_g", F.explode(F.array_distinct(F.flatten(F.transform(
             F.sequence(F.lit(1), F.least(F.col("a_n"), F.lit(GRAM - 1))),
             lambda ln: F.transform(F.sequence(F.lit(1), F.col("a_n") - ln + 1), lambda i: F.substring(F.col("a_pd"), i, ln)))))))
-        shorts = other.where(F.col("b_n").between(1, GRAM - 1)).withColumn("b_g", F.col("b_pd"))
         for x, y, keys, phone, cond in ((hosted, other, ["h", "pd"], 1.0, once), (grams, firsts, ["h", "g"], contained, inside),
                                         (subs, shorts, ["h", "g"], contained, inside),
                                         (hosted.where(F.col("a_n") > 0), other.where(F.col("b_n") == 0), ["h"], contained, F.lit(True))):
@@ -204,13 +206,19 @@ def dedup_ordered(df: DataFrame, ord_col: str = "ord") -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = (df.withColumnRenamed(ord_col, "ord") if ord_col != "ord" else df).checkpoint(eager=True)
+    kept = kept_rows(base.transform(with_dedup_features()).select(*FEATURE_COLS))
+    out = base.join(kept, "ord", "left_semi")
+    return out.withColumnRenamed("ord", ord_col) if ord_col != "ord" else out
+
+
+def kept_rows(feat: DataFrame) -> DataFrame:
+    """D9 on features (``FEATURE_COLS``): (ord) of the rows that are kept."""
+    spark = feat.sparkSession
+    ensure_checkpoint_dir(spark)
     blank = lambda c: (F.coalesce(F.col(c), F.lit("")) == "").alias(f"no_{c}")
-    feat = base.transform(with_dedup_features()).select(*FEATURE_COLS)
     # rows equal in all that scores read: phone and website count by digits, host and being there
     feat = feat.groupBy("nname", "naddr", "pd", "host", "email", "sig", blank("phone"), blank("website")).agg(
         F.min_by(F.struct("ord", "phone", "website"), "ord").alias("f")).select(
         "f.*", "nname", "naddr", "pd", "host", "email", "sig").select(*FEATURE_COLS).checkpoint(eager=True)
     edges = duplicate_edges(feat, equal_signatures=False)
-    kept = resolve_ordered(spark, feat, edges).where("kept").select("ord")
-    out = base.join(kept, "ord", "left_semi")
-    return out.withColumnRenamed("ord", ord_col) if ord_col != "ord" else out
+    return resolve_ordered(spark, feat, edges).where("kept").select("ord")

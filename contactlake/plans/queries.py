@@ -66,6 +66,7 @@ def page_phone_list(spark, sf_dir):
 # --- dedup (D1, D8, D9) -------------------------------------------------------
 from contactlake.operators.dedup import (FEATURE_COLS, dedup_ordered, duplicate_edges,  # noqa: E402
                                          with_dedup_features)
+from contactlake.session import ensure_checkpoint_dir  # noqa: E402
 
 BUSINESS_COLS = ["ord", "name", "phone", "email", "website", "address", "category"]
 
@@ -80,7 +81,8 @@ def business_signatures(spark, sf_dir):
 @query("duplicate_pairs")
 def duplicate_pairs(spark, sf_dir):
     """D8 > 0.85 over the blocked candidate pairs (each pair once, a < b)."""
-    feat = fixtures.businesses(spark, sf_dir).transform(with_dedup_features()).select(*FEATURE_COLS)
+    ensure_checkpoint_dir(spark)                # the joins read the features several times
+    feat = fixtures.businesses(spark, sf_dir).transform(with_dedup_features()).select(*FEATURE_COLS).checkpoint()
     return duplicate_edges(feat).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), "score")
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactlake.sources.tables import read_table
+from contactlake.sources.tables import read_table, spread
 
 BUSINESSES_SQL = """
 WITH b AS (SELECT c_custkey AS ord, CAST(floor(c_custkey/3) AS BIGINT) AS g, c_custkey % 3 AS v, c_mktsegment AS category FROM {customer}),
@@ -312,7 +312,7 @@ def url_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BUSINESSES_SQL, customer=read_table(spark, sf_dir, "customer"))
+    return spark.sql(BUSINESSES_SQL, customer=spread(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
