@@ -65,21 +65,22 @@ def dedup_batch(rows: DataFrame, path: str, batch: int) -> DataFrame:
     ensure_checkpoint_dir(spark)
     rows = rows.checkpoint()
     feat = rows.transform(D.with_dedup_features()).select(*D.FEATURE_COLS).checkpoint()
-    state = kept_before(spark, path, batch, _bucketed(feat).select("kind", "bucket"))
+    new_feat, state = feat, kept_before(spark, path, batch, _bucketed(feat).select("kind", "bucket"))
     if state is not None:
         state = state.checkpoint()
         gone = feat.join(state.select("sig").distinct(), "sig", "left_semi").select("ord")
-        left = feat.join(gone, "ord", "left_anti")
-        pairs = D.candidate_pairs(left.unionByName(state))
+        left = feat.join(gone, "ord", "left_anti").checkpoint()
+        both = left.unionByName(state).checkpoint()             # the joins read it several times
+        pairs = D.candidate_pairs(both)
         new = left.select(F.col("ord").alias("b"))
         old = state.select(F.col("ord").alias("a"))
         across = pairs.join(new, "b", "left_semi").join(old, "a", "left_semi")
-        edges = D.score_pairs(left.unionByName(state), across).where(F.col("score") > SIM.DUPLICATE_THRESHOLD)
-        gone = gone.unionByName(edges.select(F.col("b").alias("ord"))).distinct()
-        rows = rows.join(gone, "ord", "left_anti")
-    kept = D.dedup_ordered(rows).checkpoint()
+        edges = D.score_pairs(both, across).where(F.col("score") > SIM.DUPLICATE_THRESHOLD)
+        new_feat = left.join(edges.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").checkpoint()
+    kept = rows.join(D.kept_rows(new_feat), "ord", "left_semi").checkpoint()
     own = feat.join(kept.select("ord"), "ord", "left_semi")
-    _bucketed(own).write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/batch={batch}")
+    # dealt by bucket first, so that a bucket is one file and not one from each task
+    _bucketed(own).repartition("kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(f"{path}/batch={batch}")
     return kept
 
 
