@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactlake.functions.text import col_, js_round, nonblank
+from contactlake.session import ensure_checkpoint_dir
 
 # --- fixed values: export fields in order, with their labels ---------------
 EXPORT_FIELDS = [("name", "Business Name"), ("category", "Category"), ("phone", "Phone"),
@@ -82,8 +83,10 @@ def write_page_index(df: DataFrame, path: str, order: str = "ord") -> None:
     """A rank index under ``path``, written once: the rows dealt and sorted by
     ranges of ``order``, and where each range starts."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(order)
+    # computed once: the range bounds are sampled from the rows before these are dealt
+    rows = df.checkpoint(eager=True).repartitionByRange(n, order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(order)
     rows.write.partitionBy("__part").parquet(f"{path}/rows")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)        # a row a range
     counts = spark.read.parquet(f"{path}/rows").groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
