@@ -95,11 +95,12 @@ def txt_block(number, fields=None) -> F.Column:
 
 
 def numbered(df: DataFrame, order: str = "ord", out: str = "number") -> DataFrame:
-    """``df`` with consecutive numbers from 1 by ``order``: a range sort, rows
+    """``df``, computed once, with consecutive numbers from 1 by ``order``: a range sort, rows
     counted per partition, and the partitions' offsets (a row per partition, so
     a broadcast of that size) joined back; no task sees all rows."""
     ensure_checkpoint_dir(df.sparkSession)
-    t = df.orderBy(order).checkpoint(eager=True).withColumn("__m", F.monotonically_increasing_id())
+    # the sort samples its range bounds from the rows before it sorts them
+    t = df.checkpoint(eager=True).orderBy(order).checkpoint(eager=True).withColumn("__m", F.monotonically_increasing_id())
     t = t.withColumn("__part", F.shiftright("__m", 33))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = t.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(
