@@ -281,3 +281,36 @@ def test_line_mixed_buckets(spark, monkeypatch):
     got = L.mixed_buckets(members, comp).collect()
     assert {(x["key"], x["cls"]) for x in got} == {(2, i) for i in range(31, 41)}
     assert {x["blocks"] for x in got} == {3} and all(0 <= x["block"] < 3 for x in got)
+
+
+def test_quality_tells_letters_of_all_scripts_apart(spark):
+    """Every byte counts in the model: a Cyrillic text with its letters swapped is rejected, its twin kept."""
+    from contactlake.llm import quality
+    from contactlake.llm.packed import Packed
+    words = ["ABC", "abc", "CBA", "123", "321", "абв", "ийк", "日本", "本日"]
+    p = Packed([w.encode() for w in words])
+    code = quality.ngram_codes(p)
+    assert len(set(code[p.end - 1].tolist())) == len(words)
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("абвгде" if i % 2 else "стуклм") for i in range(r.randint(3, 9))) for _ in range(150)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(120)) for _ in range(120)]
+    # letters whose second bytes are equal modulo 8
+    swapped = texts[0].translate(str.maketrans("абвгде", "ийклмн"))
+    docs = frame(spark, [*enumerate(texts), (500, swapped)]).withColumn("lang", F.lit("ru"))
+    got = {x["doc_id"]: x for x in quality.judge(docs).collect()}
+    assert got[500]["log_ppl"] > got[0]["log_ppl"] + 0.05
+    assert got[0]["kept"] and not got[500]["kept"]
+
+
+def test_members_outside_the_largest_component(spark):
+    """Rows of a bucket grow with its size, not with its square, if one component holds most of it."""
+    from contactlake.llm.components import dealt, outside_largest
+    rows = [(1, i, 0) for i in range(1000)] + [(1, 1000 + i, 1000 + i) for i in range(3)] + [(2, i, 7) for i in range(50)]
+    members = spark.createDataFrame([*rows, *((3, i, i) for i in range(20))], "key long, rep long, c long")
+    minor, whole = dealt(outside_largest(members, 4).cache(), "rep")
+    assert {r["rep"] for r in minor.where("key = 1").collect()} == {1000, 1001, 1002}
+    assert whole.where("key = 1").count() == 1003 and whole.where("key = 2").count() == 0
+    assert whole.where("key = 3").count() == 20 * 5
+    x, y = minor.selectExpr("key", "block", "rep a", "c ca"), whole.selectExpr("key", "block", "rep b", "c cb", "main")
+    met = x.join(y, ["key", "block"]).where("ca != cb and (cb = main or a > b)").where("key = 3").select(F.greatest("a", "b"), F.least("a", "b"))
+    assert sorted(tuple(r) for r in met.collect()) == [(i, j) for i in range(20) for j in range(i)]
