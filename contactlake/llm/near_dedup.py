@@ -14,7 +14,8 @@ members of a cluster are confirmed on full sets, block against block inside
 tasks, and only a spanning forest of the links comes out, so a large group of
 near copies yields rows in proportion to its size.  Members of one bucket in
 different clusters are compared directly (signature distance in the join
-condition), so no pair within the distance is left unseen.
+condition), so no pair within the distance is left unseen; one of the two is
+outside the bucket's largest cluster, so only those members meet the bucket.
 
 Edge cases: null and wordless texts have an empty set, link with nothing and
 are kept; texts with fewer words than a shingle are one shingle; repeated rows
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactlake.llm import common
-from contactlake.llm.components import components
+from contactlake.llm.components import components, dealt, outside_largest
 from contactlake.llm.packed import Packed, chain, mix, pack_sorted, texts_of, unpack_sorted, word_bytes
 
 SHINGLE, SIMILARITY = 5, 80
@@ -261,14 +262,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         # members of a bucket in different clusters, neither being its smallest
         big = (members.where("size > 2 and rep != pivot").select("key", "rep").join(clusters.withColumnRenamed("id", "rep"), "rep", "left")
                .withColumn("c", F.coalesce("component", "rep")).drop("component"))
-        # a large bucket is dealt into blocks, each of which meets the whole bucket
-        mixed = (big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-                 .where("lo < hi").select("key", "blocks"))
-        big = big.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        big = common.materialize(big.join(sig, "rep"), "mixed-buckets")
-        x = big.select("key", "block", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("x"))
-        y = big.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("y"))
-        pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & F.expr(f"a > b and ca != cb and {close}")).select("a", "b").distinct()
+        # those outside a bucket's largest cluster, dealt into blocks, meet the whole bucket
+        big = common.materialize(outside_largest(big, BLOCK).join(sig, "rep"), "mixed-buckets")
+        x, y = dealt(big, "rep")
+        x = x.select("key", "block", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("x"))
+        y = y.select("key", "block", "main", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("y"))
+        pairs = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & F.expr(f"(cb = main or a > b) and ca != cb and {close}"))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         pairs = common.materialize(pairs, "across")
         if not pairs.isEmpty():
             ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
