@@ -314,3 +314,35 @@ def test_members_outside_the_largest_component(spark):
     x, y = minor.selectExpr("key", "block", "rep a", "c ca"), whole.selectExpr("key", "block", "rep b", "c cb", "main")
     met = x.join(y, ["key", "block"]).where("ca != cb and (cb = main or a > b)").where("key = 3").select(F.greatest("a", "b"), F.least("a", "b"))
     assert sorted(tuple(r) for r in met.collect()) == [(i, j) for i in range(20) for j in range(i)]
+
+
+def test_line_dedup_in_parts(spark, monkeypatch):
+    """Pairs compared two parts at a time are all pairs: each part has at most its share of the texts."""
+    r = random.Random(8)
+    texts = [(i, "".join(r.choice("ab") for _ in range(12))) for i in range(12)]
+    texts += [(100 + i, t + "c") for i, t in texts]
+    rows = spark.createDataFrame(texts, "cls long, text string")
+    pairs = spark.createDataFrame([(100 + i, j) for i in range(12) for j in range(12)], "a long, b long")
+    whole = {tuple(x) for x in L.confirmed(pairs, rows).collect()}
+    assert whole == {(a, b) for a, s in texts if a > 99 for b, t in texts if b < 99 and distance(s, t) <= 1}
+    monkeypatch.setattr(L, "FEW_TEXTS", 0)
+    monkeypatch.setattr(L, "MOST_PARTS", 3)
+    assert L._parts(10, 10) == 2 and L._parts(100, 10) == 3
+    assert {tuple(x) for x in L.confirmed(pairs, rows).collect()} == whole
+
+
+def test_line_kinds(spark):
+    """Lines of a pair on both sides of a bound of the kinds have one in common, and
+    scripts with and without spaces have minima."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("etaoinshrdlu ") for _ in range(n))
+    plain = "".join(r.choice("etaoinshrdlu") for _ in range(400))
+    script = "".join(chr(r.randint(0x4E00, 0x5200)) for _ in range(400))
+    rows = [(0, "x" + text(L.LONG - 3).strip()), (1, "x" + text(L.LONG + 30)), (2, "x" + text(400)), (3, plain), (4, script)]
+    classes = L.line_classes(frame(spark, rows))
+    kinds = defaultdict(set)
+    for x in classes.collect():
+        kinds[x["doc"]].add(x["kind"])
+        assert x["m0"] is not None
+    assert kinds[0] == {0} and 0 in kinds[1] and 1 in kinds[2] and kinds[3] == {0} and kinds[4] == {1}
+    assert classes.where("first").count() == 5 == len(kinds)
