@@ -346,3 +346,39 @@ def test_line_kinds(spark):
         assert x["m0"] is not None
     assert kinds[0] == {0} and 0 in kinds[1] and 1 in kinds[2] and kinds[3] == {0} and kinds[4] == {1}
     assert classes.where("first").count() == 5 == len(kinds)
+
+
+def test_suffix_reducers_get_equal_shares():
+    """Least hashes are spread over all hashes, so equal ranges of them hold equal shares."""
+    from contactlake.llm.chunks import slices
+    from contactlake.llm.packed import Packed
+    r = random.Random(3)
+    p = Packed([bytes(r.choices(b"abcdefgh ", k=400_000))])
+    size = np.diff(slices(np.sort(suffix_dedup.stretches(p)[0]), 100))
+    assert size.max() < 1.5 * size.mean()
+
+
+def test_suffix_frequent_string_is_sorted_in_parts(spark, monkeypatch):
+    """Strings around one very common passage are cut into parts of bounded size, with the same result."""
+    r = random.Random(9)
+    passage = "the same thirty bytes or so, always"
+    word = lambda: "".join(r.choices("abcdef", k=r.randint(3, 7)))
+    rows = [(i, " ".join(word() for _ in range(9)) + " " + passage + " " + " ".join(word() for _ in range(9))) for i in range(400)]
+    rows += [(400 + i, rows[7 * i][1][10:] + word()) for i in range(40)]
+    sorted_bytes, plain = [], suffix_dedup.window_docs
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 1 << 11)
+    monkeypatch.setattr(suffix_dedup, "window_docs", lambda text, n, doc: sorted_bytes.append(len(text)) or plain(text, n, doc))
+    texts = [t.encode() for _, t in rows]
+    n = np.array([len(t) - suffix_dedup.LENGTH + 1 for t in texts])
+    got = suffix_dedup.cut_docs(np.frombuffer(b"".join(texts), np.uint8), n, np.arange(len(rows)))
+    first, at = {}, []
+    for i, t in enumerate(texts):
+        at += [t[k:k + suffix_dedup.LENGTH] for k in range(n[i])]
+        for w in at[-n[i]:]:
+            first.setdefault(w, i)
+    assert got.tolist() == [first[w] for w in at]
+    assert max(sorted_bytes) < sum(map(len, texts)) / 4
+    table = {}
+    for x in suffix_dedup.deduplicated(frame(spark, rows)).collect():
+        table.setdefault(x["doc_id"], []).append((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]))
+    assert {k: sorted(v) for k, v in table.items()} == suffix(rows)
