@@ -10,10 +10,12 @@ input); every row is then indexed, and the ranges are those of all rows.
 A search is a window of scores: inner products between ``low`` and ``high``.
 With the lengths of query and subtree it becomes an annulus of distances, and a
 child is passed over if for some split point the triangle inequality puts all
-its rows inside or outside that annulus.  Leaves are compared exactly, in blocks: a
-block of a leaf's rows (``BLOCK_ROWS`` at most) meets blocks of the queries
-that reach the leaf; leaves of many blocks are dealt over salts, so a leaf that
-holds a third of all rows is many tasks.  The best rows of the fit sample give
+its rows inside or outside that annulus.  Leaves are compared exactly, in groups:
+neighbouring leaves of ``GROUP_ROWS`` rows at most, or a share of a larger leaf,
+meet ``GROUP_QUERIES`` at most, about, of the queries that reach one of these
+leaves; a query comes to a group once, with the leaves that it reaches there.
+So a leaf that holds a third of all rows is many groups, and a task holds one
+group at a time.  Tables have a row for each vector, so readers hold few of them.  The best rows of the fit sample give
 every window a first bound (they are rows of the table themselves), which the
 traversal then uses; results are exact, recall is 1.
 
@@ -41,10 +43,12 @@ FIT_ROWS = 16_384
 LEAF_ROWS = 1_024
 BLOCK_ROWS = 2_048
 BLOCK_QUERIES = 256
-#: Rows that a task holds in open blocks of all leaves.
-OPEN_ROWS = 65_536
-#: Blocks of rows, and of queries, of one leaf that meet in one group.
-SALT_BLOCKS = 8
+#: Routed queries that are sent on at once.
+SEND_ROWS = 4_096
+#: Rows, and queries, that meet in one group; of few rows, LEAST_GROUP at least and so many groups for each reducer.
+GROUP_ROWS, GROUP_QUERIES, LEAST_GROUP, GROUPS = 65_536, 16_384, 2_048, 4
+#: Candidates that a group holds before it drops all but the best.
+HELD = 1 << 20
 #: Relative slack of distances against rounding.
 SLACK = 1e-9
 
@@ -87,6 +91,17 @@ def stacked(values, width: int) -> np.ndarray:
     return out
 
 
+def binary(x: np.ndarray):
+    """The rows of an integer matrix as an Arrow column."""
+    import pyarrow as pa
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+def matrix(column, width: int) -> np.ndarray:
+    """``binary`` undone."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8").reshape(-1, width)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of two integer matrices."""
     big = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
@@ -195,7 +210,7 @@ class Tree:
 
 
 class Index:
-    """A fitted tree, its ranges, and the table of leaf blocks."""
+    """A fitted tree, its ranges, and the table of the rows with their leaves."""
 
     def __init__(self, rows: DataFrame, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS):
         self.rows = rows
@@ -208,50 +223,33 @@ class Index:
         fit = picked.limit(2 * fit_rows).collect()
         self.fit = (stacked([r["vector"] for r in fit], self.width), np.array([r["label"] for r in fit], np.int64), np.array([r["row"] for r in fit], np.int64))
         self.tree = Tree(self.fit[0], size["n"], leaf_rows=leaf_rows)
-        self.blocks = self._blocks()
+        self.indexed = self._indexed()
         self._widen()
-
-    def _blocks(self) -> DataFrame:
-        """(leaf, salt, ids, labels, row numbers, matrix) with BLOCK_ROWS rows
-        at most, and one row a task with the ranges (leaf -1)."""
+        self.group_rows = min(GROUP_ROWS, max(LEAST_GROUP, size["n"] // (GROUPS * common.parallelism(rows.sparkSession))))
+        sizes = np.zeros(self.tree.leaves, np.int64)
+        for leaf, n in self.indexed.where("leaf >= 0").groupBy("leaf").count().collect():      # leaves are a bounded number
+            sizes[leaf] = n
+        self.home = homes(sizes, self.group_rows)
+
+    def _indexed(self) -> DataFrame:
+        """(leaf, row, vec_id, label, vector), vectors padded to one width, and one
+        row a task with the ranges (leaf -1)."""
         tree, width = self.tree, self.width
 
         def run(batches):
             import pickle
 
             import pyarrow as pa
-            from pyspark import TaskContext
-            part, count, held = TaskContext.get().partitionId(), 0, {}
-            kinds = pa.schema([("leaf", pa.int64()), ("salt", pa.int64()), ("payload", pa.binary())])
-
-            def close(leaf):
-                nonlocal count
-                at = held.pop(leaf)
-                count += 1
-                payload = pickle.dumps([np.concatenate(c) for c in zip(*at, strict=True)], 5)
-                return pa.RecordBatch.from_pylist([{"leaf": leaf, "salt": part + 7919 * count, "payload": payload}], schema=kinds)
-
+            names = ["leaf", "row", "vec_id", "label", "vector"]
             for batch in batches:
                 for piece in (batch.slice(k, BLOCK_ROWS) for k in range(0, batch.num_rows, BLOCK_ROWS)):
                     x = stacked(piece.column(3).to_pylist(), width)
-                    row, label = np.asarray(piece.column(0)), np.asarray(piece.column(2)).astype(np.int64)
-                    known = np.array([i is not None for i in piece.column(1).to_pylist()])
-                    ids = np.array([i or 0 for i in piece.column(1).to_pylist()], np.int64)
-                    leaves = tree.assign(x)
-                    for leaf in np.unique(leaves).tolist():
-                        here = leaves == leaf
-                        if leaf in held and sum(len(h[0]) for h in held[leaf]) + here.sum() > BLOCK_ROWS:
-                            yield close(leaf)
-                        held.setdefault(leaf, []).append((ids[here], known[here], label[here], row[here], x[here]))
-                    open_rows = {leaf: sum(len(h[0]) for h in at) for leaf, at in held.items()}
-                    if sum(open_rows.values()) > OPEN_ROWS:     # the fuller half goes
-                        for leaf in sorted(open_rows, key=open_rows.get)[len(open_rows) // 2:]:
-                            yield close(leaf)
-            for leaf in list(held):
-                yield close(leaf)
-            yield pa.RecordBatch.from_pylist([{"leaf": -1, "salt": 0, "payload": pickle.dumps((tree.low, tree.high, tree.norms), 5)}], schema=kinds)
-
-        return common.materialize(self.rows.mapInArrow(run, "leaf long, salt long, payload binary"), "leaf-blocks")
+                    yield pa.RecordBatch.from_arrays([pa.array(tree.assign(x)), *(piece.column(k) for k in range(3)), binary(x)], names=names)
+            ranges = pickle.dumps((tree.low, tree.high, tree.norms), 5)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()),
+                                              pa.array([None], pa.int32()), pa.array([ranges], pa.binary())], names=names)
+
+        return common.materialize(self.rows.mapInArrow(run, f"leaf long, {ROWS}"), "indexed")
 
     def _widen(self) -> None:
         """Ranges of all tasks, merged in tasks by node before the driver gets
@@ -261,14 +259,17 @@ class Index:
 
             import pyarrow as pa
             for batch in batches:
-                rows = []
-                for payload in batch.column(0).to_pylist():
-                    for node, (low, high, norms) in enumerate(zip(*pickle.loads(payload), strict=True)):
-                        both = np.concatenate([low.ravel(), norms[0], -high.ravel(), -norms[1]])
-                        rows += [{"node": node, "at": k, "least": float(v)} for k, v in enumerate(both) if np.isfinite(v)]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("node", pa.int32()), ("at", pa.int32()), ("least", pa.float64())]))
-
-        got = (self.blocks.where("leaf = -1").select("payload").mapInArrow(flat, "node int, at int, least double")
+                for payload in batch.column(0):
+                    both = [np.concatenate([low.ravel(), norms[0], -high.ravel(), -norms[1]])
+                            for low, high, norms in zip(*pickle.loads(payload.as_py()), strict=True)]
+                    if not both:
+                        continue
+                    node = np.repeat(np.arange(len(both), dtype=np.int32), [len(b) for b in both])
+                    at, least = np.concatenate([np.arange(len(b), dtype=np.int32) for b in both]), np.concatenate(both)
+                    some = np.isfinite(least)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(at[some]), pa.array(least[some])], names=["node", "at", "least"])
+
+        got = (self.indexed.where("leaf = -1").select("vector").mapInArrow(flat, "node int, at int, least double")
                .groupBy("node", "at").agg(F.min("least").alias("least")).toPandas())
         for node, at, least in got.itertuples(index=False):
             m = len(self.tree.points[node])
@@ -279,30 +280,40 @@ class Index:
             else:
                 self.tree.norms[node][0 if sign > 0 else 1, k - m * m] = sign * least
 
+    def _rows(self) -> DataFrame:
+        """The indexed rows with their group (grp)."""
+        spark = self.rows.sparkSession
+        home = spark.createDataFrame([*enumerate(self.home.tolist())], "leaf long, grp long")
+        return self.indexed.where("leaf >= 0").join(F.broadcast(home), "leaf")
+
     def search(self, queries: DataFrame, same_label: bool, best: int) -> DataFrame:
         """``queries``: (row, label, vector, low array<long>, high array<long>),
         a window by position.  Gives (query, window, row, vec_id, score): of each
         window the ``best`` rows, at least, that lie in it, other rows than the
         query itself; the caller ranks."""
-        tree, width, fit = self.tree, self.width, self.fit
-        kinds = "leaf long, salt long, queries binary"
+        tree, width, fit, home = self.tree, self.width, self.fit, self.home
+        kinds = "grp long, row long, label long, vector binary, low array<long>, high array<long>, leaves array<int>"
 
         def allowed(labels, own):
             return (labels[None, :] == own[:, None]) if same_label else (labels[None, :] != own[:, None])
 
         def route(batches):
-            import pickle
-
             import pyarrow as pa
-            from pyspark import TaskContext
-            part, count = TaskContext.get().partitionId(), 0
-            held: dict[int, list] = {}
-            out = pa.schema([("leaf", pa.int64()), ("salt", pa.int64()), ("queries", pa.binary())])
 
-            def close(leaf):
-                nonlocal count
-                count += 1
-                return pa.RecordBatch.from_pylist([{"leaf": leaf, "salt": part + 7919 * count, "queries": pickle.dumps([np.concatenate(c) for c in zip(*held.pop(leaf), strict=True)], 5)}], schema=out)
+            def sent(held, row, own, x, low, high):
+                """A row for each group and query, with the query's leaves there."""
+                on, leaf = np.concatenate([o for o, _ in held]), np.repeat([k for _, k in held], [len(o) for o, _ in held])
+                by = np.lexsort((leaf, on, home[leaf]))
+                on, leaf = on[by], leaf[by].astype(np.int32)
+                grp = home[leaf]
+                first = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (on[1:] != on[:-1])]))
+                leaves = pa.ListArray.from_arrays(pa.array(np.append(first, len(on)), pa.int32()), pa.array(leaf))
+                for k in range(0, len(first), SEND_ROWS):
+                    at = on[first[k:k + SEND_ROWS]]
+                    edges = pa.array(np.arange(len(at) + 1) * low.shape[1], pa.int32())
+                    lists = [pa.ListArray.from_arrays(edges, pa.array(c[at].ravel())) for c in (low, high)]
+                    yield pa.RecordBatch.from_arrays([pa.array(grp[first[k:k + SEND_ROWS]]), pa.array(row[at]), pa.array(own[at]), binary(x[at]), *lists,
+                                                      leaves.slice(k, SEND_ROWS)], names=["grp", "row", "label", "vector", "low", "high", "leaves"])
 
             for whole in batches:
                 for batch in (whole.slice(k, BLOCK_QUERIES) for k in range(0, whole.num_rows, BLOCK_QUERIES)):
@@ -316,54 +327,89 @@ class Index:
                         inside = np.where(can & (score >= low[:, w:w + 1]) & (score <= high[:, w:w + 1]), score, np.iinfo(np.int64).min)
                         if inside.shape[1] >= best:
                             low[:, w] = np.maximum(low[:, w], np.partition(inside, -best, 1)[:, -best])
-                    for on, leaf in tree.reached(x, low, high):
-                        if leaf in held and sum(len(h[0]) for h in held[leaf]) + len(on) > BLOCK_QUERIES:
-                            yield close(leaf)
-                        held.setdefault(leaf, []).append((row[on], own[on], x[on], low[on], high[on]))
-                    open_rows = {leaf: sum(len(h[0]) for h in at) for leaf, at in held.items()}
-                    if sum(open_rows.values()) > OPEN_ROWS:
-                        for leaf in sorted(open_rows, key=open_rows.get)[len(open_rows) // 2:]:
-                            yield close(leaf)
-            for leaf in list(held):
-                yield close(leaf)
-
-        def compare(batches):
-            import pickle
+                    held = list(tree.reached(x, low, high))
+                    if held:
+                        yield from sent(held, row, own, x, low, high)
 
+        def compare(left, right):
             import pyarrow as pa
-            names = ["query", "window", "row", "vec_id", "score"]
-            for batch in batches:
-                for payload, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids, known, labels, rows, x = pickle.loads(payload)
-                    q, own, y, low, high = pickle.loads(asked)
-                    score = products(y, x)
-                    can = allowed(labels, own) & (rows[None, :] != q[:, None])
-                    order = np.lexsort((ids, ~known))
-                    found = []
-                    for w in range(low.shape[1]):
-                        at, col = np.nonzero((can & (score >= low[:, w:w + 1]) & (score <= high[:, w:w + 1]))[:, order])
-                        col = order[col]
-                        # of each query the best of the block, ties by id
-                        by = np.lexsort((np.arange(len(at)), -score[at, col], at))
-                        at, col = at[by], col[by]
-                        nth = np.arange(len(at)) - np.searchsorted(at, at)
-                        at, col = at[nth < best], col[nth < best]
-                        found.append((q[at], np.full(len(at), w), rows[col], ids[col], score[at, col], known[col]))
-                    cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]),
-                                                      pa.array(cols[3], mask=~cols[5]), pa.array(cols[4])], names=names)
+            import pyarrow.compute as pc
+            out = pa.schema([("query", pa.int64()), ("window", pa.int32()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+            if not left.num_rows or not right.num_rows:
+                return out.empty_table()
+            numbers = lambda column: column.to_numpy().astype(np.int64)
+            known = left.column("vec_id").is_valid().to_numpy()
+            ids, labels, rows, leaf = (numbers(c) for c in (left.column("vec_id").fill_null(0), *(left.column(n) for n in ("label", "row", "leaf"))))
+            x = matrix(left.column("vector"), width)
+            q, own, y = numbers(right.column("row")), numbers(right.column("label")), matrix(right.column("vector"), width)
+            low, high = (numbers(pc.list_flatten(right.column(c))).reshape(len(q), -1) for c in ("low", "high"))
+            asks, asked_leaf = np.repeat(np.arange(len(q)), numbers(pc.list_value_length(right.column("leaves")))), numbers(pc.list_flatten(right.column("leaves")))
+            windows = low.shape[1]
+            found, held = [], 0
+
+            def best_of(found):
+                """The best of each query and window, ties by id."""
+                window, score, col = (np.concatenate(c) for c in zip(*found, strict=True))
+                by = np.lexsort((ids[col], ~known[col], -score, window))
+                window, score, col = window[by], score[by], col[by]
+                keep = np.arange(len(window)) - np.searchsorted(window, window) < best
+                return window[keep], score[keep], col[keep]
+
+            inside, by_leaf = np.argsort(leaf, kind="stable"), np.argsort(asked_leaf, kind="stable")
+            for k in np.unique(leaf).tolist():
+                mine = inside[np.searchsorted(leaf[inside], k):np.searchsorted(leaf[inside], k, side="right")]
+                ask = asks[by_leaf[np.searchsorted(asked_leaf[by_leaf], k):np.searchsorted(asked_leaf[by_leaf], k, side="right")]]
+                for here in (mine[i:i + BLOCK_ROWS] for i in range(0, len(mine), BLOCK_ROWS)):
+                    here = here[np.lexsort((ids[here], ~known[here]))]
+                    for ones in (ask[i:i + BLOCK_QUERIES] for i in range(0, len(ask), BLOCK_QUERIES)):
+                        score = products(y[ones], x[here])
+                        can = allowed(labels[here], own[ones]) & (rows[here][None, :] != q[ones][:, None])
+                        for w in range(windows):
+                            at, col = np.nonzero(can & (score >= low[ones, w:w + 1]) & (score <= high[ones, w:w + 1]))
+                            # of each query the best of the block, ties by id
+                            by = np.lexsort((np.arange(len(at)), -score[at, col], at))
+                            at, col = at[by], col[by]
+                            nth = np.arange(len(at)) - np.searchsorted(at, at)
+                            at, col = at[nth < best], col[nth < best]
+                            found.append((ones[at] * windows + w, score[at, col], here[col]))
+                            held += len(at)
+                    if held > HELD:
+                        found = [best_of(found)]
+                        held = len(found[0][0])
+            if not found:
+                return out.empty_table()
+            window, score, col = best_of(found)
+            return pa.Table.from_arrays([pa.array(q[window // windows]), pa.array((window % windows).astype(np.int32)), pa.array(rows[col]),
+                                         pa.array(ids[col], mask=~known[col]), pa.array(score)], schema=out)
 
         asked = common.materialize(queries.select("row", "label", "vector", "low", "high").mapInArrow(route, kinds), "routed")
-        blocks = self.blocks.where("leaf >= 0")
-        # each leaf's blocks are dealt over groups by their number, those of the
-        # queries too; leaves are a bounded number
-        deals = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / SALT_BLOCKS).cast("long").alias(name))
-        grid = F.broadcast(deals(blocks, "of_rows").join(deals(asked, "of_queries"), "leaf"))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = blocks.join(grid, "leaf").select("leaf", F.pmod("salt", "of_rows").alias("a"), every("of_queries").alias("b"), "payload")
-        right = asked.join(grid, "leaf").select("leaf", F.pmod("salt", "of_queries").alias("b"), every("of_rows").alias("a"), "queries")
-        both = left.hint("merge").join(right, ["leaf", "a", "b"])
-        return both.select("payload", "queries").mapInArrow(compare, "query long, window int, row long, vec_id long, score long")
+        left, right = grouped(self._rows(), asked, self.group_rows)
+        place = ["grp", "a", "b"]
+        return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(compare, "query long, window int, row long, vec_id long, score long")
+
+
+def homes(sizes: np.ndarray, most: int) -> np.ndarray:
+    """The group of each leaf: consecutive leaves, which are neighbours in the
+    tree, share one as long as they have ``most`` rows together."""
+    out, grp, held = np.zeros(len(sizes), np.int64), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > most:
+            grp, held = grp + 1, 0
+        out[leaf] = grp
+        held += n
+    return out
+
+
+def grouped(rows: DataFrame, asked: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows and the queries (grp, row, ...) with what they are dealt over: the
+    rows of a group over a by their number, ``most`` each, its queries over b; every share of
+    rows meets every share of queries.  Groups are no more than leaves, a bounded number."""
+    deals = lambda df, name, n: df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / n).cast("long").alias(name))
+    grid = F.broadcast(deals(rows, "of_rows", most).join(deals(asked, "of_queries", GROUP_QUERIES), "grp"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
+    return (rows.join(grid, "grp").withColumn("a", one("of_rows")).withColumn("b", every("of_queries")).drop("of_rows", "of_queries"),
+            asked.join(grid, "grp").withColumn("b", one("of_queries")).withColumn("a", every("of_rows")).drop("of_rows", "of_queries"))
 
 
 def ranked(found: DataFrame, keys: list[str], best: int) -> DataFrame:

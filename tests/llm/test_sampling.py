@@ -165,6 +165,34 @@ def test_hard_negatives_edges(spark):
     assert H.mined(spark.createDataFrame([(100, [1.0], 1)], EMBEDDINGS)).count() == 0
 
 
+def test_hard_negative_groups_are_bounded(spark, monkeypatch):
+    """Rows and queries of a group do not grow with those of a leaf, and small leaves share one."""
+    monkeypatch.setattr(H, "GROUP_QUERIES", 200)
+    assert H.homes(np.array([100, 200, 300, 0, 7000, 10, 10]), 500).tolist() == [0, 0, 1, 1, 2, 3, 3]
+    groups = F.when(F.col("id") < 7000, 0).otherwise(F.col("id") % 3)
+    rows, asked = (spark.range(n).select(groups.cast("long").alias("grp"), F.col("id").alias("row")) for n in (9000, 1500))
+    left, right = (x.groupBy("grp", "a", "b").count().collect() for x in H.grouped(rows, asked, 500))
+    assert {(r["grp"], r["a"], r["b"]) for r in left} == {(r["grp"], r["a"], r["b"]) for r in right} and len(left) == 16 * 8
+    assert max(r["count"] for r in left) < 750 and max(r["count"] for r in right) < 300
+
+
+def test_hard_negative_tables_have_narrow_rows(spark):
+    """A reader holds thousands of rows at once, so a row has one vector (the ranges of the tree aside)."""
+    rows = H.vectors(spark.createDataFrame(clusters(900, 4), EMBEDDINGS))
+    index = H.Index(rows, fit_rows=300, leaf_rows=40)
+    assert index.indexed.where("leaf >= 0").agg(F.count("row"), F.max(F.octet_length("vector"))).first() == (900, 12 * 8)
+    assert index.indexed.where("leaf = -1").count() > 0
+
+
+def test_hard_negatives_hold_the_best_only(spark, monkeypatch):
+    """Groups of many leaves, shares of leaves and dropped candidates give the same rows."""
+    for name, value in {"GROUP_ROWS": 100, "LEAST_GROUP": 1, "GROUP_QUERIES": 3, "BLOCK_ROWS": 16, "BLOCK_QUERIES": 2, "HELD": 10, "SEND_ROWS": 2}.items():
+        monkeypatch.setattr(H, name, value)
+    rows = clusters(1300, 21) + [(2000 + i, [1.0] * 12, 3) for i in range(300)]
+    got = shown(H.mined(spark.createDataFrame(rows, EMBEDDINGS).repartition(3), fit_rows=400, leaf_rows=30))
+    assert got == sorted(mined_by_hand(rows)) and len(got) > 100
+
+
 def test_tree_passes_over_leaves(spark):
     rows = np.floor(256 * np.array([e for _, e, _ in clusters(3000, 1)])).astype(np.int64)
     tree = H.Tree(rows, len(rows), leaf_rows=100)
