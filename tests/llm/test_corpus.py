@@ -382,3 +382,15 @@ def test_suffix_frequent_string_is_sorted_in_parts(spark, monkeypatch):
     for x in suffix_dedup.deduplicated(frame(spark, rows)).collect():
         table.setdefault(x["doc_id"], []).append((x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]))
     assert {k: sorted(v) for k, v in table.items()} == suffix(rows)
+
+
+def test_quality_model_covers_all_bytes(spark):
+    """After every context the probabilities of all 256 bytes add up to 1, in texts of any script."""
+    from contactlake.llm import quality
+    r = random.Random(8)
+    words = ["".join(r.choice("aeioubcdfé абвгдежз日本語文字") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    docs = frame(spark, [(i, " ".join(r.choice(words) for _ in range(90))) for i in range(40)]).withColumn("lang", F.lit("x"))
+    m = quality._models(quality.kneser_ney(quality.gram_counts(docs)))["=x"]
+    seen = np.unique(m.arrays[quality.ORDER][0] >> np.uint32(8))[::40]
+    for c in [*seen.tolist(), 0x010203]:
+        assert abs((10 ** -m.cost((c << 8) + np.arange(256))).sum() - 1) < 1e-5
